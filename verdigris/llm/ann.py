@@ -121,7 +121,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
     base = base.filter(F.size("v") == dim)
     # One row per distinct vector with its k + 1 smallest ids: the rank's limit is applied before the shuffle, too.
     same = W.partitionBy("v").orderBy("id")
-    few = base.withColumn("r", F.row_number().over(same)).filter(F.col("r") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    few = base.withColumn("r", F.dense_rank().over(same)).filter(F.col("r") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     sample = base.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
     picked = np.array(sample["v"].tolist(), np.float64).reshape(-1, dim)
     space = Space(picked, reach, int(np.clip(2 * np.sqrt(top["n"]) // 4, 1, 2048)))
