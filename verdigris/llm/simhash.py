@@ -31,7 +31,7 @@ read. An empty table gives an empty one.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,10 @@ from pyspark.sql import types as T
 from verdigris.llm.common import cut
 
 BUCKET = 2048
-BITS = 64
+BITS, SIG = 64, 256
+#: Bits allowed beyond the expected difference at the similarity asked for (its deviation there is about 5).
+SLACK = 3
+FACTORS = np.random.default_rng(9).integers(0, 1 << 63, SIG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
@@ -186,9 +189,9 @@ def probes(width: int, t: int) -> np.ndarray:
     return np.array([sum(1 << b for b in x) for k in range(t + 1) for x in itertools.combinations(range(width), k)], np.uint64)
 
 
-def keyed(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """Rows (part, value, fp): a fingerprint in the bucket of its value and of all values within the threshold."""
-    shapes = [probes(len(bits), t) for bits, t in parts]
+def keyed(nodes: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
+    """Rows (part, value, and the columns of `nodes`): each in the bucket of its value and of all values within the threshold."""
+    shapes, names = [probes(len(bits), t) for bits, t in parts], ["part", "value", *nodes.columns]
 
     def run(batches):
         for batch in batches:
@@ -198,14 +201,15 @@ def keyed(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
                 for a in range(0, len(whole), step):
                     fp = whole[a : a + step]
                     v = (part_value(fp, bits)[:, None] ^ shapes[k][None, :]).ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k, np.int32)), pa.array(v.view(np.int64)), pa.array(np.repeat(fp, len(shapes[k])).view(np.int64))], names=["part", "value", "fp"])
+                    rows = batch.take(pa.array(np.repeat(np.arange(a, a + len(fp)), len(shapes[k]))))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k, np.int32)), pa.array(v.view(np.int64)), *rows.columns], names=names)
 
-    return fps.select("fp").mapInArrow(run, "part int, value long, fp long")
+    return nodes.mapInArrow(run, T.StructType([T.StructField("part", T.IntegerType()), T.StructField("value", T.LongType()), *nodes.schema.fields]))
 
 
 def _refined(rows: DataFrame, parts: list[tuple[list[int], int]], distance: int) -> DataFrame:
     """Members of large buckets again by distance + 1 slices of the bits outside the bucket's part."""
-    slices = []
+    slices, names = [], [*rows.columns, "sub"]
     for bits, _ in parts:
         rest = [b for b in range(BITS) if b not in bits]
         slices.append([rest[i :: distance + 1] for i in range(distance + 1)])
@@ -217,65 +221,92 @@ def _refined(rows: DataFrame, parts: list[tuple[list[int], int]], distance: int)
             for p in np.unique(part):
                 at = np.flatnonzero(part == p)
                 some = b.take(pa.array(at))
-                for s, bits in enumerate(slices[p]):
-                    sub = part_value(fp[at], bits) | np.uint64(s << 60)
-                    yield pa.RecordBatch.from_arrays([some.column("part"), some.column("value"), pa.array(sub.view(np.int64)), some.column("fp")], names=["part", "value", "sub", "fp"])
+                for k, bits in enumerate(slices[p]):
+                    sub = part_value(fp[at], bits) | np.uint64(k << 60)
+                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array(sub.view(np.int64))], names=names)
 
-    return rows.mapInArrow(run, "part int, value long, sub long, fp long")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("sub", T.LongType())]))
 
 
-def forest(fp: np.ndarray, distance: int) -> np.ndarray:
-    """Edges (n x 2) that connect all members of a bucket whose distance is small enough.
+def forest(n: int, close: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Edges (places, m x 2) that connect all members of a bucket that are close.
 
-    Few close pairs are given as they are. Dense groups are searched breadth first
-    over those not yet reached, which uses them up in few steps and gives a tree.
+    `close(a, b)` gives a matrix for two arrays of places. Few close pairs are given
+    as they are. Dense groups are searched breadth first over those not yet
+    reached, which uses them up in few steps and gives a tree.
     """
-    fp = np.unique(fp)
-    hits, found = 0, []
-    for k in range(0, len(fp) - 1, 512):
-        x, y = np.nonzero(np.triu(np.bitwise_count(fp[k : k + 512, None] ^ fp[None, k:]) <= distance, 1))
+    every, hits, found = np.arange(n), 0, []
+    for k in range(0, n - 1, 512):
+        x, y = np.nonzero(np.triu(close(every[k : k + 512], every[k:]), 1))
         hits += len(x)
-        if hits > 4 * len(fp):
+        if hits > 4 * n:
             break
-        found.append(np.stack([fp[k + x], fp[k + y]], 1))
+        found.append(np.stack([k + x, k + y], 1))
     else:
-        return np.concatenate(found) if found else np.empty((0, 2), np.uint64)
-    out, left = [], fp
+        return np.concatenate(found) if found else np.empty((0, 2), np.int64)
+    out, left = [], every
     while len(left) > 1:
-        root, left = left[0], left[1:]
-        queue = [root]
+        queue, left = [left[0]], left[1:]
         while queue and len(left):
-            near = np.bitwise_count(left ^ queue.pop()) <= distance
+            x = queue.pop()
+            near = close(np.array([x]), left)[0]
             if near.any():
-                out.append(np.stack([np.full(int(near.sum()), root), left[near]], 1))
+                out.append(np.stack([np.full(int(near.sum()), x), left[near]], 1))
                 queue += list(left[near])
                 left = left[~near]
     return np.concatenate(out)
 
 
-def links(fps: DataFrame, distance: int, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints such that linked ones are connected."""
-    parts = plan(fps, distance)
-    rows = keyed(fps, parts)
+def closeness(fp: np.ndarray, distance: int, sig: np.ndarray | None = None, most: int = 0) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """At most `distance` bits apart and, with signatures (n x SIG / 64), at most `most` of theirs."""
+
+    def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        near = np.bitwise_count(fp[a][:, None] ^ fp[b][None, :]) <= distance
+        if sig is not None and near.any():
+            i, j = np.nonzero(near)
+            near[i, j] = np.bitwise_count(sig[a[i]] ^ sig[b[j]]).sum(1) <= most
+        return near
+
+    return close
+
+
+def links(nodes: DataFrame, distance: int, bucket: int = BUCKET, most: int | None = None) -> DataFrame:
+    """Edges (a, b) between nodes such that all linked ones are connected.
+
+    `nodes`: fp, distinct, which is the node itself; or id, fp and sig (binary),
+    where linked ones have at most `most` different bits in sig, too.
+    """
+    names = nodes.columns
+    parts = plan(nodes, distance)
+    rows = keyed(nodes, parts)
     large = rows.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket)
     marked = rows.join(large, ["part", "value"], "left")
-    small = marked.filter("n IS NULL").select("part", "value", F.lit(0).cast("long").alias("sub"), F.lit(0).alias("a"), F.lit(0).alias("b"), "fp")
-    fine = _refined(marked.filter("n IS NOT NULL").select("part", "value", "fp"), parts, distance)
+    small = marked.filter("n IS NULL").select("part", "value", F.lit(0).cast("long").alias("sub"), F.lit(0).alias("a"), F.lit(0).alias("b"), *names)
+    fine = _refined(marked.filter("n IS NOT NULL").select("part", "value", *names), parts, distance)
     fine = fine.join(fine.groupBy("part", "value", "sub").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), ["part", "value", "sub"])
     # Blocks of what is still large: every pair of blocks meets once.
     blocks = F.ceil(F.col("n") / bucket).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    mine = F.pmod(F.xxhash64(*names), blocks).cast("int")
     fine = fine.withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("m", mine)
-    fine = fine.select("part", "value", "sub", F.least("o", "m").alias("a"), F.greatest("o", "m").alias("b"), "fp")
-    buckets = small.unionByName(fine).groupBy("part", "value", "sub", "a", "b").agg(F.collect_list("fp").alias("fp")).filter(F.size("fp") > 1).select("fp")
+    fine = fine.select("part", "value", "sub", F.least("o", "m").alias("a"), F.greatest("o", "m").alias("b"), *names)
+    lists = [F.collect_list(c).alias(c) for c in names]  # all in the same order of rows
+    buckets = small.unionByName(fine).groupBy("part", "value", "sub", "a", "b").agg(*lists).filter(F.size("fp") > 1).select(*names)
+    node = names[0]
 
     def run(batches):
         for batch in batches:
-            edges = [forest(fp.values.to_numpy(zero_copy_only=False).view(np.uint64), distance) for fp in batch.column("fp")]
-            e = np.concatenate(edges).view(np.int64) if edges else np.empty((0, 2), np.int64)
+            out = [np.empty((0, 2), np.int64)]
+            for k in range(batch.num_rows):
+                col = {c: batch.column(c)[k].values for c in names}
+                fp = col["fp"].to_numpy(zero_copy_only=False).view(np.uint64)
+                sig = np.frombuffer(b"".join(col["sig"].to_pylist()), np.uint64).reshape(len(fp), -1) if most is not None else None
+                e = forest(len(fp), closeness(fp, distance, sig, most or 0))
+                if len(e):
+                    out.append(col[node].to_numpy(zero_copy_only=False)[e])
+            e = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
 
-    return buckets.mapInArrow(run, "a long, b long").distinct()
+    return buckets.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -307,9 +338,59 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, bucket
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, shingle: int = 5, distance: int = 4) -> DataFrame:
-    """One document (the smallest doc_id) of each component, with the columns of `docs`; of repeated rows one stays."""
-    groups = near_duplicates(docs, shingle, distance).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+def signature(text: str | None, shingle: int) -> tuple[int, bytes]:
+    """A fingerprint of the distinct words, and SIG one-bit min-hashes of the shingles.
+
+    Two texts whose shingles have the Jaccard similarity J differ in about
+    SIG * (1 - J) / 2 bits of the latter.
+    """
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0, bytes(SIG // 8)
+    digest = xxhash.xxh64_intdigest
+    line = memoryview(b" ".join(words))
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = (ends - [len(w) for w in words]).tolist()
+    ends = ends.tolist()
+    last = [ends[-1]] if len(words) < shingle else ends[shingle - 1 :]
+    h = np.unique(np.array([digest(line[a:b], 42) for a, b in zip(starts, last, strict=False)], np.uint64))
+    least = np.full(SIG, np.iinfo(np.uint64).max)
+    for k in range(0, len(h), 4096):
+        some = h[k : k + 4096]
+        for m in range(0, SIG, 32):
+            np.minimum(least[m : m + 32], (some[None, :] * FACTORS[m : m + 32, None]).min(1), out=least[m : m + 32])
+    sig = np.packbits((least >> np.uint64(7)).astype(np.uint8) & 1, bitorder="little").tobytes()
+    d = np.array([digest(w, 42) for w in set(words)], "<u8")
+    out = np.unpackbits(d.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(out * 2 > len(d), bitorder="little").view("<u8")[0]), sig
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 7) -> DataFrame:
+    """doc_id and component_id: texts of a shingle similarity of about `similarity` or more are linked.
+
+    The fingerprint of shingles is too far apart at 0.8 (ten bits and more of 64),
+    so the search goes over the fingerprint of words, at most `distance` bits, and
+    each pair found is decided by the min-hashes of its shingles.
+    """
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType()), T.StructField("sig", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [signature(t, shingle) for t in b.column("text").to_pylist()]
+            fps = np.array([f for f, _ in got], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps), pa.array([s for _, s in got], pa.binary())], names=["doc_id", "fp", "sig"])
+
+    rows = cut(docs.select("doc_id", "text").mapInArrow(run, schema))
+    nodes = cut(rows.groupBy("fp", "sig").agg(F.min("doc_id").alias("first")).select(F.xxhash64("fp", "sig").alias("id"), "fp", "sig", "first"))
+    label = components(links(nodes.select("id", "fp", "sig"), distance, most=round(SIG * (1 - similarity) / 2) + SLACK))
+    classes = nodes.join(label.withColumnRenamed("node", "id"), "id", "left").select("fp", "sig", "first", F.coalesce("label", "id").alias("label"))
+    least = classes.groupBy("label").agg(F.min("first").alias("component_id"))
+    return rows.join(classes.join(least, "label").select("fp", "sig", "component_id"), ["fp", "sig"]).select("doc_id", "component_id")
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document (the smallest doc_id) of each group of near copies, with the columns of `docs`; of repeated rows one stays."""
+    groups = similar(docs, shingle, similarity).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     kept = docs.join(groups, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"])
 
@@ -318,4 +399,4 @@ def hexed(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-__all__ = ["allotted", "components", "deduplicated", "fingerprint", "fingerprints", "forest", "hexed", "links", "near_duplicates", "plan"]
+__all__ = ["allotted", "components", "deduplicated", "fingerprint", "fingerprints", "forest", "hexed", "links", "near_duplicates", "plan", "signature", "similar"]
