@@ -43,7 +43,8 @@ def rows_of(spark: SparkSession, path: str) -> DataFrame:
 
 def batch_files(spark: SparkSession, drop: str, out: str) -> None:
     """Files of a watched folder, each handled once: accepted and quarantined rows by batch."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.meta.json").load(drop)
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.schema(schema).format("binaryFile").option("pathGlobFilter", "*.meta.json").load(drop)
     meta = F.from_json(F.decode("content", "UTF-8"), "district string, mime string")
     rows = files.select(F.regexp_replace("path", r"\.meta\.json$", "").alias("path"), meta.alias("m")).select("path", "m.*")
     rows = rows.withColumn("reason_code", reject_reason(F.col("district"), F.col("mime")))
