@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 
 from verdigris.llm.common import cut
 
-BUCKET = 2048
+BUCKET = 8192
 BITS, SIG = 64, 256
 #: Bits allowed beyond the expected difference at the similarity asked for (its deviation there is about 5).
 SLACK = 3
@@ -231,9 +231,9 @@ def _refined(rows: DataFrame, parts: list[tuple[list[int], int]], distance: int)
 def forest(n: int, close: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
     """Edges (places, m x 2) that connect all members of a bucket that are close.
 
-    `close(a, b)` gives a matrix for two arrays of places. Few close pairs are given
-    as they are. Dense groups are searched breadth first over those not yet
-    reached, which uses them up in few steps and gives a tree.
+    `close(a, b)` gives a matrix for two arrays of places. Few close pairs are
+    thinned to a forest. Dense groups are searched breadth first over those not
+    yet reached, which uses them up in few steps and gives a tree.
     """
     every, hits, found = np.arange(n), 0, []
     for k in range(0, n - 1, 512):
@@ -243,7 +243,7 @@ def forest(n: int, close: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.
             break
         found.append(np.stack([k + x, k + y], 1))
     else:
-        return np.concatenate(found) if found else np.empty((0, 2), np.int64)
+        return spanning(np.concatenate(found)) if found else np.empty((0, 2), np.int64)
     out, left = [], every
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
@@ -257,14 +257,34 @@ def forest(n: int, close: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.
     return np.concatenate(out)
 
 
+def spanning(pairs: np.ndarray) -> np.ndarray:
+    """The pairs that join what those before them did not; in the order of places, so that buckets tend to agree."""
+    root: dict[int, int] = {}
+    kept = []
+    for k, (x, y) in enumerate(pairs.tolist()):
+        while (r := root.get(x, x)) != x:
+            root[x] = x = root.get(r, r)
+        while (r := root.get(y, y)) != y:
+            root[y] = y = root.get(r, r)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept.append(k)
+    return pairs[kept]
+
+
 def closeness(fp: np.ndarray, distance: int, sig: np.ndarray | None = None, most: int = 0) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """At most `distance` bits apart and, with signatures (n x SIG / 64), at most `most` of theirs."""
 
+    signs = None if sig is None else np.unpackbits(sig.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+
     def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         near = np.bitwise_count(fp[a][:, None] ^ fp[b][None, :]) <= distance
-        if sig is not None and near.any():
-            i, j = np.nonzero(near)
-            near[i, j] = np.bitwise_count(sig[a[i]] ^ sig[b[j]]).sum(1) <= most
+        if signs is not None and near.any():
+            if near.mean() > 0.02:  # many to decide: one product of signs for all
+                near &= signs[a] @ signs[b].T >= SIG - 2 * most - 0.5
+            else:
+                i, j = np.nonzero(near)
+                near[i, j] = np.bitwise_count(sig[a[i]] ^ sig[b[j]]).sum(1) <= most
         return near
 
     return close
@@ -282,8 +302,14 @@ def links(nodes: DataFrame, distance: int, bucket: int = BUCKET, most: int | Non
     large = rows.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket)
     marked = rows.join(large, ["part", "value"], "left")
     small = marked.filter("n IS NULL").select("part", "value", F.lit(0).cast("long").alias("sub"), F.lit(0).alias("a"), F.lit(0).alias("b"), *names)
-    fine = _refined(marked.filter("n IS NOT NULL").select("part", "value", *names), parts, distance)
-    fine = fine.join(fine.groupBy("part", "value", "sub").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), ["part", "value", "sub"])
+    big = marked.filter("n IS NOT NULL").select("part", "value", *names)
+    finer = _refined(big, parts, distance)
+    each = finer.groupBy("part", "value", "sub").agg(F.count(F.lit(1)).alias("n"))
+    # Slices pay where they leave fewer pairs than the bucket has; a dense group is dealt as it is.
+    gain = cut(each.groupBy("part", "value").agg(F.sum(F.col("n") * F.col("n")).alias("_s")).join(large, ["part", "value"]).select("part", "value", "n", (F.col("_s") < F.col("n") * F.col("n")).alias("_slice")))
+    finer = finer.join(each.filter("n > 1"), ["part", "value", "sub"]).join(gain.filter("_slice").select("part", "value"), ["part", "value"])
+    whole = big.join(gain.filter("NOT _slice").select("part", "value", "n"), ["part", "value"]).withColumn("sub", F.lit(-1).cast("long"))
+    fine = finer.select("part", "value", "sub", "n", *names).unionByName(whole.select("part", "value", "sub", "n", *names))
     # Blocks of what is still large: every pair of blocks meets once.
     blocks = F.ceil(F.col("n") / bucket).cast("int")
     mine = F.pmod(F.xxhash64(*names), blocks).cast("int")
@@ -298,11 +324,12 @@ def links(nodes: DataFrame, distance: int, bucket: int = BUCKET, most: int | Non
             out = [np.empty((0, 2), np.int64)]
             for k in range(batch.num_rows):
                 col = {c: batch.column(c)[k].values for c in names}
-                fp = col["fp"].to_numpy(zero_copy_only=False).view(np.uint64)
-                sig = np.frombuffer(b"".join(col["sig"].to_pylist()), np.uint64).reshape(len(fp), -1) if most is not None else None
+                ids, at = np.unique(col[node].to_numpy(zero_copy_only=False), return_index=True)
+                fp = col["fp"].to_numpy(zero_copy_only=False).view(np.uint64)[at]
+                sig = np.frombuffer(b"".join(col["sig"].to_pylist()), np.uint64).reshape(len(col["sig"]), -1)[at] if most is not None else None
                 e = forest(len(fp), closeness(fp, distance, sig, most or 0))
                 if len(e):
-                    out.append(col[node].to_numpy(zero_copy_only=False)[e])
+                    out.append(ids[e])
             e = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
 
