@@ -23,6 +23,7 @@ hold enough. Extra columns are not read; an empty table gives an empty one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.common import cut
 
-SAMPLE, SEGMENT, QUERIES, BLOCK, EPS = 20_000, 4096, 1024, 16, 2.1
+SAMPLE, SEGMENT, QUERIES, EPS = 20_000, 4096, 1024, 2.1
+#: Ends of the column blocks; the last block takes what is left.
+BLOCKS = (24, 40, 56, 128, 256, 512)
 
 
 def usable(rows: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -77,38 +80,64 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.values[column.offsets[0].as_py() : column.offsets[-1].as_py()].to_numpy(zero_copy_only=False).reshape(-1, dim) if len(column) else np.empty((0, dim))
 
 
-def scan(base: np.ndarray, turned: np.ndarray, query: np.ndarray, k: int, eps: float = EPS) -> np.ndarray:
-    """Rows of `turned` that may be among the k nearest to the rotated `query`; the adaptive scan.
+class Columns:
+    """A segment's rotated vectors in column blocks, with the blocks' squared norms."""
 
-    `turned` holds one column block after the other. The first rows are measured
-    whole for a first bound.
+    def __init__(self, y: np.ndarray, blocks: tuple[int, ...] = BLOCKS):
+        edges = [0, *[b for b in blocks if b < y.shape[1]], y.shape[1]]
+        self.dim = y.shape[1]
+        self.spans = list(pairwise(edges))
+        self.blocks = [np.ascontiguousarray(y[:, a:b]) for a, b in self.spans]
+        self.norm = (self.blocks[0] ** 2).sum(1)
+
+
+def scan(columns: Columns, queries: np.ndarray, k: int, eps: float = EPS) -> Iterator[np.ndarray]:
+    """For each rotated query the rows that may be among its k nearest; the adaptive scan.
+
+    The first block is one product for all rows and queries. The rows nearest by
+    it are measured whole, which bounds the k-th distance; then each block ends
+    with the test.
     """
-    n, dim = len(base), len(query)
-    if n <= 2 * k:
-        return np.arange(n)
-    first = min(n, 4 * k)
-    head = np.zeros(first)
-    for at, block in turned:
-        d = block[:first] - query[at : at + block.shape[1]]
-        head += np.einsum("ij,ij->i", d, d)
-    bound = np.partition(head, k - 1)[k - 1]
-    alive, part = np.arange(first, n), np.zeros(n - first)
-    for at, block in turned:
-        d = block[alive] - query[at : at + block.shape[1]]
-        part += np.einsum("ij,ij->i", d, d)
-        seen = at + block.shape[1]
-        if seen < dim:  # test: could the whole distance still be under the bound?
-            keep = part <= bound * (seen / dim) * (1 + eps / np.sqrt(seen)) ** 2
-            alive, part = alive[keep], part[keep]
-    ok = part <= bound
-    return np.concatenate([np.flatnonzero(head <= bound), alive[ok]])
-
-
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", probes: float = 0.15, least_probes: int = 12) -> DataFrame:
+    first, (_, width) = columns.blocks[0], columns.spans[0]
+    n = len(first)
+    for chunk in range(0, len(queries), 256):
+        q = queries[chunk : chunk + 256]
+        partial = (q[:, :width] ** 2).sum(1)[:, None] + columns.norm[None, :] - 2 * q[:, :width] @ first.T
+        for i, part in enumerate(partial):
+            if n <= 4 * k:
+                yield np.arange(n)
+                continue
+            rest = lambda rows, b: ((columns.blocks[b][rows] - q[i, slice(*columns.spans[b])]) ** 2).sum(1)  # noqa: E731, B023
+            best = np.argpartition(part, 4 * k)[: 4 * k]
+            whole = part[best] + sum(rest(best, b) for b in range(1, len(columns.blocks)))
+            bound = np.partition(whole, k - 1)[k - 1] + 1e-9
+            alive, seen = np.arange(n), width
+            for b in range(1, len(columns.blocks) + 1):
+                # Could the whole distance still be under the bound? At the end: is it?
+                slack = (1 + eps / np.sqrt(seen)) ** 2 if seen < columns.dim else 1.0
+                keep = part <= bound * (seen / columns.dim) * slack
+                alive, part = alive[keep], part[keep]
+                if b < len(columns.blocks):
+                    part, seen = part + rest(alive, b), columns.spans[b][1]
+            yield np.union1d(alive, best[whole <= bound])
+
+
+def visits_for(space: Space, sample: np.ndarray, k: int, recall: float, tries: int = 200) -> int:
+    """Lists to visit for the recall asked for: on the sample, how far down a query's lists its nearest stand."""
+    y = space.rotated(sample)
+    near = space.ranked(y).argmin(1)
+    q = sample[:: max(1, len(sample) // tries)][:tries]
+    place = np.argsort(np.argsort(space.ranked(space.rotated(q, query=True)), 1), 1)
+    top = np.argsort(-(q @ sample.T), 1)[:, 1 : k + 1]
+    ranks = np.sort(place[np.arange(len(q))[:, None], near[top]].ravel())
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1 if len(ranks) else 1
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", recall: float = 0.96) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest, its own id excluded.
 
-    `probes`: share of the lists that a query visits, `least_probes` at least and
-    4 * least_probes at most.
+    `recall`: sets how many lists a query visits, by the sample; vectors without
+    clusters need most lists, clustered ones few.
     """
     spark = rows.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -137,7 +166,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
     for r in indexed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():
         sizes[r["list"]] = r["n"]
     segments = np.maximum(1, -(-sizes // SEGMENT))
-    visits = int(np.clip(probes * len(sizes), least_probes, 4 * least_probes))
+    visits = visits_for(space, picked, k, recall)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,17 +200,13 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
         if left.empty or right.empty:
             return pd.DataFrame({"q": [], "ids": [], "score": []})
         x = np.array(left["v"].tolist(), np.float64).reshape(-1, dim)
-        y = space.rotated(x)
-        turned = [(a, np.ascontiguousarray(y[:, a : a + BLOCK])) for a in range(0, dim + 1, BLOCK)]
+        columns = Columns(space.rotated(x))
         q = np.array(right["v"].tolist(), np.float64).reshape(-1, dim)
-        qy = space.rotated(q, query=True)
         ids = left["ids"].to_numpy()
         out_q, out_i, out_s = [], [], []
-        for i in range(len(q)):
-            c = scan(x, turned, qy[i], min(k + 1, len(x)))
+        for i, c in enumerate(scan(columns, space.rotated(q, query=True), min(k + 1, len(x)))):
             s = (x[c] * q[i]).sum(1)
-            best = np.argsort(-s, kind="stable")[: k + 1]
-            cutoff = s[best[-1]]
+            cutoff = np.partition(s, len(s) - min(k + 1, len(s)))[len(s) - min(k + 1, len(s))]
             best = np.flatnonzero(s >= cutoff)
             out_q += [q[i]] * len(best)
             out_i += list(ids[c[best]])
