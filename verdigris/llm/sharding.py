@@ -72,7 +72,8 @@ def shard(docs: DataFrame, shards: int = 24, rounds: int = 3, cell_rows: int = 5
     rows = cut(linked_rows(docs))
     total = rows.count()
     quota = max(1, total // shards)
-    groups = rows.groupBy("node").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("node", F.lit(True).alias("linked"))
+    # Cut, so that the join below stands on two exchanges and Spark can split a hot node's rows.
+    groups = cut(rows.groupBy("node").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("node", F.lit(True).alias("linked")))
     start = F.pmod(F.xxhash64("doc_id", "node"), F.lit(shards)).cast("int").alias("shard")
     marked = cut(rows.join(groups, "node", "left").select("doc_id", "size", "text_crc32", "node", start, F.coalesce("linked", F.lit(False)).alias("linked")))
     moved = propagate(marked.filter("linked").drop("linked"), shards, quota, rounds)
