@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.common import n_words
 
+SALTS = 64
 OWN = ("size", "source_size", "target", "taken")
 
 
@@ -97,9 +98,10 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), ep
     quota = apportion(plan.select("_key", "target", "_blocks"), [], "target", "_blocks", [F.col("_key")], "_quota").select("_key", "_quota")
     plan = plan.join(quota, "_key").withColumn("_shards", F.ceil(F.col("_rows") / shard_rows).cast("long"))
 
-    # The plan has one row per source; it meets the documents by an equi-join whose
-    # large side Spark can split where a source is hot.
-    dealt = sized.withColumn("_key", key).join(plan, "_key").withColumn("_at", F.xxhash64(F.lit(seed), "doc_id", F.col("size")))
+    # The plan has one row per source; each is copied for all salts, so that a hot
+    # source's documents meet it in as many tasks.
+    plan = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = sized.withColumn("_key", key).withColumn("_salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int")).join(plan, ["_key", "_salt"]).withColumn("_at", F.xxhash64(F.lit(seed), "doc_id", F.col("size")))
     dealt = dealt.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_at")), F.col("_shards")))
     cells = dealt.groupBy("_key", "_shard").agg(F.sum("size").alias("_cell"), F.first("_quota").alias("_quota"), F.first("_block").alias("_block"))
     given = apportion(cells.select("_key", "_shard", "_cell", "_quota"), ["_key"], "_cell", "_quota", [F.col("_shard")], "_given").select("_key", "_shard", "_given")
