@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import SPACE, let, words
+from verdigris.llm.common import SPACE, cut, let, words
 
 WINDOW = 8
 STRATA = ("en", "fr", "de", "es")
@@ -97,7 +97,7 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * total)
 
 
-def cutoffs(scored: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05) -> dict[tuple[str, str], float]:
+def cutoffs(scored: DataFrame, labels: DataFrame, risk: float = 0.02, error: float = 0.05) -> dict[tuple[str, str], float]:
     """The chosen cutoff of each (stratum, rule); those that no test supports are missing.
 
     `scored`: doc_id, lang and the figures. The labels side is aggregated to one
@@ -128,12 +128,22 @@ def judge(figured: DataFrame, chosen: dict[tuple[str, str], float]) -> DataFrame
     return figured.withColumn("kept", ~F.col("base_failed") & ~reject)
 
 
-def quality(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05) -> DataFrame:
-    """Figures and verdict of every document; see the module's text."""
-    return judge(figures(docs), cutoffs(figures(_labelled(docs, labels)).drop("text"), labels, risk, error))
+def quality(docs: DataFrame, labels: DataFrame, risk: float = 0.02, error: float = 0.05) -> DataFrame:
+    """Figures and verdict of every document, without its text.
+
+    The figures are computed once and checkpointed (some numbers a document);
+    the cutoffs and the verdicts both come from them.
+    """
+    slim = cut(figures(docs).drop("text"))
+    return judge(slim, cutoffs(slim, labels, risk, error))
 
 
-def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that have a good label, so that only those are worked on twice."""
-    good = labels.filter("quality = 1").select("doc_id").distinct()
-    return docs.select("doc_id", "text", "lang").join(good, "doc_id", "left_semi")
+def kept_documents(docs: DataFrame, labels: DataFrame, risk: float = 0.02, error: float = 0.05) -> DataFrame:
+    """The documents that the rules keep, with the columns of `docs`.
+
+    Texts are not moved: the figures are computed again beside them. The generator
+    keeps the filter from being pushed below them, where they would be computed twice.
+    """
+    slim = cut(figures(docs.select("doc_id", "text", "lang")).drop("text"))
+    judged = judge(figures(docs), cutoffs(slim, labels, risk, error))
+    return judged.select(*docs.columns, F.explode(F.array("kept")).alias("_kept")).filter("_kept").drop("_kept")
