@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.common import cut
 
-SAMPLE, SEGMENT, QUERIES, EPS = 20_000, 4096, 1024, 2.1
+SAMPLE, LIST, SEGMENT, QUERIES, EPS = 20_000, 2048, 8192, 1024, 2.1
 #: Ends of the column blocks; the last block takes what is left.
 BLOCKS = (24, 40, 56, 128, 256, 512)
 
@@ -153,7 +153,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
     few = base.withColumn("r", F.dense_rank().over(same)).filter(F.col("r") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     sample = base.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
     picked = np.array(sample["v"].tolist(), np.float64).reshape(-1, dim)
-    space = Space(picked, reach, int(np.clip(2 * np.sqrt(top["n"]) // 4, 1, 2048)))
+    space = Space(picked, reach, int(np.clip(top["n"] // LIST, 1, 4096)))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -186,11 +186,13 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
                         seg.append(s)
             at = pa.array(row, pa.int64())
             part = pa.array(np.random.default_rng(5).integers(0, 1 << 30, len(x)), pa.int32()).take(at)
-            yield pa.RecordBatch.from_arrays([b.column("v").take(at), pa.array(lst, pa.int32()), pa.array(seg, pa.int32()), part], names=["v", "list", "seg", "part"])
+            yield pa.RecordBatch.from_arrays([b.column("q").take(at), b.column("v").take(at), pa.array(lst, pa.int32()), pa.array(seg, pa.int32()), part], names=["q", "v", "list", "seg", "part"])
 
     asked = usable(queries, id_col, vector).filter(F.size("v") == dim)
-    probing = asked.select("v").distinct().mapInArrow(ask, "v array<double>, list int, seg int, part int")
-    per_list = 1 + asked.count() * visits // max(1, len(sizes)) // QUERIES
+    # Equal query vectors ask once, under their smallest id.
+    once = cut(asked.groupBy("v").agg(F.min("id").alias("q")).select("q", "v"))
+    probing = once.mapInArrow(ask, "q long, v array<double>, list int, seg int, part int")
+    per_list = 1 + once.count() * visits // max(1, len(sizes)) // QUERIES
     pieces = F.lit(per_list)
     probing = probing.withColumn("part", F.col("part") % pieces)
     stored = indexed.withColumn("seg", F.pmod(F.xxhash64("v"), F.element_at(F.array(*[F.lit(int(s)) for s in segments]), F.col("list") + 1)).cast("int"))
@@ -199,6 +201,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
     def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"q": [], "ids": [], "score": []})
+        name = right["q"].to_numpy()
         x = np.array(left["v"].tolist(), np.float64).reshape(-1, dim)
         columns = Columns(space.rotated(x))
         q = np.array(right["v"].tolist(), np.float64).reshape(-1, dim)
@@ -208,16 +211,16 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
             s = (x[c] * q[i]).sum(1)
             cutoff = np.partition(s, len(s) - min(k + 1, len(s)))[len(s) - min(k + 1, len(s))]
             best = np.flatnonzero(s >= cutoff)
-            out_q += [q[i]] * len(best)
+            out_q += [name[i]] * len(best)
             out_i += list(ids[c[best]])
             out_s += list(s[best])
         return pd.DataFrame({"q": out_q, "ids": out_i, "score": out_s})
 
     keys = ["list", "seg", "part"]
-    found = stored.groupBy(*keys).cogroup(probing.groupBy(*keys)).applyInPandas(meet, "q array<double>, ids array<bigint>, score double")
+    found = stored.groupBy(*keys).cogroup(probing.groupBy(*keys)).applyInPandas(meet, "q long, ids array<bigint>, score double")
     # Best distinct vectors of each distinct query, then their ids, then the ids of equal queries.
     by_query = W.partitionBy("q").orderBy(F.desc("score"), F.element_at("ids", 1))
     best = found.withColumn("r", F.row_number().over(by_query)).filter(F.col("r") <= k + 1).groupBy("q").agg(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("s"), i.alias("i"))))).alias("c"))
     best = best.select("q", F.slice(F.array_sort("c"), 1, k + 1).alias("c"))
-    each = asked.distinct().join(best, asked["v"] == best["q"]).select(F.col("id").alias("query_id"), F.slice(F.filter("c", lambda x: x["i"] != F.col("id")), 1, k).alias("c"))
+    each = asked.distinct().join(once, "v").select("id", "q").join(best, "q").select(F.col("id").alias("query_id"), F.slice(F.filter("c", lambda x: x["i"] != F.col("id")), 1, k).alias("c"))
     return each.select("query_id", F.posexplode("c")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.i").alias("vec_id"), (-F.col("col.s")).alias("score"))
