@@ -137,6 +137,16 @@ def test_simhash_links_dense_groups(spark, distance, bucket):
     assert len({next(iter(c)) for c in classes.values()}) == len(classes)
 
 
+def test_components_of_long_chains(spark):
+    rng = np.random.default_rng(5)
+    ids = np.unique(rng.integers(-(1 << 62), 1 << 62, 3000))
+    rng.shuffle(ids)
+    chains = [ids[:2500].tolist(), ids[2500:].tolist()]
+    edges = [x for c in chains for x in zip(c, c[1:], strict=False)]
+    label = {r["node"]: r["label"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert label == {x: min(c) for c in chains for x in c}
+
+
 def test_simhash_empty(spark, odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 

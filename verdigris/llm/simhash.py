@@ -19,8 +19,8 @@ more than two blocks of a bucket, and no link is lost. Within a bucket all
 distances are checked and only a spanning forest leaves it, so a group of n
 near copies gives about n rows, not n squared.
 
-Components are found by rounds of smallest-label joins with pointer jumping;
-each round is checkpointed in the shared folder.
+Components are found by large and small stars in turn, in rounds about the
+logarithm of the longest path; each round is checkpointed in the shared folder.
 
 Nulls: a null text has no shingles and fingerprint zero, like an empty one; it is
 linked like any other. Documents with a null doc_id get a fingerprint and the
@@ -336,21 +336,24 @@ def links(nodes: DataFrame, distance: int, bucket: int = BUCKET, most: int | Non
     return buckets.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """node, label (the smallest node reachable) for all nodes of `edges` (a, b)."""
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b"))
-    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
-    for _ in range(most):
-        seen = both.join(label, both["b"] == label["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        step = label.join(seen, "node").select("node", F.least("label", "m").alias("new"), "label")
-        up = label.select(F.col("node").alias("new"), F.col("label").alias("upper"))
-        step = cut(step.join(up, "new").select("node", F.col("label").alias("old"), F.least("new", "upper").alias("label")))
-        label = step.select("node", "label")
-        if step.filter("old <> label").isEmpty():
+def components(edges: DataFrame) -> DataFrame:
+    """node, label (the smallest node reachable) for all nodes of `edges` (a, b).
+
+    Large stars (larger neighbours go to the smallest one) and small stars (the
+    smaller ones do) in turn until every node but the roots has one edge, to a root.
+    """
+    e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while True:
+        node = e.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("b", F.lit(0), F.lit(1)))
+        if node.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up = 1 AND down = 1").isEmpty():
             break
-    else:
-        raise RuntimeError("labels still change")
-    return label
+        both = e.union(e.select("b", "a"))
+        least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        e = cut(small.distinct())
+    return e.select(F.col("a").alias("node"), F.col("b").alias("label")).union(e.select("b", "b").distinct())
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, bucket: int = BUCKET) -> DataFrame:
