@@ -59,6 +59,27 @@ def test_near_dedup_stage(spark, sf, documents):
     assert sorted(kept) == sorted({c for c in group.values()})
 
 
+def test_near_dedup_of_extended_texts(spark):
+    """Texts extended by new words, at and around the similarity, give the classes of exact comparison."""
+    rows = []
+    for g in range(60):
+        n = 100 + 15 * g
+        words = [f"g{g}w{i}" for i in range(n)]
+        rows.append(words)
+        for k, share in enumerate((0.09, 0.15, 0.24, 0.26)):
+            rows.append(words + [f"g{g}n{k}x{i}" for i in range(int(share * n))])
+    own = [set(zip(*(w[i:] for i in range(5)), strict=False)) for w in rows]
+    find = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a // 5 * 5, a):
+            if 10 * len(own[a] & own[b]) >= 8 * len(own[a] | own[b]):
+                x, y = sorted((find[a], find[b]))
+                find = [x if f == y else f for f in find]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(df).collect()}
+    assert got == dict(enumerate(find))
+
+
 def test_personal_data_and_mix_stages(spark, sf, documents):
     out = C.personal_data(spark, documents, sf)
     assert out.columns == documents.columns and out.count() == documents.count()

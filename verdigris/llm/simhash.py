@@ -31,6 +31,7 @@ read. An empty table gives an empty one.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,8 +45,8 @@ from verdigris.llm.common import cut
 
 BUCKET = 8192
 BITS, SIG = 64, 256
-#: Bits allowed beyond the expected difference at the similarity asked for (its deviation there is about 5).
-SLACK = 3
+#: Odds of losing a pair that has just the similarity asked for.
+MISS = 1e-5
 FACTORS = np.random.default_rng(9).integers(0, 1 << 63, SIG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -368,54 +369,191 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, bucket
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def signature(text: str | None, shingle: int) -> tuple[int, bytes]:
-    """A fingerprint of the distinct words, and SIG one-bit min-hashes of the shingles.
-
-    Two texts whose shingles have the Jaccard similarity J differ in about
-    SIG * (1 - J) / 2 bits of the latter.
-    """
+def hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct XXH64 values of a text's shingles, in order."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0, bytes(SIG // 8)
+        return np.empty(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     line = memoryview(b" ".join(words))
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = (ends - [len(w) for w in words]).tolist()
     ends = ends.tolist()
     last = [ends[-1]] if len(words) < shingle else ends[shingle - 1 :]
-    h = np.unique(np.array([digest(line[a:b], 42) for a, b in zip(starts, last, strict=False)], np.uint64))
+    return np.unique(np.array([digest(line[a:b], 42) for a, b in zip(starts, last, strict=False)], np.uint64))
+
+
+def signature(h: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """SIG min-hashes of a set of hashes, and one bit of each.
+
+    Two sets of the Jaccard similarity J agree in about SIG * J of the former and
+    differ in about SIG * (1 - J) / 2 of the latter.
+    """
+    if not len(h):
+        return np.zeros(SIG, np.uint64), bytes(SIG // 8)
     least = np.full(SIG, np.iinfo(np.uint64).max)
     for k in range(0, len(h), 4096):
         some = h[k : k + 4096]
         for m in range(0, SIG, 32):
             np.minimum(least[m : m + 32], (some[None, :] * FACTORS[m : m + 32, None]).min(1), out=least[m : m + 32])
-    sig = np.packbits((least >> np.uint64(7)).astype(np.uint8) & 1, bitorder="little").tobytes()
-    d = np.array([digest(w, 42) for w in set(words)], "<u8")
-    out = np.unpackbits(d.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(out * 2 > len(d), bitorder="little").view("<u8")[0]), sig
+    return least, np.packbits((least >> np.uint64(7)).astype(np.uint8) & 1, bitorder="little").tobytes()
+
 
+def layout(similarity: float, miss: float = MISS) -> tuple[int, int, int]:
+    """Bands, min-hashes a band and most different bits, so that a pair of the similarity is lost by either with odds of at most `miss`."""
+    width = max((r for r in range(1, SIG + 1) if (1 - similarity**r) ** (SIG // r) <= miss), default=1)
+    bands = next(b for b in range(1, SIG // width + 1) if b == SIG // width or (1 - similarity**width) ** b <= miss)
+    odds, most, tail = (1 - similarity) / 2, -1, 1.0
+    while tail > miss:
+        most += 1
+        tail -= math.comb(SIG, most) * odds**most * (1 - odds) ** (SIG - most)
+    return bands, width, most
 
-def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 7) -> DataFrame:
-    """doc_id and component_id: texts of a shingle similarity of about `similarity` or more are linked.
 
-    The fingerprint of shingles is too far apart at 0.8 (ten bits and more of 64),
-    so the search goes over the fingerprint of words, at most `distance` bits, and
-    each pair found is decided by the min-hashes of its shingles.
+def nearest(sig: np.ndarray, most: int, known: list[tuple[int, int, bool]], forests: int) -> list[tuple[int, int]]:
+    """Edges of up to `forests` disjoint spanning forests of the fewest different bits (Prim), of at most `most`.
+
+    Of the `known` pairs of places, true ones cost nothing and are not given again; others are left out.
     """
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType()), T.StructField("sig", T.BinaryType())])
+    n, far = len(sig), SIG + 1
+    if n == 2 and not known:
+        return [(0, 1)] if np.bitwise_count(sig[0] ^ sig[1]).sum() <= most else []
+    near: dict[int, list[int]] = {}
+    out: dict[int, list[int]] = {}
+    for x, y, ok in known:
+        side = near if ok else out
+        side.setdefault(x, []).append(y)
+        side.setdefault(y, []).append(x)
+    edges: list[tuple[int, int]] = []
+    for _ in range(forests):
+        best, source, left = np.full(n, far, np.int16), np.zeros(n, np.int64), np.ones(n, bool)
+        x, found = 0, []
+        for _ in range(n - 1):
+            left[x], best[x] = False, far + 1
+            d = np.bitwise_count(sig ^ sig[x]).sum(1, dtype=np.int16)
+            if x in out:
+                d[out[x]] = far
+            if x in near:
+                d[near[x]] = -1
+            closer = left & (d < best)
+            best[closer], source[closer] = d[closer], x
+            y = int(best.argmin())
+            if 0 <= best[y] <= most:
+                found.append((int(source[y]), y))
+            x = y
+        if not found:
+            break
+        edges += found
+        for x, y in found:
+            out.setdefault(x, []).append(y)
+            out.setdefault(y, []).append(x)
+    return edges
+
+
+def met(nodes: DataFrame, bands: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Buckets (key, id, sig: lists of nodes) of two and more nodes; every two nodes of a band's value meet in one.
+
+    Values of more than `bucket` nodes are dealt as pairs of blocks.
+    """
+    large = bands.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    blocks = F.ceil(F.col("n") / bucket).cast("int")
+    rows = bands.join(large, "value").withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("m", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    rows = rows.select(F.xxhash64("value", F.least("o", "m"), F.greatest("o", "m")).alias("key"), "id").join(nodes.select("id", "sig"), "id")
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = rows.repartition(tasks, "key").groupBy("key").agg(F.collect_list("id").alias("id"), F.collect_list("sig").alias("sig"))
+    return each.filter(F.size("id") > 1)
+
+
+def candidates(buckets: DataFrame, most: int, forests: int) -> DataFrame:
+    """key, a, b (a < b): what is to be compared next in each bucket (key, id, sig, known)."""
+
+    def run(batches):
+        for batch in batches:
+            key, a, b = [], [], []
+            for k in range(batch.num_rows):
+                ids, at = np.unique(batch.column("id")[k].values.to_numpy(zero_copy_only=False), return_index=True)
+                sig = np.frombuffer(b"".join(batch.column("sig")[k].values.to_pylist()), np.uint64).reshape(-1, SIG // 64)[at]
+                known = batch.column("known")[k].as_py() or []
+                place = {v: i for i, v in enumerate(ids.tolist())} if known else {}
+                pairs = [(place[x["a"]], place[x["b"]], x["ok"]) for x in known if x["a"] in place and x["b"] in place]
+                for x, y in nearest(sig, most, pairs, forests):
+                    key.append(batch.column("key")[k].as_py())
+                    a.append(ids[min(x, y)])
+                    b.append(ids[max(x, y)])
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["key", "a", "b"])
+
+    return buckets.select("key", "id", "sig", "known").mapInArrow(run, "key long, a long, b long")
+
+
+def compared(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """a, b, ok: whether the shingle sets of two nodes have the Jaccard similarity; `texts`: id, text."""
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("t")), "b")
+
+    def run(batches):
+        for batch in batches:
+            ok = []
+            for s, t in zip(batch.column("s"), batch.column("t"), strict=True):
+                x, y = hashes(s.as_py(), shingle), hashes(t.as_py(), shingle)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+
+    return both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long, ok boolean")
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket: int = BUCKET) -> DataFrame:
+    """doc_id and component_id: texts whose shingle sets have a Jaccard similarity of `similarity` or more are linked.
+
+    Texts meet where all min-hashes of a band agree; the bands follow from the
+    similarity alone, so the vocabulary does not matter. In each bucket the pairs
+    likely to be linked are thinned to a spanning forest, whose edges are compared
+    exactly. Where one fails, the bucket is searched again without it, for twice as
+    many forests each round, until all likely pairs are joined or refuted.
+    """
+    bands, width, most = layout(similarity)
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("hash", T.LongType()), T.StructField("id", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("band", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [signature(t, shingle) for t in b.column("text").to_pylist()]
-            fps = np.array([f for f, _ in got], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps), pa.array([s for _, s in got], pa.binary())], names=["doc_id", "fp", "sig"])
-
-    rows = cut(docs.select("doc_id", "text").mapInArrow(run, schema))
-    nodes = cut(rows.groupBy("fp", "sig").agg(F.min("doc_id").alias("first")).select(F.xxhash64("fp", "sig").alias("id"), "fp", "sig", "first"))
-    label = components(links(nodes.select("id", "fp", "sig"), distance, most=round(SIG * (1 - similarity) / 2) + SLACK))
-    classes = nodes.join(label.withColumnRenamed("node", "id"), "id", "left").select("fp", "sig", "first", F.coalesce("label", "id").alias("label"))
+            ids, sigs, values = [], [], []
+            for t in b.column("text").to_pylist():
+                h = hashes(t, shingle)
+                least, sig = signature(h)
+                ids.append(xxhash.xxh64_intdigest(h.tobytes()))
+                sigs.append(sig)
+                values.append([xxhash.xxh64_intdigest(least[k * width : (k + 1) * width].tobytes(), k) for k in range(bands)])
+            flat = pa.array(np.array(values, np.uint64).view(np.int64).ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * bands), flat)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("hash"), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sigs, pa.binary()), lists], names=schema.names)
+
+    texts = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    rows = cut(texts.mapInArrow(run, schema))
+    one = rows.groupBy("id").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "hash")).alias("held"), F.min_by("sig", "hash").alias("sig"), F.min_by("band", "hash").alias("band"))
+    nodes = cut(one)
+    buckets = cut(met(nodes, nodes.select("id", F.explode("band").alias("value")), bucket))
+    named = cut(candidates(buckets.withColumn("known", F.expr("CAST(NULL AS array<struct<a:long,b:long,ok:boolean>>)")), most, 1))
+    facts, new, forests = None, named, 1
+    while True:
+        pairs = new.select("a", "b").distinct()
+        if facts is not None:
+            pairs = pairs.join(facts, ["a", "b"], "left_anti")
+        pairs = cut(pairs)
+        ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        held = ends.join(nodes, "id").select("id", F.col("held.doc_id").alias("_doc"), F.col("held.hash").alias("_hash"))
+        found = texts.join(held, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("hash") == F.col("_hash")))
+        tried = compared(pairs, found.groupBy("id").agg(F.min("text").alias("text")), shingle, similarity)
+        facts = cut(tried if facts is None else facts.union(tried))
+        failed = new.join(facts.filter("NOT ok"), ["a", "b"]).select("key").distinct()
+        again = named.join(failed, "key").join(facts, ["a", "b"]).groupBy("key").agg(F.collect_list(F.struct("a", "b", "ok")).alias("known"))
+        forests *= 2
+        new = cut(candidates(buckets.join(again, "key"), most, forests))
+        if new.isEmpty():
+            break
+        named = cut(named.union(new))
+    label = components(facts.filter("ok").select("a", "b"))
+    classes = nodes.select("id", "first").join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "first", F.coalesce("label", "id").alias("label"))
     least = classes.groupBy("label").agg(F.min("first").alias("component_id"))
-    return rows.join(classes.join(least, "label").select("fp", "sig", "component_id"), ["fp", "sig"]).select("doc_id", "component_id")
+    return rows.select("doc_id", "id").join(classes.join(least, "label").select("id", "component_id"), "id").select("doc_id", "component_id")
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -429,4 +567,4 @@ def hexed(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-__all__ = ["allotted", "components", "deduplicated", "fingerprint", "fingerprints", "forest", "hexed", "links", "near_duplicates", "plan", "signature", "similar"]
+__all__ = ["allotted", "components", "deduplicated", "fingerprint", "fingerprints", "forest", "hashes", "hexed", "layout", "links", "near_duplicates", "plan", "signature", "similar"]
