@@ -457,3 +457,17 @@ def test_adaptive_scan_keeps_the_nearest():
         near = np.argsort(((base - v) ** 2).sum(1))[:20]
         hit.append(np.isin(near, rows).mean())
     assert np.mean(hit) > 0.97
+
+
+@pytest.mark.parametrize(
+    "before",
+    ['<svg class="icon"/>', "<svg/>", "<svg><path d=x></svg>", '<a href="#"><svg class=icon></a>', "<svg><title/><path>", "<datalist><option value=x></datalist>", "<div><button>no</div>", "<div><object data=a></div>", "<noscript>no", "<button>no", "<select><option>no<option>no</select>", "<template><main>no</main></template>", "<title>no</title><script>no</script>"],
+)
+def test_page_keeps_what_follows_elements_left_out(before):
+    page = html.Page(f"<body>{before}<main><p>kept <button>no <b>no</b></button>one</p><p>two</p></main><svg></svg></body>")
+    assert [t for _, t in page.blocks] == ["kept one", "two"]
+    assert [page.tag[n] for n, _ in page.blocks] == ["p", "p"]
+
+
+def test_copyright_cue_anywhere_in_a_block():
+    assert html.Page("<p>" + "word " * 200 + "© x</p>").features()[1] >> 17 & 1

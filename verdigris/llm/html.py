@@ -34,11 +34,17 @@ from pyspark.sql import types as T
 SAMPLE = 2000
 #: Fixed sets of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea select button option svg iframe object head title".split())
+RAW = frozenset("script style textarea iframe head title".split())
+#: Elements that are left out with all below them; they end with their parent at the latest.
+APART = frozenset("noscript template select button option svg object".split())
+#: Start tags that end an svg (HTML's rule for foreign content), and those that end any element left out but a template.
+BREAKS = frozenset("blockquote body center dd div dl dt h1 h2 h3 h4 h5 h6 head hr li menu ol p pre table ul".split())
+ENDS_ALL = frozenset("article main body".split())
+SELF_CLOSED = re.compile(r"(?:^|[\s\"']|=\S*[\"']|(?:^|\s)[^\s=]+)/\s*\Z")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table")}
 
 TAG_KINDS = [("content", "article main"), ("aside", "nav aside header footer menu"), ("form", "form fieldset"), ("para", "p blockquote pre"), ("head", "h1 h2 h3 h4 h5 h6"), ("list", "ul ol dl"), ("item", "li dt dd"), ("box", "div section"), ("top", "html body"), ("cell", "table tr td th tbody thead figure figcaption")]
 TAG_BIT = {t: i for i, (_, names) in enumerate(TAG_KINDS) for t in names.split()}
@@ -67,6 +73,8 @@ class Page:
         self._parts: list[str] = []
         self._links = 0
         self._in_link = 0
+        self._inline: dict[str, int] = {}
+        self._apart = 0  # place in `open` of the outermost element left out, whose entries have no node
         self._read(source)
         self._flush()
 
@@ -85,13 +93,15 @@ class Page:
             name = m[2].lower()
             if m[1]:
                 self._end(name)
-            elif name in RAW:
+            elif name in RAW and not (self._apart and SELF_CLOSED.search(m[3] or "")):
                 close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
                 at = close.end() if close else (len(source) if name != "head" else at)
             else:
                 self._start(name, m[3] or "")
 
     def _text(self, data: str) -> None:
+        if self._apart:
+            return
         self._parts.append(data)
         if self._in_link:
             self._links += len(data)
@@ -101,7 +111,7 @@ class Page:
             raw = "".join(self._parts)
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
-                node = self.open[-1][1]
+                node = self.open[self._apart - 1][1]
                 self.blocks.append((node, text))
                 self.size[node] += len(text)
                 self.link[node] += min(self._links, len(text))
@@ -109,12 +119,34 @@ class Page:
             self._parts, self._links = [], 0
 
     def _close_to(self, depth: int) -> None:
-        self._flush()
+        if not self._apart or depth < self._apart:  # what is left out does not part the text around it
+            self._flush()
+        if depth <= self._apart:
+            self._apart = 0
         del self.open[depth:]
 
+    def _start_apart(self, name: str, attributes: str) -> bool:
+        """Start an element that is left out or stands below one; False if the tag ends what is left out."""
+        if self._apart:
+            root, below = self.open[self._apart][0], {n for n, _ in self.open[self._apart :]}
+            if (name in ENDS_ALL and "template" not in below) or (root == "svg" and name in BREAKS and "foreignobject" not in below):
+                self._close_to(self._apart)
+                return False
+        elif name not in APART:
+            return False
+        if name == "option" and self.open[-1][0] == "option":
+            self._close_to(len(self.open) - 1)
+        if name not in VOID and not SELF_CLOSED.search(attributes):
+            self._apart = self._apart or len(self.open)
+            self.open.append((name, -1))
+        return True
+
     def _start(self, name: str, attributes: str) -> None:
+        if (self._apart or name in APART) and self._start_apart(name, attributes):
+            return
         if name in INLINE:
             self._in_link += name == "a"
+            self._inline[name] = self._inline.get(name, 0) + 1
             return
         if name == "br":
             self._parts.append(" ")
@@ -147,20 +179,30 @@ class Page:
         self.size.append(0)
         self.link.append(0)
         self.tail.append("")
-        if not attributes.rstrip().endswith("/") or name not in ("svg", "path"):
-            self.open.append((name, len(self.parent) - 1))
+        self.open.append((name, len(self.parent) - 1))
 
     def _end(self, name: str) -> None:
+        if self._apart and name in INLINE:
+            inside = [d for d in range(self._apart, len(self.open)) if self.open[d][0] == name]
+            if inside:
+                self._close_to(inside[-1])
+                return
+            if not self._inline.get(name):
+                return
+            self._close_to(self._apart)
         if name in INLINE:
+            self._inline[name] = max(0, self._inline.get(name, 0) - 1)
             if name == "a":
                 self._in_link = max(0, self._in_link - 1)
             return
         for d in range(len(self.open) - 1, 0, -1):
             if self.open[d][0] == name:
-                self._in_link = 0
+                if self.open[d][1] >= 0:
+                    self._in_link = 0
+                    self._inline.clear()
                 self._close_to(d)
                 return
-        if name == "p":
+        if name == "p" and not self._apart:
             self._flush()
 
     def features(self) -> list[int]:
@@ -179,7 +221,7 @@ class Page:
             if self.kind[self.parent[i]] & apart or out[self.parent[i]] >> 18 & 1:
                 out[i] |= 1 << 18
         for node, text in self.blocks:
-            if "©" in text[:400]:
+            if "©" in text:
                 out[node] |= 1 << 17
         return out
 
