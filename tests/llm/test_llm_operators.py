@@ -471,3 +471,63 @@ def test_page_keeps_what_follows_elements_left_out(before):
 
 def test_copyright_cue_anywhere_in_a_block():
     assert html.Page("<p>" + "word " * 200 + "© x</p>").features()[1] >> 17 & 1
+
+
+def many_vectors(kind, n=12_000, dim=32):
+    rng = np.random.default_rng(len(kind))
+    if kind == "even":
+        x = rng.normal(size=(n, dim))
+    else:
+        centres = rng.normal(size=(120, dim)) * 2
+        odds = np.arange(1, 121.0) ** -1.2 if kind == "skewed" else np.ones(120)
+        x = centres[rng.choice(120, n, p=odds / odds.sum())] + rng.normal(size=(n, dim)) * 0.4
+    if kind == "norms":
+        x *= rng.lognormal(0, 0.7, n)[:, None]
+    return x
+
+
+@pytest.mark.parametrize(("kind", "list_rows", "centres"), [("even", 400, 4096), ("clustered", 400, 4096), ("norms", 300, 4096), ("skewed", 300, 4096), ("clustered", 150, 20)])
+def test_ann_recall_over_many_lists(spark, kind, list_rows, centres, monkeypatch):
+    monkeypatch.setattr(ann, "SEGMENT", 1000)
+    monkeypatch.setattr(ann, "QUERIES", 50)
+    x = many_vectors(kind)
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    # Queries of one cluster only, so that most lists have none.
+    asked = rows.filter("vec_id % 100 = 0") if kind != "clustered" else rows.filter("vec_id < 3000 AND vec_id % 20 = 0")
+    got = defaultdict(list)
+    for r in ann.nearest(rows, asked, 20, list_rows=list_rows, centres=centres).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    names = sorted(r["vec_id"] for r in asked.collect())
+    hit = []
+    for q in names:
+        s = x @ x[q]
+        s[q] = -np.inf
+        rows_ = sorted(got[q])
+        assert [r for r, _, _ in rows_] == list(range(1, 21)) and all(abs(s[i] - v) < 1e-9 for _, i, v in rows_)
+        hit.append(len({i for _, i, _ in rows_} & set(np.argsort(-s)[:20].tolist())) / 20)
+    assert np.mean(hit) >= 0.9, np.mean(hit)
+
+
+def test_ann_rounds_return_few_rows(spark):
+    """What the segments return is near k a query, also where a query visits every list."""
+    x = many_vectors("even", 8000)
+    space = ann.Space(x, float(np.sqrt((x * x).sum(1).max())), 20)
+    rows = spark.createDataFrame([(v, [i]) for i, v in enumerate(x.tolist())], "v array<double>, ids array<bigint>")
+    stored = ann.cut(ann.index(rows, space))
+    sizes = ann.cut(stored.groupBy("list").count().withColumnRenamed("count", "n"))
+    s = np.sort(x @ x[:50].T, 0)[-63]
+    state = spark.createDataFrame([(i, x[i].tolist(), float(s[i])) for i in range(50)], "q long, v array<double>, bound double")
+    found = ann.meeting(stored, ann.asks(state, space, 0, 20), sizes, space, 20).groupBy("q").count().collect()
+    assert all(r["count"] <= 63 for r in found) and np.mean([r["count"] for r in found]) >= 0.6 * 63
+    order = space.order(space.rotated(x[:5], query=True), 20)
+    assert all(sorted(o) == list(range(20)) for o in order.tolist())
+
+
+def test_ann_two_codebooks_order_every_list():
+    x = many_vectors("clustered", 2000)
+    space = ann.Space(x, 20.0, 500, centres=40)
+    assert space.lists > 300
+    y = space.rotated(x[:3], query=True)
+    whole = space.order(y, space.lists)
+    assert all(sorted(o) == list(range(space.lists)) for o in whole.tolist())
+    assert (space.order(y, 37) == whole[:, :37]).all()
