@@ -8,27 +8,38 @@ stored last tokens make appends exact (only the new bytes are worked on) and let
 an edit keep everything before it and everything after the next point at which
 the old and the new piece boundaries meet (`Encoding`).
 
-Column operators: `encode`, `decode`, `append`.
-Nulls count as empty texts. Repeated rows, ties and extra columns pass through;
-an empty table gives an empty table.
+The tokens that end each prefix come from one Aho-Corasick automaton of the
+vocabulary, longest first. Short pieces are remembered with their packed ids, in
+two generations, so that frequent ones stay when the memo is full.
+
+Column operators: `encode`, `decode`, `coded` (both in one pass), `append`.
+Nulls count as empty texts. Very long texts are one row's work; memory is in
+proportion to the row. Repeated rows, ties and extra columns pass through; a
+column named like a new one is replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 import sys
 from array import array
 from collections.abc import Iterator
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pieces up to this many characters are remembered, at most so many per task.
-MEMO_CHARS, MEMO_PIECES = 48, 200_000
+MEMO_CHARS, MEMO_PIECES = 48, 300_000
+#: Remembered answers to whether two tokens keep their border.
+MEMO_PAIRS = 1_000_000
+#: A match of the pattern looks at fewer than this many characters beyond its end (contractions and white space look at two).
+LOOK = 3
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,22 +53,25 @@ class PrefixTable:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.token = {i: t for t, i in ranks.items()}
-        self.parts: dict[int, tuple[int, int]] = {}
-        self.merged: dict[tuple[int, int], int] = {}
-        self.ending: dict = {}
+        size = max(ranks.values(), default=-1) + 1
+        self.token: list[bytes | None] = [None] * size
+        for t, i in ranks.items():
+            self.token[i] = t
+        self.left, self.right = [-1] * size, [-1] * size
+        self.merged: dict[int, int] = {}
+        self.ending = ahocorasick.Automaton()
         for t, i in sorted(ranks.items(), key=lambda x: x[1]):
             if len(t) > 1:
                 last = self._last_merge(t, i)
                 if last is None:
                     continue  # no sequence of merges gives it; only a whole piece can be it
-                self.parts[i] = last
-                self.merged[last] = i
-            node = self.ending
-            for b in reversed(t):
-                node = node.setdefault(b, {})
-            node[-1] = i
-        self._fits: dict[tuple[int, int], bool] = {}
+                self.left[i], self.right[i] = last
+                self.merged[last[0] << 32 | last[1]] = i
+            self.ending.add_word(t.decode("latin-1"), (len(t), i))
+        if len(self.ending):
+            self.ending.make_automaton()
+        self.longest = max(map(len, ranks), default=0)
+        self._fits: dict[int, bool] = {}
 
     def _last_merge(self, token: bytes, rank: int) -> tuple[int, int] | None:
         """The two tokens whose merge completes `token` when it is encoded alone."""
@@ -77,10 +91,10 @@ class PrefixTable:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether BPE keeps the border when the two tokens' bytes stand side by side."""
-        key = (left, right)
+        key = left << 32 | right
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) >= MEMO_PAIRS:
                 self._fits.clear()
             known = self._fits[key] = self._border_holds(left, right)
         return known
@@ -89,48 +103,49 @@ class PrefixTable:
         # Undo the merges on both sides from the latest to the earliest. The border
         # falls if, at some time, the units at it merge before the next merge of
         # either side; on equal ranks the left-hand merge happens first.
-        none = len(self.token) * 4
-        until = none
+        merged, last, first = self.merged.get, self.right, self.left
+        until = none = len(self.token) * 4
         while True:
-            across = self.merged.get((left, right), none)
-            if across < until:
+            if merged(left << 32 | right, none) < until:
                 return False
             if left > right:
-                until, parts = left, self.parts.get(left)
-                if parts:
-                    left = parts[1]
+                until, inner = left, last[left]
+                if inner >= 0:
+                    left = inner
                     continue
-                until, parts = right + 1, self.parts.get(right)
-                if not parts:
+                until, inner = right + 1, first[right]
+                if inner < 0:
                     return True
-                right = parts[0]
+                right = inner
             else:
-                until, parts = right + 1, self.parts.get(right)
-                if parts:
-                    right = parts[0]
+                until, inner = right + 1, first[right]
+                if inner >= 0:
+                    right = inner
                     continue
-                until, parts = left, self.parts.get(left)
-                if not parts:
+                until, inner = left, last[left]
+                if inner < 0:
                     return True
-                left = parts[1]
+                left = inner
 
     def extend(self, piece: bytes, last: list[int]) -> list[int]:
         """Append to `last` the last token of each prefix of `piece` that is longer than it."""
-        for end in range(len(last) + 1, len(piece) + 1):
-            node, at, found = self.ending, end, []
-            while at:
-                node = node.get(piece[at - 1])
-                if node is None:
-                    break
-                at -= 1
-                if -1 in node:
-                    found.append((at, node[-1]))
-            for start, t in reversed(found):
-                if not start or self.fits(last[start - 1], t):
-                    last.append(t)
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a single byte")
+        if len(last) == len(piece):
+            return last
+        # Tokens that end beyond what is known start at most a longest token before it.
+        pairs, found = self._fits.get, len(last) - 1
+        for end, (size, t) in self.ending.iter(piece.decode("latin-1"), max(0, len(last) - self.longest)):
+            if end <= found:
+                continue  # its last token is known
+            start = end + 1 - size
+            if start:
+                before = last[start - 1]
+                holds = pairs(before << 32 | t)
+                if not (self.fits(before, t) if holds is None else holds):
+                    continue
+            last.append(t)
+            found = end
+        if len(last) != len(piece):
+            raise ValueError("the vocabulary lacks a single byte")
         return last
 
     def ids(self, piece: bytes, last: list[int]) -> list[int]:
@@ -169,10 +184,10 @@ class Encoding:
 
     def edit(self, start: int, end: int, new: str) -> None:
         """Replace text[start:end]; pieces away from the edit keep their stored tokens."""
-        # A match looks at most one character beyond its end, so a piece that ends
-        # before `start` stays as it is.
+        # A match looks at fewer than LOOK characters beyond its end, so a piece that
+        # ends that far before `start` stays as it is; matches never look back.
         keep = 0
-        while keep < len(self.pieces) and self.pieces[keep][1] < start:
+        while keep < len(self.pieces) and self.pieces[keep][1] + LOOK <= start:
             keep += 1
         rest = self.pieces[keep:]
         shift = len(new) - (end - start)
@@ -181,7 +196,7 @@ class Encoding:
         begin = self.pieces[-1][1] if self.pieces else 0
         first = rest[0] if rest else None
         had = len(self.pieces)
-        self._scan(begin, [p for p in rest if p[0] >= end + 1], shift)
+        self._scan(begin, [p for p in rest if p[0] >= end], shift)
         if first and len(self.pieces) > had:  # the touched piece shares a prefix with the old one
             a, b, piece, last = self.pieces[had]
             same = 0
@@ -202,26 +217,41 @@ class Encoding:
         return out
 
 
-class Encoder:
-    """Encodes whole texts; remembers the ids of short pieces."""
+class Encoder(dict):
+    """Encodes whole texts; remembers the packed ids of short pieces."""
 
     def __init__(self, tables: PrefixTable, pattern: str):
-        self.tables, self.find = tables, regex.compile(pattern).findall
-        self.memo: dict[str, tuple[int, ...]] = {}
-
-    def ids(self, text: str) -> array:
-        out, memo = array("I"), self.memo
-        take = out.extend
-        for piece in self.find(text):
-            got = memo.get(piece)
-            if got is None:
-                got = tuple(self.tables.piece_ids(piece.encode()))
-                if len(piece) <= MEMO_CHARS:
-                    if len(memo) >= MEMO_PIECES:
-                        memo.clear()
-                    memo[piece] = got
-            take(got)
-        return out
+        super().__init__()
+        self.tables, self.find, self.old = tables, regex.compile(pattern).findall, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.old.get(piece)
+        if got is None:
+            got = packed(self.tables.piece_ids(piece.encode()))
+        if len(piece) <= MEMO_CHARS:
+            if len(self) >= MEMO_PIECES:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = got
+        return got
+
+    def packed_ids(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.find(text)))
+
+
+class Decoder:
+    """The bytes of many texts' packed ids at once: one take from the column of tokens."""
+
+    def __init__(self, tables: PrefixTable):
+        self.tokens = pa.array([t or b"" for t in tables.token], pa.large_binary())
+
+    def texts(self, data: list[bytes]) -> list[bytes]:
+        ids = pa.array(np.frombuffer(b"".join(data), "<u4"))
+        found = self.tokens.take(ids)
+        ends = np.cumsum([0, *[len(x) // 4 for x in data]])
+        at = np.frombuffer(found.buffers()[1], np.int64)[: len(ids) + 1][ends]
+        whole = memoryview(found.buffers()[2] or b"")
+        return [bytes(whole[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def packed(ids) -> bytes:
@@ -261,14 +291,29 @@ def _fresh(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in {n.lower() for n in names}])
 
 
+#: Texts of a batch are worked on in runs of about so many characters, which bounds what a task holds besides its batch.
+RUN_CHARS = 1 << 20
+
+
+def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Borders of runs of texts of about RUN_CHARS characters."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= RUN_CHARS:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts) or not texts:
+        yield start, len(texts)
+
+
 def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "token_ids", keep_text: bool = False) -> DataFrame:
     """Add `ids` (binary, 4 bytes little-endian per token) and `n_tokens`; the text goes unless kept.
 
     The ranks (some 50,000 entries, bounded by the vocabulary) are broadcast.
     A column that already has one of the two new names is replaced.
     """
-    spark = df.sparkSession
-    shared = _Shared(spark, vocabulary)
+    shared = _Shared(df.sparkSession, vocabulary)
     df = _fresh(df, *({ids, "n_tokens"} - {text}))
     rest = [f for f in df.schema.fields if keep_text or f.name != text]
     schema = T.StructType([*rest, T.StructField(ids, T.BinaryType()), T.StructField("n_tokens", T.LongType())])
@@ -276,9 +321,11 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(_tables_of(shared), pattern)
         for batch in batches:
-            data = [packed(encoder.ids(x or "")) for x in batch.column(text).to_pylist()]
-            cols = [batch.column(f.name) for f in rest]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(data, pa.binary()), pa.array([len(x) // 4 for x in data], pa.int64())], names=[f.name for f in schema.fields])
+            texts = [x or "" for x in batch.column(text).to_pylist()]
+            for a, b in _runs(texts):
+                data = [encoder.packed_ids(x) for x in texts[a:b]]
+                cols = [batch.column(f.name).slice(a, b - a) for f in rest]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(data, pa.binary()), pa.array([len(x) // 4 for x in data], pa.int64())], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -290,14 +337,38 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "token_ids", out: str = "d
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {i: t for t, i in shared.value.items()}.__getitem__
+        decoder = Decoder(_tables_of(shared))
         for batch in batches:
-            data = [b"".join(map(token, unpacked(x or b""))) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], names=[f.name for f in schema.fields])
+            data = decoder.texts([x or b"" for x in batch.column(ids).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
+def coded(df: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
+    """Encode and decode in one pass: n_tokens and digests of ids and decoded bytes in place of the text.
+
+    Checks a vocabulary on a corpus without moving ids between workers and Spark.
+    """
+    shared = _Shared(df.sparkSession, vocabulary)
+    own = ("n_tokens", "ids_sha256", "decoded_sha256")
+    rest = [f for f in df.schema.fields if f.name != text and f.name.lower() not in own]
+    schema = T.StructType([*rest, T.StructField(own[0], T.LongType()), *[T.StructField(c, T.StringType()) for c in own[1:]]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = _tables_of(shared)
+        encoder, decoder = Encoder(tables, pattern), Decoder(tables)
+        digest = lambda data: pa.array([hashlib.sha256(x).hexdigest() for x in data], pa.string())
+        for batch in batches:
+            texts = [x or "" for x in batch.column(text).to_pylist()]
+            for a, b in _runs(texts):
+                data = [encoder.packed_ids(x) for x in texts[a:b]]
+                cols = [batch.column(f.name).slice(a, b - a) for f in rest]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([len(x) // 4 for x in data], pa.int64()), digest(data), digest(decoder.texts(data))], names=schema.names)
+
+    return df.select(text, *[f.name for f in rest]).mapInArrow(run, schema)
+
+
 def append(df: DataFrame, vocabulary: str, pattern: str, more: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """Add `ids` for text followed by column `more`, by exact appends to the stored prefixes."""
     shared = _Shared(df.sparkSession, vocabulary)
@@ -312,12 +383,11 @@ def append(df: DataFrame, vocabulary: str, pattern: str, more: str, text: str =
                 state = Encoding(tables, pattern, a or "")
                 state.append(b or "")
                 data.append(packed(state.ids()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], names=[f.name for f in schema.fields])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
 def digests(df: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """Encode, decode, and keep only digests of both."""
-    coded = encode(df.select("doc_id", "text"), vocabulary, pattern)
-    return decode(coded, vocabulary).select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded(df.select("doc_id", "text"), vocabulary, pattern)
