@@ -390,8 +390,9 @@ def test_warc_round_trip(spark, tmp_path):
     big = "<p>é" + "x" * 2000
     rows = [(1, "http://a/\r\nb", big), (2, "http://b", big), (3, None, "small"), (4, "http://c", "small"), (5, "u", None), (None, "u", big), (7, "u", ""), (2, "http://b", big)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    back = warc.archive(pages, f"file://{tmp_path}/w")
-    got = Counter(map(tuple, warc.summary(back).collect()))
+    warc.archive(pages, f"file://{tmp_path}/w")
+    back = warc.load(spark, f"file://{tmp_path}/w")
+    got = Counter(map(tuple, warc.summary(spark, f"file://{tmp_path}/w").collect()))
     want = Counter()
     for i, _, h in rows:
         b = (h or "").encode()
@@ -402,7 +403,10 @@ def test_warc_round_trip(spark, tmp_path):
     assert {bytes(r["payload"]).decode() for r in back.filter("target_uri = 'http://c'").collect()} == {"small"}
     heads = spark.read.format("warc").option("payload", "false").load(f"file://{tmp_path}/w")
     assert heads.filter("payload IS NOT NULL").count() == 0 and heads.count() == 8
-    assert warc.archive(pages.limit(0), f"file://{tmp_path}/none").count() == 0
+    warc.archive(pages.limit(0), f"file://{tmp_path}/none")
+    assert warc.load(spark, f"file://{tmp_path}/none").count() == 0
+    warc.archive(pages.limit(0), f"file://{tmp_path}/w")  # appends to what is listed
+    assert heads.count() == 8 and heads.filter("warc_date IS NULL").count() == 0
     import gzip
 
     whole = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("*.gz"))
@@ -531,3 +535,141 @@ def test_ann_two_codebooks_order_every_list():
     whole = space.order(y, space.lists)
     assert all(sorted(o) == list(range(space.lists)) for o in whole.tolist())
     assert (space.order(y, 37) == whole[:, :37]).all()
+
+
+def test_bpe_edits_inside_contractions_and_white_space(encoding):
+    tables = bpe.PrefixTable(bpe.read_ranks(Q.VOCABULARY))
+    for start, more in [("we'l", "l"), ("we'", "ll"), ("we", "'ll"), ("they'r", "e go"), ("I'v", "e"), ("a  ", "b"), ("a ", " b"), ("a\n ", "\n"), ("don'", "t"), ("x'", "'"), ("1", "2")]:
+        state = bpe.Encoding(tables, P.PATTERN, start)
+        state.append(more)
+        assert state.ids() == encoding.encode_ordinary(start + more), start + more
+    state = bpe.Encoding(tables, P.PATTERN, "a  b")
+    state.edit(3, 4, "")
+    assert state.ids() == encoding.encode_ordinary("a  ")
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        text = "".join(rng.choice(list("we'lrv  \nt1"), 12))
+        state, at = bpe.Encoding(tables, P.PATTERN, text[:6]), 6
+        while at < len(text):
+            more = int(rng.integers(1, 4))
+            state.append(text[at : at + more])
+            at += more
+            assert state.ids() == encoding.encode_ordinary(text[:at]), text[:at]
+
+
+def test_bpe_memo_keeps_right_ids_when_full(encoding, documents, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_PIECES", 50)
+    monkeypatch.setattr(bpe, "MEMO_PAIRS", 20)
+    tables = bpe.PrefixTable(bpe.read_ranks(Q.VOCABULARY))
+    encoder, decoder = bpe.Encoder(tables, P.PATTERN), bpe.Decoder(tables)
+    some = [t for _, t in texts(documents)][:40]
+    data = [encoder.packed_ids(t) for t in some]
+    assert [list(bpe.unpacked(d)) for d in data] == [encoding.encode_ordinary(t) for t in some]
+    assert decoder.texts(data) == [t.encode() for t in some]
+    assert decoder.texts([]) == [] and decoder.texts([b"", b""]) == [b"", b""]
+
+
+def test_bpe_decode_round_trip(spark, odd):
+    clash = odd.selectExpr("doc_id", "text", "1 AS ids_sha256", "2 AS decoded")
+    back = bpe.decode(bpe.encode(clash, Q.VOCABULARY, P.PATTERN, keep_text=True), Q.VOCABULARY).collect()
+    assert all(bytes(r["decoded"]).decode() == (r["text"] or "") for r in back)
+    assert bpe.coded(clash, Q.VOCABULARY, P.PATTERN).columns == ["doc_id", "decoded", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def foreign(kind, url, block, kind_of_block="application/http; msgtype=response", more=""):
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nwarc-record-id:<urn:uuid:{url}>\r\nWARC-Date: 2020-01-02T03:04:05Z\r\nWARC-Target-URI: {url}\r\nContent-Type: {kind_of_block}\r\n{more}Content-Length: {len(block)}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+@pytest.fixture(scope="module")
+def records():
+    plain = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nhello\r\n6;x=y\r\n world\r\n0\r\n\r\n"
+    return [
+        foreign("warcinfo", "i", b"software: x\r\n", "application/warc-fields"),
+        foreign("request", "http://a", b"GET / HTTP/1.1\r\n\r\n"),
+        foreign("response", "http://a", plain + b"<p>" + b"y" * 300_000, more="WARC-Payload-Digest: sha1:" + "A" * 32 + "\r\nX-Note: one\r\n two\r\n"),
+        foreign("response", "http://b", chunked),
+        foreign("resource", "http://c", b"raw \r\n\r\n bytes", "text/plain"),
+        foreign("revisit", "http://d", plain, more="WARC-Refers-To: <urn:uuid:http://a>\r\n"),
+        foreign("response", "http://e", b""),
+    ]
+
+
+WANT = {"i": None, "http://c": b"raw \r\n\r\n bytes", "http://d": None, "http://b": b"hello world", "http://e": b"", "http://a": b"<p>" + b"y" * 300_000}
+
+
+@pytest.mark.parametrize("form", ["plain", "members", "one member", "named members", "sl of all"])
+def test_warc_reads_ordinary_archives(spark, tmp_path, records, form):
+    import gzip
+    import io
+    import struct
+
+    if form == "plain":
+        (tmp_path / "x.warc").write_bytes(b"".join(records))
+    elif form == "one member":
+        (tmp_path / "x.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    elif form == "sl of all":  # a length field that covers several records
+        packed = gzip.compress(b"".join(records))
+        size = len(packed) + 14
+        (tmp_path / "x.warc.gz").write_bytes(packed[:3] + b"\x04" + packed[4:10] + struct.pack("<H2sHII", 12, b"sl", 8, size, len(b"".join(records))) + packed[10:])
+    else:
+        with open(tmp_path / "x.warc.gz", "wb") as f:
+            for r in records:
+                if form == "members":
+                    f.write(gzip.compress(r))
+                else:
+                    with gzip.GzipFile("name of file", "wb", fileobj=(b := io.BytesIO())) as g:
+                        g.write(r)
+                    f.write(b.getvalue())
+    back = warc.load(spark, str(tmp_path))
+    rows = back.collect()
+    assert len(rows) == 7
+    assert {r["target_uri"]: bytes(r["payload"]) if r["payload"] is not None else None for r in rows if r["warc_type"] != "request"} == WANT
+    assert [r["target_uri"] for r in back.filter("warc_type = 'revisit'").collect()] == ["http://d"]
+    assert {r["target_uri"] for r in back.filter("target_uri LIKE 'http://%' AND warc_type IN ('response', 'resource')").collect()} == {"http://a", "http://b", "http://c", "http://e"}
+    assert [r["payload_digest"] for r in rows if r["payload_digest"]] == ["00" * 20]
+    one = warc.load(spark, str(next(tmp_path.glob("x.*"))), payload=False)
+    assert one.count() == 7 and one.filter("payload IS NOT NULL").count() == 0
+
+
+@pytest.mark.parametrize("form", ["plain", "gzip", "own"])
+def test_warc_truncated_files_end_with_an_error(spark, tmp_path, records, form):
+    import gzip
+
+    if form == "plain":
+        data = b"".join(records)
+        (tmp_path / "x.warc").write_bytes(data[: len(data) // 2])
+    elif form == "gzip":
+        (tmp_path / "x.warc.gz").write_bytes(b"".join(map(gzip.compress, records))[:-60])
+    else:
+        pages = spark.createDataFrame([(i, "u", f"{i}" * 3000) for i in range(9)], "page_id long, url string, html string").coalesce(1)
+        warc.archive(pages, str(tmp_path))
+        (own,) = tmp_path.glob("*.gz")
+        own.write_bytes(own.read_bytes()[:-20])
+    for payload in (True, False):
+        with pytest.raises(Exception, match="ends inside"):
+            warc.load(spark, str(tmp_path), payload).collect()
+    kept = spark.read.format("warc").option("truncated", "stop").load(str(tmp_path)).count()
+    assert kept == {"plain": 2, "gzip": 6, "own": 8}[form]
+    (tmp_path / "bad.warc").write_bytes(b"no record")
+    if form != "own":
+        with pytest.raises(Exception, match="no record at byte 0"):
+            warc.load(spark, str(tmp_path / "bad.warc")).collect()
+
+
+def test_warc_files_are_cut_at_member_borders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SPLIT", 4000)
+    rng = np.random.default_rng(0)
+    rows = [(i, f"http://{i}", rng.bytes(700).hex()) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    session, options = warc.WarcWriter({"path": str(tmp_path)}, False), {"path": str(tmp_path)}
+    from pyspark.sql import Row
+
+    made = [Row(warc_type="response", record_id=f"<urn:page:{i}>", target_uri=u, refers_to=None, payload_digest=None, payload_length=len(h), payload=h.encode()) for i, u, h in rows]
+    session.commit([session.write(iter(made))])
+    reader = warc.WarcReader(options)
+    parts = reader.partitions()
+    assert len(parts) > 5 and pages.count() == 60
+    got = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert [(r["record_id"], r["payload"].decode()) for r in got] == [(f"<urn:page:{i}>", h) for i, _, h in rows]

@@ -29,7 +29,8 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    return warc.summary(warc.archive(table(spark, sf_dir, "pages"), path))
+    warc.archive(table(spark, sf_dir, "pages"), path)
+    return warc.summary(spark, path)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
