@@ -673,3 +673,46 @@ def test_warc_files_are_cut_at_member_borders(spark, tmp_path, monkeypatch):
     assert len(parts) > 5 and pages.count() == 60
     got = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
     assert [(r["record_id"], r["payload"].decode()) for r in got] == [(f"<urn:page:{i}>", h) for i, _, h in rows]
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<body><main><p><a data=it's href=/a>one</a> two</p><p>three</main>", ["one two", "three"]),
+        ("<main><p title='a > b' class=x>kept</p></main>", ["kept"]),
+        ("<main><p>1 < 2 and <3 <", ["1 < 2 and <3 <"]),
+        ("<main><p>a<!-- > <p>no --> b<!x>c<?y>d", ["a bcd"]),
+        ("<main><p>kept</p><p class=", ["kept"]),
+        ("<main><p>kept</p><a title='open>no", ["kept"]),
+        ("<main><p>a</p><textarea>no</main><p>b", ["a", "b"]),
+        ("<main><p>a<iframe src=x>no</p><p>b", ["a", "b"]),
+        ("<main><p>a</p><script>var x = '<p>no';", ["a"]),
+        ("<main><P CLASS=X>a</P><BR/><p>b</p></MAIN>", ["a", "b"]),
+        ("<main><p a=1b=2 / = x=>a</p>", ["a"]),
+    ],
+)
+def test_page_reads_malformed_markup(source, want):
+    assert [t for _, t in html.Page(source).blocks] == want
+
+
+@pytest.mark.parametrize("part", ["<a x=", "<!x", "<a x='", '<p class="', "<!--", "<title>", "<head>", "<svg>", "<b>x", "</p", "<", "<p>x", "<textarea>x", "<div><p>y", "<option>", "<title><i>", "</section>x<div>"])
+def test_page_is_linear(part):
+    import time
+
+    start = time.process_time()
+    page = html.Page("<p><div>" + "<x>" * 20_000 + part * (200_000 // len(part)) + "<p>z</p>" * 5000)
+    page.features()
+    assert time.process_time() - start < 4
+
+
+def test_html_held_out_pages_without_their_tags(spark, sf):
+    """Half of the pages train, the others are read with the labelling tags hidden."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    model = html.train(pages.filter("page_id % 2 = 0"))
+    right = blocks = whole = many = 0
+    for r in pages.filter("page_id % 2 = 1").collect():
+        page, p = html.content(r["html"] or "", model, html.LABEL_BITS)
+        y = page.labels()
+        hit = [(p[n] > 0.5) == (y[n] == 1) for n, _ in page.blocks]
+        right, blocks, whole, many = right + sum(hit), blocks + len(hit), whole + all(hit), many + 1
+    assert right / blocks >= 0.95 and whole / many >= 0.8, (right / blocks, whole / many)

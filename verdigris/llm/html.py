@@ -8,14 +8,18 @@ exact marginal; blocks of nodes above one half are the main text.
 
 Training. At most `SAMPLE` pages (lowest hashes of page_id) whose own markup
 tells content from the rest (article, main against nav, aside, header, footer,
-form) are the labelled pages. Feature weights are fitted by penalised logistic
-regression, once with and once without the tags that gave the labels, so that
-the other features carry weight of their own; parent-child potentials are
-counted. What reaches the driver are counts of distinct feature sets.
-
+form) are the labelled pages; cue words give no label. Feature weights are fitted
+by penalised logistic regression on each page twice, once as it is and once with
+the tags that gave the labels hidden, so that the other features carry weight of
+their own; parent-child potentials are counted. What reaches the driver are counts
+of distinct feature sets.
+
+Reading is linear in the page: quotes are followed by state, a search that found
+no end is not repeated. A tag that the page's end cuts off is markup, as in HTML.
 Character references are decoded, white space inside a block becomes one space,
 blocks are joined by an empty line. Nulls: null html counts as empty and gives an
-empty text. Repeated rows get equal results, empty tables give empty ones, and
+empty text. Very long pages are one row's work. Nodes at just one half are no
+content. Repeated rows get equal results, empty tables give empty ones, and
 columns that clash with the result's are replaced.
 """
 
@@ -40,7 +44,6 @@ APART = frozenset("noscript template select button option svg object".split())
 #: Start tags that end an svg (HTML's rule for foreign content), and those that end any element left out but a template.
 BREAKS = frozenset("blockquote body center dd div dl dt h1 h2 h3 h4 h5 h6 head hr li menu ol p pre table ul".split())
 ENDS_ALL = frozenset("article main body".split())
-SELF_CLOSED = re.compile(r"(?:^|[\s\"']|=\S*[\"']|(?:^|\s)[^\s=]+)/\s*\Z")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
@@ -58,8 +61,37 @@ LABEL_BITS = (1 << NAMES.index("content")) | (1 << NAMES.index("aside")) | (1 <<
 #: log potentials [parent][child] to start from, 0 = not content.
 EDGE_PRIOR = np.array([[6.0, 2.0], [0.5, 8.0]])
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"""(?i)(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+NAME, BETWEEN, ATTRIBUTE, EQUALS, BARE = (re.compile(p) for p in (r"[A-Za-z][^\s/>]*", r"[\s/]*", r"[^\s/>][^\s/>=]*", r"\s*=\s*", r"[^\s>]*"))
+#: Attributes whose words are cues.
+CUES = frozenset(("class", "id", "role"))
+
+
+def read_tag(source: str, at: int) -> tuple[int, str, bool]:
+    """End of a tag's attributes from `at` (-1: the page ends first), its cue words, and whether it closes itself."""
+    cues, size = [], len(source)
+    while True:
+        gap = BETWEEN.match(source, at)
+        at = gap.end()
+        if at == size:
+            return -1, "", False
+        if source[at] == ">":
+            return at + 1, " ".join(cues), gap.group()[-1:] == "/"
+        m = ATTRIBUTE.match(source, at)
+        name, at = m.group().lower(), m.end()
+        eq = EQUALS.match(source, at)
+        if not eq:
+            continue
+        at = eq.end()
+        if source[at : at + 1] in ('"', "'") and at < size:
+            end = source.find(source[at], at + 1)
+            if end < 0:
+                return -1, "", False
+            value, at = source[at + 1 : end], end + 1
+        else:
+            m = BARE.match(source, at)
+            value, at = m.group(), m.end()
+        if name in CUES:
+            cues.append(value)
 
 
 class Page:
@@ -69,6 +101,7 @@ class Page:
         self.parent, self.kind, self.tag = [-1], [0], ["#"]
         self.blocks: list[tuple[int, str]] = []
         self.open: list[tuple[str, int]] = [("#", 0)]
+        self._at: dict[str, list[int]] = {}  # places in `open` by name
         self.size, self.link, self.tail = [0], [0], [""]
         self._parts: list[str] = []
         self._links = 0
@@ -79,25 +112,41 @@ class Page:
         self._flush()
 
     def _read(self, source: str) -> None:
-        at, find = 0, TOKEN.search
-        while True:
-            m = find(source, at)
-            if m is None:
+        at, size, lacking = 0, len(source), set()
+        while at < size:
+            start = source.find("<", at)
+            while 0 <= start and not (source[start + 1 : start + 2].isascii() and source[start + 1 : start + 2].isalpha()) and source[start + 1 : start + 2] not in ("/", "!", "?"):
+                start = source.find("<", start + 1)  # a bare <
+            if start < 0:
                 self._text(source[at:])
                 return
-            if m.start() > at:
-                self._text(source[at : m.start()])
-            at = m.end()
-            if m[2] is None:
+            if start > at:
+                self._text(source[at:start])
+            end_tag = source[start + 1] == "/"
+            m = NAME.match(source, start + 1 + end_tag)
+            if m is None:  # a comment, or what counts as one
+                comment = source.startswith("<!--", start)
+                end = source.find("-->" if comment else ">", start + (4 if comment else 2))
+                at = end + (3 if comment else 1) if end >= 0 else size
                 continue
-            name = m[2].lower()
-            if m[1]:
+            name = m.group().lower()
+            at, cues, closed = read_tag(source, m.end())
+            if at < 0:
+                return
+            if end_tag:
                 self._end(name)
-            elif name in RAW and not (self._apart and SELF_CLOSED.search(m[3] or "")):
-                close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-                at = close.end() if close else (len(source) if name != "head" else at)
+            elif name in RAW and not (closed and self._apart):
+                close = None if name in lacking else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
+                if close:
+                    at = close.end()
+                elif name in ("script", "style"):  # its text can't be told from the page's
+                    return
+                else:
+                    lacking.add(name)
+                    if name != "head":
+                        self._start(name, cues, closed)
             else:
-                self._start(name, m[3] or "")
+                self._start(name, cues, closed)
 
     def _text(self, data: str) -> None:
         if self._apart:
@@ -123,26 +172,36 @@ class Page:
             self._flush()
         if depth <= self._apart:
             self._apart = 0
+        for name, _ in self.open[depth:]:
+            self._at[name].pop()
         del self.open[depth:]
 
-    def _start_apart(self, name: str, attributes: str) -> bool:
+    def _push(self, name: str, node: int) -> None:
+        self._at.setdefault(name, []).append(len(self.open))
+        self.open.append((name, node))
+
+    def _last(self, *names: str) -> int:
+        """Place in `open` of the innermost of these elements, 0 if none is open."""
+        return max((self._at[n][-1] for n in names if self._at.get(n)), default=0)
+
+    def _start_apart(self, name: str, closed: bool) -> bool:
         """Start an element that is left out or stands below one; False if the tag ends what is left out."""
         if self._apart:
-            root, below = self.open[self._apart][0], {n for n, _ in self.open[self._apart :]}
-            if (name in ENDS_ALL and "template" not in below) or (root == "svg" and name in BREAKS and "foreignobject" not in below):
+            root, below = self.open[self._apart][0], lambda n: self._last(n) >= self._apart
+            if (name in ENDS_ALL and not below("template")) or (root == "svg" and name in BREAKS and not below("foreignobject")):
                 self._close_to(self._apart)
                 return False
-        elif name not in APART:
+        elif name not in APART and name not in RAW:
             return False
         if name == "option" and self.open[-1][0] == "option":
             self._close_to(len(self.open) - 1)
-        if name not in VOID and not SELF_CLOSED.search(attributes):
+        if name not in VOID and not closed:
             self._apart = self._apart or len(self.open)
-            self.open.append((name, -1))
+            self._push(name, -1)
         return True
 
-    def _start(self, name: str, attributes: str) -> None:
-        if (self._apart or name in APART) and self._start_apart(name, attributes):
+    def _start(self, name: str, cues: str, closed: bool) -> None:
+        if (self._apart or name in APART or name in RAW) and self._start_apart(name, closed):
             return
         if name in INLINE:
             self._in_link += name == "a"
@@ -151,41 +210,28 @@ class Page:
         if name == "br":
             self._parts.append(" ")
             return
-        if name in CLOSES_P:
-            for d in range(len(self.open) - 1, 0, -1):
-                if self.open[d][0] == "p":
-                    self._close_to(d)
-                    break
-                if self.open[d][0] in ("td", "th", "li", "div", "article", "section", "body"):
-                    break
-        if name in SAME:
-            for d in range(len(self.open) - 1, 0, -1):
-                if self.open[d][0] in SAME[name]:
-                    self._close_to(d)
-                    break
-                if self.open[d][0] in STOPS[name]:
-                    break
+        if name in CLOSES_P and (d := self._last("p")) > self._last("td", "th", "li", "div", "article", "section", "body"):
+            self._close_to(d)
+        if name in SAME and (d := self._last(*SAME[name])) > self._last(*STOPS[name]):
+            self._close_to(d)
         self._flush()
         if name in VOID:
             return
         bits = 1 << TAG_BIT[name] if name in TAG_BIT else 0
-        if attributes:
-            cues = " ".join(filter(None, (x for m in ATTRIBUTE.finditer(attributes) for x in m.groups())))
-            if cues:
-                bits |= bool(BAD.search(cues)) << 10 | bool(GOOD.search(cues)) << 11
+        if cues:
+            bits |= bool(BAD.search(cues)) << 10 | bool(GOOD.search(cues)) << 11
         self.parent.append(self.open[-1][1])
         self.kind.append(bits)
         self.tag.append(name)
         self.size.append(0)
         self.link.append(0)
         self.tail.append("")
-        self.open.append((name, len(self.parent) - 1))
+        self._push(name, len(self.parent) - 1)
 
     def _end(self, name: str) -> None:
         if self._apart and name in INLINE:
-            inside = [d for d in range(self._apart, len(self.open)) if self.open[d][0] == name]
-            if inside:
-                self._close_to(inside[-1])
+            if (d := self._last(name)) >= self._apart:
+                self._close_to(d)
                 return
             if not self._inline.get(name):
                 return
@@ -195,30 +241,30 @@ class Page:
             if name == "a":
                 self._in_link = max(0, self._in_link - 1)
             return
-        for d in range(len(self.open) - 1, 0, -1):
-            if self.open[d][0] == name:
-                if self.open[d][1] >= 0:
-                    self._in_link = 0
-                    self._inline.clear()
-                self._close_to(d)
-                return
+        if d := self._last(name):
+            if self.open[d][1] >= 0:
+                self._in_link = 0
+                self._inline.clear()
+            self._close_to(d)
+            return
         if name == "p" and not self._apart:
             self._flush()
 
-    def features(self) -> list[int]:
-        """A bit set for each node; lengths and links count what stands below a node, too."""
+    def features(self, hide: int = 0) -> list[int]:
+        """A bit set for each node; lengths and links count what stands below a node, too. `hide`: bits of kinds not looked at."""
         size, link = self.size[:], self.link[:]
         for i in range(len(self.parent) - 1, 0, -1):
             size[self.parent[i]] += size[i]
             link[self.parent[i]] += link[i]
         out = []
-        for i, bits in enumerate(self.kind):
+        kind = [k & ~hide for k in self.kind] if hide else self.kind
+        for i, bits in enumerate(kind):
             n = size[i]
             bits |= (n == 0) << 12 | (0 < n < 40) << 13 | (n >= 120) << 14 | (link[i] * 2 > n) << 15
             out.append(bits | (self.tail[i] != "" and self.tail[i] in ".!?…:”\"»") << 16)
         apart = 1 << TAG_BIT["nav"] | 1 << TAG_BIT["form"] | 1 << 10
         for i in range(1, len(out)):  # what stands below a node that is set apart
-            if self.kind[self.parent[i]] & apart or out[self.parent[i]] >> 18 & 1:
+            if kind[self.parent[i]] & apart or out[self.parent[i]] >> 18 & 1:
                 out[i] |= 1 << 18
         for node, text in self.blocks:
             if "©" in text:
@@ -226,12 +272,12 @@ class Page:
         return out
 
     def labels(self) -> list[int]:
-        """1 below article or main, 0 elsewhere and below what is set apart; -1 if the page has no such tag."""
+        """1 below article or main, 0 elsewhere and below nav, aside, forms and the like; -1 if the page has no such tag."""
         if not any(t in ("article", "main") for t in self.tag):
             return [-1] * len(self.tag)
         out = [0]
         for t, k, p in zip(self.tag[1:], self.kind[1:], self.parent[1:], strict=True):
-            apart = k & (1 << TAG_BIT["nav"] | 1 << TAG_BIT["form"] | 1 << 10)
+            apart = k & (1 << TAG_BIT["nav"] | 1 << TAG_BIT["form"])
             out.append(0 if apart else 1 if t in ("article", "main") else out[p])
         return out
 
@@ -273,7 +319,8 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarra
             for source in b.column("html").to_pylist():
                 page = Page(source or "")
                 y = page.labels()
-                rows += [(f, y[i], y[p] if p >= 0 else -1) for i, (f, p) in enumerate(zip(page.features(), page.parent, strict=True)) if y[i] >= 0]
+                for f in (page.features(), page.features(LABEL_BITS)) if y[0] >= 0 else ():
+                    rows += [(bits, y[i], y[p] if p >= 0 else -1) for i, (bits, p) in enumerate(zip(f, page.parent, strict=True))]
             f, y, p = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), pa.array(y, pa.int32()), pa.array(p, pa.int32())], names=["f", "y", "p"])
 
@@ -282,13 +329,13 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarra
     edge = EDGE_PRIOR.copy()
     for r in counts.itertuples():
         if r.p >= 0:
-            edge[r.p, r.y] += r.n
+            edge[r.p, r.y] += r.n / 2  # each node is there twice
     edge = np.log(edge / edge.sum(1, keepdims=True))
     if not len(counts):
         return prior, edge
-    f = np.concatenate([counts["f"], counts["f"] & ~LABEL_BITS])
+    f = counts["f"].to_numpy()
     x = np.hstack([(f[:, None] >> np.arange(len(PRIOR))) & 1, np.ones((len(f), 1), int)]).astype(float)
-    y, n = np.tile(counts["y"].to_numpy(float), 2), np.tile(counts["n"].to_numpy(float), 2)
+    y, n = counts["y"].to_numpy(float), counts["n"].to_numpy(float)
     w = prior.copy()
     for _ in range(60):  # Newton steps; each prior weight counts as some dozen nodes
         p = 1 / (1 + np.exp(-x @ w))
@@ -300,6 +347,13 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarra
     return w, edge
 
 
+def content(source: str, model: tuple[np.ndarray, np.ndarray], hide: int = 0) -> tuple[Page, np.ndarray]:
+    """A page and the marginals of its nodes."""
+    page, (weights, edge) = Page(source), model
+    x = (np.array(page.features(hide))[:, None] >> np.arange(len(weights) - 1)) & 1
+    return page, marginals(np.array(page.parent), x @ weights[:-1] + weights[-1], edge)
+
+
 def extract(pages: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None, out: str = "text") -> DataFrame:
     """Replace html by `out` (main text) and n_chars (its code points)."""
     weights, edge = model or train(pages)
