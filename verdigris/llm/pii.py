@@ -2,9 +2,12 @@
 
 Base spans (email, ip, card, phone) come from fixed patterns. The field has a
 node for each token with a digit or an @; neighbouring nodes share a chain
-potential, and each node and the next one of the document that repeats it (same
-digits, or same letters apart from case and punctuation) share a skip potential.
-Nodes inside base spans are observed. Loopy message passing gives the others'
+potential, and each node and the document's first one that it repeats (same
+digits, or same letters apart from case and punctuation) share a skip potential,
+so repeats are two steps apart however far they stand. So do a base span and each
+token that has all its digits or at least its last seven. Nodes inside base spans are
+observed. Loopy message passing, for each document until its messages change by
+less than `TOLERANCE` (or `ROUNDS` rounds, should they swing), gives the others'
 marginals; tokens that are very likely of a kind are added, neighbours of one
 kind as one span, so a number that stands in full in one place is also found
 where it is shortened or written apart.
@@ -13,10 +16,11 @@ Training: pseudo-likelihood on nodes of at most `SAMPLE` documents (lowest hashe
 of doc_id), labelled by the base spans, with priors that draw skip potentials
 towards agreement. What reaches the driver are counts of distinct nodes.
 
-Offsets are code points, ends exclusive. Texts are read whole; only tokens with
-more than 64 characters before their first digit are no nodes. Nulls: a null text
-counts as empty. Repeated rows get equal results; empty tables give empty ones;
-columns that clash with the result's are replaced.
+Offsets are code points, ends exclusive. Texts of any length are read whole, in
+time near their length. Nulls: a null text counts as empty. At equal marginals the
+kind listed first is taken. Repeated rows get equal results, whatever stands in the
+same batch; empty tables give empty ones; columns that clash with the result's are
+replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE, SURE, ROUNDS = 4000, 0.95, 8
+SAMPLE, SURE, ROUNDS, TOLERANCE = 4000, 0.95, 500, 1e-4
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns. A match always starts where its run of digits starts, which the look-behinds say at once.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -40,7 +44,7 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 HINT = re.compile(r"[0-9@]")
-NODE = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{0,64}?[0-9@][^\x20\x09-\x0D]*")
+WHITE, BLANK = "\x20\x09\x0a\x0b\x0c\x0d", re.compile(r"[\x20\x09-\x0D]")
 DIGITS = str.maketrans("", "", "".join(map(chr, range(48))) + "".join(map(chr, range(58, 128))))
 TRIM = ".,;:!?\"'()[]{}<>"
 
@@ -92,14 +96,23 @@ def features(token: str) -> int:
     return sum(b << i for i, b in enumerate(bits))
 
 
+def hinted(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of each token with a digit or an @; every character is passed a few times at most."""
+    at = 0
+    while m := HINT.search(text, at):
+        start = max(at, *(text.rfind(c, at, m.start()) + 1 for c in WHITE))
+        end = BLANK.search(text, m.end())
+        at = end.start() if end else len(text)
+        yield start, at
+
+
 def nodes(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]], list[tuple[int, int]]]:
     """Nodes (start, end, features, observed label or 0), chain edges and skip edges."""
     by_start = sorted((a, b, k + 1) for k, a, b in spans)
     starts = [s[0] for s in by_start]
-    out, chain, skip, last = [], [], [], {}
-    for m in NODE.finditer(text):
-        a, b = m.span()
-        word = m.group()
+    out, chain, skip, first, digits_of = [], [], [], {}, []
+    for a, b in hinted(text):
+        word = text[a:b]
         left = len(word) - len(word.lstrip(TRIM.replace("(", "")))
         right = len(word.rstrip(TRIM.replace(")", "")))
         if left >= right:
@@ -112,10 +125,19 @@ def nodes(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[tuple[int,
             chain.append((n - 1, n))
         digits = word.translate(DIGITS)
         key = digits if len(digits) >= 3 else word.strip(TRIM).lower()
-        if key in last:
-            skip.append((last[key], n))
-        last[key] = n
+        if first.setdefault(key, n) != n:
+            skip.append((first[key], n))
         out.append((a, b, features(word), label))
+        digits_of.append(digits)
+    # Numbers that a base span writes with blanks or a prefix, which other places leave out.
+    ends, tails = [x[1] for x in out], {}
+    for a, b, _ in by_start:
+        digits, n = text[a:b].translate(DIGITS), bisect_right(ends, a)
+        for size in range(7, len(digits) + 1):
+            tails.setdefault(digits[-size:], n)
+    for n, digits in enumerate(digits_of if tails else ()):
+        if not out[n][3] and (hub := tails.get(digits, n)) != n and first.get(digits) != hub:
+            skip.append((hub, n))
     return out, chain, skip
 
 
@@ -125,26 +147,36 @@ class Field:
     def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray):
         self.unary, self.chain, self.skip = unary, chain, skip
 
-    def marginals(self, feats: np.ndarray, observed: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-        """Loopy sum-product; all messages of a round at once, damped."""
+    def marginals(self, feats: np.ndarray, observed: np.ndarray, chain: np.ndarray, skip: np.ndarray, owner: np.ndarray | None = None, rounds: int = ROUNDS) -> np.ndarray:
+        """Loopy sum-product; all messages of a round at once, damped, for each document (`owner` of a node) until they stand still."""
         x = ((feats[:, None] >> np.arange(FEATURES)) & 1).astype(float)
         phi = x @ self.unary
         seen = observed > 0
         phi[seen] = -30.0
         phi[seen, observed[seen]] = 0.0
+        owner = np.zeros(len(feats), np.int64) if owner is None else owner
         src = np.concatenate([chain[:, 0], chain[:, 1], skip[:, 0], skip[:, 1]]).astype(int)
         dst = np.concatenate([chain[:, 1], chain[:, 0], skip[:, 1], skip[:, 0]]).astype(int)
         c, s = len(chain), len(skip)
         back = np.concatenate([np.arange(c) + c, np.arange(c), np.arange(s) + 2 * c + s, np.arange(s) + 2 * c])
-        pot = np.concatenate([np.repeat(self.chain[None], c, 0), np.repeat(self.chain.T[None], c, 0), np.repeat(self.skip[None], s, 0), np.repeat(self.skip.T[None], s, 0)])
+        kind = np.repeat([0, 1, 2, 3], [c, c, s, s])
+        table = np.stack([self.chain, self.chain.T, self.skip, self.skip.T])
         msg = np.zeros((len(src), 5))
-        belief = phi.copy()
-        for _ in range(rounds if len(src) else 0):
-            new = np.logaddexp.reduce((belief[src] - msg[back])[:, :, None] + pot, axis=1)
+        belief, doc = phi.copy(), owner[src]
+        live = np.arange(len(src))
+        for _ in range(rounds):
+            if not len(live):
+                break
+            new = np.logaddexp.reduce((belief[src[live]] - msg[back[live]])[:, :, None] + table[kind[live]], axis=1)
             new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
-            msg = 0.7 * new + 0.3 * msg
-            belief = phi.copy()
-            np.add.at(belief, dst, msg)
+            new = 0.7 * new + 0.3 * msg[live]
+            change = np.zeros(int(owner.max()) + 1)
+            np.maximum.at(change, doc[live], np.abs(new - msg[live]).max(1))
+            np.add.at(belief, dst[live], new - msg[live])
+            msg[live] = new
+            live = live[change[doc[live]] >= TOLERANCE]
+        belief = phi.copy()
+        np.add.at(belief, dst, msg)
         belief -= belief.max(1, keepdims=True)
         p = np.exp(belief)
         return p / p.sum(1, keepdims=True)
@@ -217,7 +249,7 @@ def added(texts: list[str], bases: list[list[tuple[int, int, int]]], field: Fiel
     if not feats:
         return out
     pairs = lambda e: np.array(e, np.int64).reshape(-1, 2)
-    p = field.marginals(np.array(feats), np.array(seen), pairs(chain), pairs(skip))
+    p = field.marginals(np.array(feats), np.array(seen), pairs(chain), pairs(skip), np.array([o[0] for o in owner]))
     joined = {j: i for i, j in chain}
     kind_at: dict[int, int] = {}
     for i in np.flatnonzero((np.array(seen) == 0) & (p[:, 0] < 1 - sure)):
