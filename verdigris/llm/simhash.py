@@ -38,15 +38,18 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigris.llm.common import cut
+from verdigris.llm.common import cut, written
 
 BUCKET = 8192
 BITS, SIG = 64, 256
 #: Odds of losing a pair that has just the similarity asked for.
-MISS = 1e-5
+MISS = 1e-4
+#: A label that a third of all rows may carry meets its table in so many tasks; texts compared with one other at a time.
+SALTS, COMPARED = 32, 256
 FACTORS = np.random.default_rng(9).integers(0, 1 << 63, SIG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -357,15 +360,20 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("label")).union(e.select("b", "b").distinct())
 
 
+def least_of(classes: DataFrame, value: str, out: str) -> DataFrame:
+    """`classes` (node, label, value): node and the least value of its label; labels are salted, since one may have a third of all nodes."""
+    least = classes.groupBy("label").agg(F.min(value).alias(out)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return classes.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(least, ["label", "salt"]).select("node", out)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable over links, itself included)."""
     rows = cut(fingerprints(docs, shingle))
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = links(nodes.select("fp"), distance, bucket)
     label = components(found)  # in fingerprints; the smallest doc_id of each class follows
-    classes = nodes.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    least = classes.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = classes.join(least, "label").select("fp", "component_id")
+    linked = least_of(label.join(nodes.select(F.col("fp").alias("node"), "first"), "node"), "first", "least")
+    named = nodes.join(linked.withColumnRenamed("node", "fp").withColumn("linked", F.lit(True)), "fp", "left").select("fp", F.when(F.col("linked"), F.col("least")).otherwise(F.col("first")).alias("component_id"))
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -464,51 +472,86 @@ def met(nodes: DataFrame, bands: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return each.filter(F.size("id") > 1)
 
 
-def candidates(buckets: DataFrame, most: int, forests: int) -> DataFrame:
-    """key, a, b (a < b): what is to be compared next in each bucket (key, id, sig, known)."""
+def likely(buckets: DataFrame, most: int) -> DataFrame:
+    """a, b (a < b): in each bucket (id, sig) a spanning forest of the pairs of at most `most` different bits.
+
+    Trees start at the smallest ids, so that the buckets of a group give much the same edges.
+    """
 
     def run(batches):
         for batch in batches:
-            key, a, b = [], [], []
+            out = [np.empty((0, 2), np.int64)]
             for k in range(batch.num_rows):
-                ids, at = np.unique(batch.column("id")[k].values.to_numpy(zero_copy_only=False), return_index=True)
-                sig = np.frombuffer(b"".join(batch.column("sig")[k].values.to_pylist()), np.uint64).reshape(-1, SIG // 64)[at]
-                known = batch.column("known")[k].as_py() or []
-                place = {v: i for i, v in enumerate(ids.tolist())} if known else {}
-                pairs = [(place[x["a"]], place[x["b"]], x["ok"]) for x in known if x["a"] in place and x["b"] in place]
-                for x, y in nearest(sig, most, pairs, forests):
-                    key.append(batch.column("key")[k].as_py())
-                    a.append(ids[min(x, y)])
-                    b.append(ids[max(x, y)])
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["key", "a", "b"])
+                ids, sig = _members(batch, k)
+                signs = np.unpackbits(sig.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+                out.append(ids[forest(len(ids), lambda a, b, signs=signs: signs[a] @ signs[b].T >= SIG - 2 * most - 0.5)])
+            e = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(e.min(1)), pa.array(e.max(1))], names=["a", "b"])
 
-    return buckets.select("key", "id", "sig", "known").mapInArrow(run, "key long, a long, b long")
+    return buckets.select("id", "sig").mapInArrow(run, "a long, b long").distinct()
 
 
-def compared(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """a, b, ok: whether the shingle sets of two nodes have the Jaccard similarity; `texts`: id, text."""
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("t")), "b")
+def _members(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in order and signatures of bucket number k."""
+    ids, at = np.unique(batch.column("id")[k].values.to_numpy(zero_copy_only=False), return_index=True)
+    return ids, np.frombuffer(b"".join(batch.column("sig")[k].values.to_pylist()), np.uint64).reshape(-1, SIG // 64)[at]
+
+
+def more_likely(buckets: DataFrame, most: int, forests: int) -> DataFrame:
+    """a, b: pairs to compare next in buckets (id, sig, label, refuted: pairs) whose likely pairs neither share a label nor are refuted."""
 
     def run(batches):
         for batch in batches:
-            ok = []
-            for s, t in zip(batch.column("s"), batch.column("t"), strict=True):
-                x, y = hashes(s.as_py(), shingle), hashes(t.as_py(), shingle)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+            out = [np.empty((0, 2), np.int64)]
+            for k in range(batch.num_rows):
+                ids, sig = _members(batch, k)
+                place = {v: i for i, v in enumerate(ids.tolist())}
+                known = [(place[x["a"]], place[x["b"]], False) for x in batch.column("refuted")[k].as_py() if x["a"] in place and x["b"] in place]
+                last: dict[int, int] = {}
+                for v, label in zip(batch.column("id")[k].as_py(), batch.column("label")[k].as_py(), strict=True):
+                    if label in last and last[label] != place[v]:
+                        known.append((last[label], place[v], True))
+                    last[label] = place[v]
+                e = nearest(sig, most, known, forests)
+                if e:
+                    out.append(ids[np.sort(np.array(e), 1)])
+            e = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
 
-    return both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long, ok boolean")
+    return buckets.select("id", "sig", "label", "refuted").mapInArrow(run, "a long, b long").distinct()
 
 
-def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket: int = BUCKET) -> DataFrame:
-    """doc_id and component_id: texts whose shingle sets have a Jaccard similarity of `similarity` or more are linked.
+def compared(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """a, b, ok: whether the shingle sets of two nodes have the Jaccard similarity; `texts`: id, text.
+
+    A text meets those it is compared with in groups of about COMPARED, so it is
+    moved once a group, and no group holds more.
+    """
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / COMPARED).cast("int").alias("parts"))
+    left = many.join(texts.withColumnRenamed("id", "a"), "a").select(F.col("a").alias("a"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.col("text").alias("text"))
+    right = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")).join(texts.withColumnRenamed("id", "b"), "b")
+
+    def meet(one: pa.Table, others: pa.Table) -> pa.Table:
+        ok, x = [], hashes(one.column("text")[0].as_py(), shingle) if one.num_rows else None
+        for t in others.column("text"):
+            y = hashes(t.as_py(), shingle)
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            ok.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+        return pa.table({"a": others.column("a"), "b": others.column("b"), "ok": pa.array(ok, pa.bool_())})
+
+    return left.groupBy("a", "part").cogroup(right.groupBy("a", "part")).applyInArrow(meet, "a long, b long, ok boolean")
+
+
+def classes_of(docs: DataFrame, shingle: int, similarity: float, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, hash of the text, id of its shingle set) and (node, label) of the sets that have partners.
 
     Texts meet where all min-hashes of a band agree; the bands follow from the
-    similarity alone, so the vocabulary does not matter. In each bucket the pairs
-    likely to be linked are thinned to a spanning forest, whose edges are compared
-    exactly. Where one fails, the bucket is searched again without it, for twice as
-    many forests each round, until all likely pairs are joined or refuted.
+    similarity alone, so the vocabulary does not matter. In each bucket the likely
+    pairs are thinned to a spanning forest. Of its edges each node takes its
+    smallest partners first, more in every round, and edges within a class that
+    stands already are left out; what is taken is compared exactly. Buckets that
+    lost an edge are searched again, for twice as many forests each round, until
+    every likely pair is joined or refuted.
     """
     bands, width, most = layout(similarity)
     schema = T.StructType([docs.schema["doc_id"], T.StructField("hash", T.LongType()), T.StructField("id", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("band", T.ArrayType(T.LongType()))])
@@ -528,43 +571,76 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket:
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
     rows = cut(texts.mapInArrow(run, schema))
-    one = rows.groupBy("id").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "hash")).alias("held"), F.min_by("sig", "hash").alias("sig"), F.min_by("band", "hash").alias("band"))
-    nodes = cut(one)
+    nodes = rows.groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("held"), F.min_by("sig", "hash").alias("sig"), F.min_by("band", "hash").alias("band"))
+    nodes = cut(nodes.select("id", F.col("held.doc_id").alias("held"), "held.hash", "sig", "band"))
     buckets = cut(met(nodes, nodes.select("id", F.explode("band").alias("value")), bucket))
-    named = cut(candidates(buckets.withColumn("known", F.expr("CAST(NULL AS array<struct<a:long,b:long,ok:boolean>>)")), most, 1))
-    facts, new, forests = None, named, 1
+    # The texts of nodes that meet any other are moved once, by one of their rows.
+    meeting = buckets.select(F.explode("id").alias("id")).distinct().join(nodes.select("id", "held", "hash"), "id")
+    kept = texts.join(meeting.withColumnRenamed("hash", "h"), F.col("doc_id").eqNullSafe(F.col("held")) & (F.col("hash") == F.col("h")))
+    pool = written(kept.groupBy("id").agg(F.min("text").alias("text")), "texts")
+
+    ok = spark_empty = docs.sparkSession.createDataFrame([], "a long, b long")
+    bad, label = spark_empty, docs.sparkSession.createDataFrame([], "node long, label long")
+    of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+    todo, wide, forests = cut(likely(buckets, most)), 1, 2
     while True:
-        pairs = new.select("a", "b").distinct()
-        if facts is not None:
-            pairs = pairs.join(facts, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        held = ends.join(nodes, "id").select("id", F.col("held.doc_id").alias("_doc"), F.col("held.hash").alias("_hash"))
-        found = texts.join(held, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("hash") == F.col("_hash")))
-        tried = compared(pairs, found.groupBy("id").agg(F.min("text").alias("text")), shingle, similarity)
-        facts = cut(tried if facts is None else facts.union(tried))
-        failed = new.join(facts.filter("NOT ok"), ["a", "b"]).select("key").distinct()
-        again = named.join(failed, "key").join(facts, ["a", "b"]).groupBy("key").agg(F.collect_list(F.struct("a", "b", "ok")).alias("known"))
-        forests *= 2
-        new = cut(candidates(buckets.join(again, "key"), most, forests))
-        if new.isEmpty():
-            break
-        named = cut(named.union(new))
-    label = components(facts.filter("ok").select("a", "b"))
-    classes = nodes.select("id", "first").join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "first", F.coalesce("label", "id").alias("label"))
-    least = classes.groupBy("label").agg(F.min("first").alias("component_id"))
-    return rows.select("doc_id", "id").join(classes.join(least, "label").select("id", "component_id"), "id").select("doc_id", "component_id")
+        first = F.row_number().over(W.partitionBy("b").orderBy("a"))
+        tried = cut(compared(todo.withColumn("r", first).filter(F.col("r") <= wide).select("a", "b"), pool, shingle, similarity))
+        bad = cut(bad.union(tried.filter("NOT ok").select("a", "b")))
+        ok = tried.filter("ok").select("a", "b").union(label.select(F.col("label").alias("a"), F.col("node").alias("b")))
+        label = components(ok)
+        apart = todo.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
+        todo, wide = cut(apart.select("a", "b").join(bad, ["a", "b"], "left_anti")), wide * 4
+        if todo.isEmpty():
+            todo = cut(more_likely(refuted_buckets(buckets, bad, label), most, forests))
+            if todo.isEmpty():
+                break
+            wide, forests = 1, forests * 2
+    return rows.select("doc_id", "hash", "id"), label
+
+
+def refuted_buckets(buckets: DataFrame, bad: DataFrame, label: DataFrame) -> DataFrame:
+    """Buckets (id, sig, label, refuted) that hold a refuted pair of nodes with different labels."""
+    members = buckets.select("key", F.explode(F.arrays_zip("id", "sig")).alias("m")).select("key", "m.id", "m.sig")
+    labelled = members.join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "sig", F.coalesce("label", "id").alias("label"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    ends = bad.select("a", "b", F.col("a").alias("id")).union(bad.select("a", "b", F.col("b")))
+    inside = ends.join(members.select("key", "id"), "id").groupBy("key", "a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    pairs = inside.join(mixed, "key").groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("refuted"))
+    each = labelled.join(pairs.select("key"), "key").groupBy("key").agg(*[F.collect_list(c).alias(c) for c in ("id", "sig", "label")])
+    return each.join(pairs, "key")
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket: int = BUCKET) -> DataFrame:
+    """doc_id and component_id: texts whose shingle sets have a Jaccard similarity of `similarity` or more are linked."""
+    rows, label = classes_of(docs, shingle, similarity, bucket)
+    nodes = rows.groupBy("id").agg(F.min("doc_id").alias("first"))
+    linked = least_of(label.join(nodes.withColumnRenamed("id", "node"), "node"), "first", "least").withColumn("linked", F.lit(True))
+    named = nodes.join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", F.when(F.col("linked"), F.col("least")).otherwise(F.col("first")).alias("component_id"))
+    return rows.join(named, "id").select("doc_id", "component_id")
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One document (the smallest doc_id) of each group of near copies, with the columns of `docs`; of repeated rows one stays."""
-    groups = similar(docs, shingle, similarity).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(groups, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """One document (the smallest doc_id, null last) of each group of near copies, with the columns of `docs`; of repeated rows one stays.
+
+    The rows that go are a table of ids and hashes, so texts are moved only where it is too large to be broadcast.
+    """
+    rows, label = classes_of(docs, shingle, similarity, BUCKET)
+    tagged = rows.join(label.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "hash", F.coalesce("label", "id").alias("label"))
+    each = cut(tagged.groupBy("label", "doc_id", "hash").agg(F.count(F.lit(1)).alias("n")))
+    mark = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    many = each.groupBy("label").agg(F.min(mark).alias("best"), F.count(F.lit(1)).alias("members")).filter("members > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    losers = each.withColumn("salt", F.pmod(F.xxhash64("doc_id", "hash"), F.lit(SALTS)).cast("int")).join(many, ["label", "salt"]).filter(mark != F.col("best")).select(F.col("doc_id").alias("gone"), F.col("hash").alias("gone_hash"))
+    again = each.filter("n > 1").select(F.col("doc_id").alias("gone"), F.col("hash").alias("gone_hash"))
+    losers, again = written(losers, "losers"), written(again, "repeated")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"))
+    same = F.col("d").eqNullSafe(F.col("gone")) & (F.col("h") == F.col("gone_hash"))
+    stays = packed.join(losers, same, "left_anti")
+    if not again.isEmpty():
+        one = stays.join(again.distinct(), same, "left_semi").groupBy("d", "h").agg(F.min("row").alias("row"))
+        stays = stays.join(again, same, "left_anti").unionByName(one)
+    return stays.select("row.*")
 
 
 def hexed(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
-
-
-__all__ = ["allotted", "components", "deduplicated", "fingerprint", "fingerprints", "forest", "hashes", "hexed", "layout", "links", "near_duplicates", "plan", "signature", "similar"]
