@@ -418,44 +418,23 @@ def layout(similarity: float, miss: float = MISS) -> tuple[int, int, int]:
     return bands, width, most
 
 
-def nearest(sig: np.ndarray, most: int, known: list[tuple[int, int, bool]], forests: int) -> list[tuple[int, int]]:
-    """Edges of up to `forests` disjoint spanning forests of the fewest different bits (Prim), of at most `most`.
-
-    Of the `known` pairs of places, true ones cost nothing and are not given again; others are left out.
-    """
-    n, far = len(sig), SIG + 1
-    if n == 2 and not known:
-        return [(0, 1)] if np.bitwise_count(sig[0] ^ sig[1]).sum() <= most else []
-    near: dict[int, list[int]] = {}
-    out: dict[int, list[int]] = {}
-    for x, y, ok in known:
-        side = near if ok else out
-        side.setdefault(x, []).append(y)
-        side.setdefault(y, []).append(x)
-    edges: list[tuple[int, int]] = []
-    for _ in range(forests):
-        best, source, left = np.full(n, far, np.int16), np.zeros(n, np.int64), np.ones(n, bool)
-        x, found = 0, []
-        for _ in range(n - 1):
-            left[x], best[x] = False, far + 1
-            d = np.bitwise_count(sig ^ sig[x]).sum(1, dtype=np.int16)
-            if x in out:
-                d[out[x]] = far
-            if x in near:
-                d[near[x]] = -1
-            closer = left & (d < best)
-            best[closer], source[closer] = d[closer], x
-            y = int(best.argmin())
-            if 0 <= best[y] <= most:
-                found.append((int(source[y]), y))
-            x = y
-        if not found:
-            break
-        edges += found
-        for x, y in found:
-            out.setdefault(x, []).append(y)
-            out.setdefault(y, []).append(x)
-    return edges
+def between(sig: np.ndarray, label: np.ndarray, refuted: np.ndarray, most: int, each: int) -> np.ndarray:
+    """Pairs (places, m x 2) of at most `most` different bits, `each` with the fewest for each two labels, without the refuted ones."""
+    n = len(sig)
+    signs = np.unpackbits(sig.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+    name = np.unique(label, return_inverse=True)[1].astype(np.int64)
+    gone, out = np.unique(refuted[:, 0] * n + refuted[:, 1]), np.empty((0, 3), np.int64)
+    for k in range(0, n - 1, 512):
+        apart = (SIG - signs[k : k + 512] @ signs[k:].T) / 2
+        x, y = np.nonzero(np.triu(apart <= most + 0.25, 1) & (name[k : k + 512][:, None] != name[k:][None, :]))
+        new = np.stack([x + k, y + k, np.rint(apart[x, y]).astype(np.int64)], 1)
+        out = np.concatenate([out, new[~np.isin(new[:, 0] * n + new[:, 1], gone)]])
+        low, high = np.minimum(name[out[:, 0]], name[out[:, 1]]), np.maximum(name[out[:, 0]], name[out[:, 1]])
+        order = np.lexsort((out[:, 1], out[:, 0], out[:, 2], high, low))
+        out, group = out[order], (low * n + high)[order]
+        start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.empty(0, np.int64)
+        out = out[np.arange(len(out)) - np.repeat(start, np.diff(np.r_[start, len(out)])) < each]
+    return out[:, :2]
 
 
 def met(nodes: DataFrame, bands: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -497,24 +476,18 @@ def _members(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.frombuffer(b"".join(batch.column("sig")[k].values.to_pylist()), np.uint64).reshape(-1, SIG // 64)[at]
 
 
-def more_likely(buckets: DataFrame, most: int, forests: int) -> DataFrame:
-    """a, b: pairs to compare next in buckets (id, sig, label, refuted: pairs) whose likely pairs neither share a label nor are refuted."""
+def more_likely(buckets: DataFrame, most: int, each: int) -> DataFrame:
+    """a, b: `each` pairs to compare next for any two labels of a bucket (id, sig, label, refuted: pairs) that likely pairs join."""
 
     def run(batches):
         for batch in batches:
             out = [np.empty((0, 2), np.int64)]
             for k in range(batch.num_rows):
-                ids, sig = _members(batch, k)
-                place = {v: i for i, v in enumerate(ids.tolist())}
-                known = [(place[x["a"]], place[x["b"]], False) for x in batch.column("refuted")[k].as_py() if x["a"] in place and x["b"] in place]
-                last: dict[int, int] = {}
-                for v, label in zip(batch.column("id")[k].as_py(), batch.column("label")[k].as_py(), strict=True):
-                    if label in last and last[label] != place[v]:
-                        known.append((last[label], place[v], True))
-                    last[label] = place[v]
-                e = nearest(sig, most, known, forests)
-                if e:
-                    out.append(ids[np.sort(np.array(e), 1)])
+                ids, at = np.unique(batch.column("id")[k].values.to_numpy(zero_copy_only=False), return_index=True)
+                sig = np.frombuffer(b"".join(batch.column("sig")[k].values.to_pylist()), np.uint64).reshape(-1, SIG // 64)[at]
+                label = batch.column("label")[k].values.to_numpy(zero_copy_only=False)[at]
+                pairs = np.array([(x["a"], x["b"]) for x in batch.column("refuted")[k].as_py()], np.int64).reshape(-1, 2)
+                out.append(ids[between(sig, label, np.searchsorted(ids, pairs), most, each)])
             e = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
 
@@ -548,10 +521,10 @@ def classes_of(docs: DataFrame, shingle: int, similarity: float, bucket: int) ->
     Texts meet where all min-hashes of a band agree; the bands follow from the
     similarity alone, so the vocabulary does not matter. In each bucket the likely
     pairs are thinned to a spanning forest. Of its edges each node takes its
-    smallest partners first, more in every round, and edges within a class that
-    stands already are left out; what is taken is compared exactly. Buckets that
-    lost an edge are searched again, for twice as many forests each round, until
-    every likely pair is joined or refuted.
+    smallest partner first, sixteen times as many in the next rounds, and edges
+    within a class that stands already are left out; what is taken is compared
+    exactly. Buckets that lost an edge are searched again for pairs between their
+    classes, more in every round, until every likely pair is joined or refuted.
     """
     bands, width, most = layout(similarity)
     schema = T.StructType([docs.schema["doc_id"], T.StructField("hash", T.LongType()), T.StructField("id", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("band", T.ArrayType(T.LongType()))])
@@ -579,23 +552,28 @@ def classes_of(docs: DataFrame, shingle: int, similarity: float, bucket: int) ->
     kept = texts.join(meeting.withColumnRenamed("hash", "h"), F.col("doc_id").eqNullSafe(F.col("held")) & (F.col("hash") == F.col("h")))
     pool = written(kept.groupBy("id").agg(F.min("text").alias("text")), "texts")
 
-    ok = spark_empty = docs.sparkSession.createDataFrame([], "a long, b long")
-    bad, label = spark_empty, docs.sparkSession.createDataFrame([], "node long, label long")
-    of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
-    todo, wide, forests = cut(likely(buckets, most)), 1, 2
+    bad, label = docs.sparkSession.createDataFrame([], "a long, b long"), docs.sparkSession.createDataFrame([], "node long, label long")
+    of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"))
+    named = lambda p: p.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("l_a", "a").alias("label_a"), F.coalesce("l_b", "b").alias("label_b"))
+    todo, wide, more, whole = cut(likely(buckets, most)), 1, 64, False
     while True:
         first = F.row_number().over(W.partitionBy("b").orderBy("a"))
-        tried = cut(compared(todo.withColumn("r", first).filter(F.col("r") <= wide).select("a", "b"), pool, shingle, similarity))
+        taken = todo if wide > 1000 else todo.withColumn("r", first).filter(F.col("r") <= wide).select("a", "b")
+        tried = cut(compared(taken, pool, shingle, similarity))
         bad = cut(bad.union(tried.filter("NOT ok").select("a", "b")))
         ok = tried.filter("ok").select("a", "b").union(label.select(F.col("label").alias("a"), F.col("node").alias("b")))
         label = components(ok)
-        apart = todo.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
-        todo, wide = cut(apart.select("a", "b").join(bad, ["a", "b"], "left_anti")), wide * 4
+        apart = named(todo).filter("label_a <> label_b")
+        todo, wide = cut(apart.select("a", "b").join(bad, ["a", "b"], "left_anti")), wide * 16
         if todo.isEmpty():
-            todo = cut(more_likely(refuted_buckets(buckets, bad, label), most, forests))
+            if whole:
+                break
+            todo = cut(more_likely(refuted_buckets(buckets, bad, label), most, more))
             if todo.isEmpty():
                 break
-            wide, forests = 1, forests * 2
+            # Where no two classes have as many pairs as were asked for, these are all.
+            whole = named(todo).groupBy(F.least("label_a", "label_b"), F.greatest("label_a", "label_b")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= more).isEmpty()
+            wide, more = 1 << 30, more * 16
     return rows.select("doc_id", "hash", "id"), label
 
 
