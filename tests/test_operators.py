@@ -154,10 +154,63 @@ def test_rescan_pairs_equal_jaccard(spark, sf):
         w = r["text"].lower().split()
         s = frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
         sets.setdefault(s, r["doc_id"])
+    rep = {r["doc_id"]: sets[frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4)))] for r in docs.collect() for w in [r["text"].lower().split()]}
     ids = sorted((d, s) for s, d in sets.items())
-    want = {(a, b) for i, (a, s) in enumerate(ids) for b, t in ids[i + 1 :] if len(s & t) >= 0.9 * len(s | t)}
-    got = {(r["a"], r["b"]): r["jaccard"] for r in joins.rescan_candidates(docs).collect()}
-    assert want <= set(got) and all(j >= 0.8 for j in got.values())
+    want = {d: set() for d in sets.values()}
+    for i, (a, s) in enumerate(ids):
+        for b, t in ids[i + 1 :]:
+            if len(s & t) >= 0.8 * len(s | t):
+                want[a].add(b)
+                want[b].add(a)
+    for r in joins.rescan_candidates(docs).collect():
+        found = {int(p.split(":")[0]) for p in r["partners"].split(",") if p}
+        assert (r["representative"], r["links"], found) == (rep[r["doc_id"]], len(want[rep[r["doc_id"]]]), want[rep[r["doc_id"]]])
+
+
+def test_block_pairs_of_a_hot_block(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 7)
+    rows = [(i, "hot" if i < 60 else f"k{i % 5}") for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, k string")
+    got = [(r["a"], r["b"]) for r in joins.block_pairs(df, ["k"], []).collect()]
+    want = {(a, b) for a, ka in rows for b, kb in rows if a < b and ka == kb}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_merkle_root_of_any_number_of_leaves(spark):
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for n in (0, 1, 2, 3, 8, 9, 16, 17, 33):
+        level = [sha(str(i)) for i in range(n)]
+        got = spark.createDataFrame([(level,)], "v array<string>").select(aggs.root_of(F.col("v"))).first()[0]
+        while len(level) > 1:
+            level = [sha(level[i] + level[min(i + 1, len(level) - 1)]) for i in range(0, len(level), 2)]
+        assert got == (level[0] if level else sha(""))
+
+
+def test_wide_polygons_bind_like_brute_force(spark):
+    rng = np.random.default_rng(2)
+    boxes = [(i, float(x), float(y), float(s)) for i, (x, y, s) in enumerate(zip(rng.uniform(-900, 900, 40), rng.uniform(-900, 900, 40), rng.choice([3, 40, 700, 5000], 40), strict=True))]
+    points = [(100 + i, f"t{i % 9}", float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-1500, 6000, (60, 2)))]
+    ring = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)]
+    polygons = spark.createDataFrame([(i, ring(x, y, s)) for i, x, y, s in boxes], "polygon_id int, ring array<struct<x:double,y:double>>")
+    labels = spark.createDataFrame(points, "label_id int, text string, x double, y double")
+    met = {}
+    for i, x, y, s in boxes:
+        for j, t, px, py in points:
+            d = math.hypot(max(x - px, 0, px - x - s), max(y - py, 0, py - y - s))
+            if d <= 50:
+                met[i, j] = (d, j, t)
+    fits = {}
+    for i, j in met:
+        fits.setdefault(j, set()).add(i)
+    for r in joins.bind_labels(polygons, labels).collect():
+        mine = [m for (i, _), m in met.items() if i == r["polygon_id"]]
+        mine = [m for m in mine if m[0] == 0] or mine
+        if not mine:
+            assert r["status"] == "unbound"
+            continue
+        best = min(mine)
+        unsure = len({m[2] for m in mine}) > 1 or len(fits[best[1]]) > 1
+        assert (r["label_id"], r["text"], r["status"]) == (best[1], best[2], "ambiguous" if unsure else "bound")
 
 
 def brute_cross(p, q, r, s):
@@ -188,14 +241,48 @@ def test_rings(spark):
     assert [round(v, 6) for v in spark.range(1).select(x, y).first()] == [5.0, 10.0]
 
 
+def test_canonical_values(spark):
+    cases = [
+        ("survey_number", "Khasra No 123/4", "123/4"), ("survey_number", "survey num 12A/3-b", "12A/3-b"), ("survey_number", "PLOT # 7", "7"), ("survey_number", "gata 9", "9"), ("survey_number", "Khasra No. 12 / 3", "12"), ("survey_number", " no  number ", "no number"),
+        ("khata_number", "Khata No 56", "56"), ("khata_number", "khatauni no.56/a", "56/a"), ("khata_number", "Account #77", "77"), ("khata_number", "khewat 5", "khewat 5"),
+        ("share_fraction", "Share: 1/2 of 3/4", "1/2"), ("share_fraction", "1 / 2", "1 / 2"),
+        ("area", "Area: 1.25 Hectare", "1.25 hectare"), ("area", "3 owners", "3 owners"), ("area", "2 Bigha 3 biswa", "2 bigha"), ("area", "40 SQ. M", "40 sq. m"), ("area", "7 square meters", "7 square meters"), ("area", "5 ha", "5 ha"), ("area", "1acre", "1acre"),
+        ("mutation_reference", "Mutation No 405", "405"), ("mutation_reference", "intakal ref 12/B", "12/B"), ("mutation_reference", "order # 9-1", "9-1"),
+        ("date", "dated 05/06/1987", "1987-06-05"), ("date", "1987.06.05", "1987-06-05"), ("date", "5/6/1987", "5/6/1987"), ("date", "on 05-06-1987 or 1990-01-02", "1987-06-05"),
+        ("owner_name", "  Shri   Ram ", "Shri Ram"), ("owner_name", "", None), ("owner_name", None, None), ("survey_number", "  ", ""),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, field string, t string, want string")
+    got = df.select("i", T.canonical_value(F.col("field"), F.col("t")).alias("v")).orderBy("i").collect()
+    assert [r["v"] for r in got] == [c[2] for c in cases]
+
+
+def test_field_classes(spark):
+    by_word = {
+        "mutation_reference": ["Mutation 5", "intakal", "Dakhil  Kharij", "order ref 1"],
+        "date": ["Date:", "dated", "scanning date", "on 01/02/1999", "01.02.1999"],
+        "relationship": ["Ram s/o Shyam", "w/o", "D/O x", "c/o y", "son of z", "wife  of", "daughter of", "care of", "late Ram"],
+        "survey_number": ["khasra 5", "Survey", "plot 7", "gata"],
+        "khata_number": ["khatauni", "khata 9", "account 4", "khewat"],
+        "area": ["area", "1 hectare", "2 ha", "3 acre", "bigha", "biswa", "sq m", "sqm", "square meter"],
+        "land_classification": ["classification", "land type", "chahi", "barani", "irrigated", "unirrigated", "abadi", "agricultural"],
+        "share_fraction": ["share", "hissa 1/2", "fraction"],
+        "owner_name": ["owner", "khatedar", "pattadar", "landowner", "nam", "name", "Shri Ram", "smt"],
+        "text_line": ["", None, "haha", "planet", "updated", "5 6", "12/", "1/2/3"],
+    }
+    first = [("mutation dated 01/02/1999", "mutation_reference"), ("date of khata", "date"), ("late owner of plot 5", "relationship"), ("khasra khata", "survey_number"), ("khata area", "khata_number"), ("area share", "area"), ("abadi share", "land_classification"), ("share of owner", "share_fraction")]
+    bare = [("12/34", "ror", "survey_number"), ("12/34", "khasra_khatauni", "survey_number"), ("12/34", "jamabandi", "share_fraction"), ("12/34", "deed", "text_line"), ("12/34", None, "text_line"), (" 7 ", "jamabandi", "khata_number"), ("7", "ror", "text_line"), ("7", "mutation_register", "text_line"), ("7", None, "text_line"), ("१२/३", "ror", "survey_number")]
+    cases = [(t, "unknown", f) for f, ts in by_word.items() for t in ts] + [(t, "ror", f) for t, f in first] + bare
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, t string, doc string, want string")
+    got = df.select("i", T.classify_field(F.col("t"), F.col("doc")).alias("f")).orderBy("i").collect()
+    assert [(c[0], c[1], r["f"]) for c, r in zip(cases, got, strict=True)] == cases
+
+
 def test_text_rules(spark):
-    rows = [("  Khasra  No. 12 / 3 ",), (" सर्वे  12",), ("   ",), (None,), ("3 / 04",), ("3/0",), ("dated 5/6/1987",)]
+    rows = [("  Khasra  No. 12 / 3 ",), (" सर्वे  12",), ("   ",), (None,), ("",), ("3/04",), ("3/0",), ("1234567890/2 and 1/3",), ("1/99999999999999999999",)]
     df = spark.createDataFrame(rows, "t string")
-    assert [r[0] for r in df.select(T.normalize_text(F.col("t"))).collect()] == ["Khasra No. 12 / 3", "सर्वे 12", None, None, "3 / 04", "3/0", "dated 5/6/1987"]
-    assert df.select(T.canonical_value(F.lit("survey_number"), F.col("t"))).first()[0] == "12/3"
-    f = [tuple(r[0]) for r in df.select(T.parse_fraction(F.col("t"))).collect()]
-    assert f[0] == (12, 3) and f[4] == (3, 4) and f[5] == (None, None)
-    assert df.select(T.canonical_value(F.lit("date"), F.col("t"))).collect()[6][0] == "1987-06-05"
+    assert [r[0] for r in df.select(T.normalize_text(F.col("t"))).collect()] == ["Khasra No. 12 / 3", "सर्वे 12", "", None, None, "3/04", "3/0", "1234567890/2 and 1/3", "1/99999999999999999999"]
+    assert [r[0] for r in df.select(T.unconstrained_value(F.col("t"))).collect()][:5] == ["Khasra  No. 12 / 3", "सर्वे  12", "", None, None]
+    assert [tuple(r[0]) for r in df.select(T.parse_fraction(F.col("t"))).collect()] == [(None, None)] * 5 + [(3, 4), (None, None), (1234567890, 2), (None, None)]
     two = spark.createDataFrame([("कखग", "कघग"), (None, "ab")], "a string, b string")
     assert [r[0] for r in two.select(T.edit_distance(F.col("a"), F.col("b"))).collect()] == [1, 2]
 

@@ -24,10 +24,15 @@ def to_ring_distance(ring: Column, x: Column, y: Column) -> Column:
     return F.array_min(F.transform(_edges(ring), lambda e: _edge_distance(e, x, y)))
 
 
+def inside(ring: Column, x: Column, y: Column) -> Column:
+    """Even-odd rule; what the border is, is left open."""
+    crossing = F.filter(_edges(ring), lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]))
+    return F.size(crossing) % 2 == 1
+
+
 def inside_or_on(ring: Column, x: Column, y: Column) -> Column:
     """Even-odd rule, the border counts."""
-    crossing = F.filter(_edges(ring), lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]))
-    return (F.size(crossing) % 2 == 1) | (to_ring_distance(ring, x, y) == 0)
+    return inside(ring, x, y) | (to_ring_distance(ring, x, y) == 0)
 
 
 def _side(ax, ay, bx, by, cx, cy) -> Column:

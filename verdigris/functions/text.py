@@ -10,61 +10,78 @@ TRIM = r"(?U)^\s+|\s+$"
 
 
 def normalize_text(c: Column) -> Column:
-    """Trim and collapse white space; an empty text is null."""
-    return F.nullif(F.regexp_replace(F.regexp_replace(c, TRIM, ""), WS, " "), F.lit(""))
+    """Trim and collapse white space; an empty text is null, one of white space alone is empty."""
+    return F.regexp_replace(unconstrained_value(c), WS, " ")
 
 
 def unconstrained_value(c: Column) -> Column:
-    """The reading as it is, trimmed; null when empty."""
-    return F.nullif(F.regexp_replace(c, TRIM, ""), F.lit(""))
+    """The reading as it is, trimmed; an empty text is null."""
+    return F.regexp_replace(F.nullif(c, F.lit("")), TRIM, "")
 
 
 def found(c: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
+#: What a field's canonical value is cut out by.
+NUMBERED = {
+    "survey_number": r"(?iU)(?:khasra|survey|plot|gata)\s*(?:no\.?|num|#)?\s*([0-9a-zA-Z/\-]+)",
+    "khata_number": r"(?iU)(?:khatauni|khata|account)\s*(?:no\.?|num|#)?\s*([0-9a-zA-Z/\-]+)",
+    "mutation_reference": r"(?iU)(?:mutation|intakal|order)\s*(?:no\.?|ref|#)?\s*([0-9a-zA-Z/\-]+)",
+    "share_fraction": r"([0-9]+/[0-9]+)",
+}
+AREA = r"(?iU)([0-9.]+\s*(?:hectare|ha|acre|bigha|biswa|sq\.?\s*m|square meters?))"
+DAY_FIRST, YEAR_FIRST = r"(?U)(\d{2})[/.-](\d{2})[/.-](\d{4})", r"(?U)(\d{4})[/.-](\d{2})[/.-](\d{2})"
+
+
 def canonical_value(field: Column, c: Column) -> Column:
-    """Numbers, shares, areas and dates in one form; the collapsed text where nothing fits."""
-    t = normalize_text(c)
-    number = found(t, r"(?i)(?:no\.?|number|khasra|survey|khata|mutation)\s*(?:no\.?)?\s*([0-9]+(?:\s*/\s*[0-9]+)*)")
-    share = F.concat_ws("/", found(t, r"([0-9]+)\s*/\s*([0-9]+)", 1), found(t, r"([0-9]+)\s*/\s*([0-9]+)", 2))
-    area = F.concat_ws(" ", found(t, r"(?i)([0-9]+(?:\.[0-9]+)?)\s*([a-z]+)", 1), F.lower(found(t, r"(?i)([0-9]+(?:\.[0-9]+)?)\s*([a-z]+)", 2)))
-    dmy = r"([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})"
-    date = F.concat_ws("-", found(t, dmy, 3), F.lpad(found(t, dmy, 2), 2, "0"), F.lpad(found(t, dmy, 1), 2, "0"))
-    iso = found(t, r"([0-9]{4}-[0-9]{2}-[0-9]{2})")
-    return (
-        F.when(field.isin("survey_number", "khata_number", "mutation_number"), F.coalesce(F.regexp_replace(number, r"\s+", ""), t))
-        .when(field == "share_fraction", F.coalesce(F.nullif(share, F.lit("")), t))
-        .when(field == "area", F.coalesce(F.nullif(area, F.lit("")), t))
-        .when(field == "date", F.coalesce(iso, F.nullif(date, F.lit("")), t))
-        .otherwise(t)
-    )
-
-
-#: Fixed order of the rules; the first that matches names the field.
-RULES = [
-    ("mutation_number", r"(?i)\bmutation\b"), ("date", r"(?i)\bdated?\b|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4}"), ("relationship", r"(?i)\b(s/o|d/o|w/o|son of|daughter of|wife of)\b"),
-    ("survey_number", r"(?i)\b(khasra|survey)\b"), ("khata_number", r"(?i)\bkhata\b"), ("area", r"(?i)\b(hectare|bigha|acre|biswa)\b"), ("classification", r"(?i)\b(irrigated|barren|abadi)\b"),
-    ("share_fraction", r"(?i)\b(hissa|share)\b"), ("owner_name", r"(?i)\b(owner|shri|smt)\b"),
-]
+    """Numbers, shares, areas and dates in one form; the collapsed text where nothing fits.
+
+    Each field costs the search for its own pattern, and the collapsed text only where that fails.
+    """
+    out = F.when(field == "area", F.lower(found(c, AREA)))
+    for name, pattern in NUMBERED.items():
+        out = out.when(field == name, found(c, pattern))
+    iso = lambda pattern, order: F.when(c.rlike(pattern), F.concat_ws("-", *[F.regexp_extract(c, pattern, k) for k in order]))
+    out = out.when(field == "date", F.coalesce(iso(DAY_FIRST, (3, 2, 1)), iso(YEAR_FIRST, (1, 2, 3))))
+    return F.coalesce(out, normalize_text(c))
+
+
+#: The classes in their order with the words that name them; the first that is found counts.
+KEYWORDS = {
+    "mutation_reference": ["mutation", "intakal", r"dakhil\s*kharij", r"order\s*ref"],
+    "date": ["date", "dated", r"scanning\s*date"],
+    "relationship": ["s/o", "w/o", "d/o", "c/o", r"son\s+of", r"wife\s+of", r"daughter\s+of", r"care\s+of", "late"],
+    "survey_number": ["khasra", "survey", "plot", "gata"],
+    "khata_number": ["khatauni", "khata", "account", "khewat"],
+    "area": ["area", "hectare", "ha", "acre", "bigha", "biswa", r"sq\s*m", r"square\s*meter"],
+    "land_classification": ["classification", r"land\s*type", "chahi", "barani", "irrigated", "unirrigated", "abadi", "agricultural"],
+    "share_fraction": ["share", "hissa", "fraction"],
+    "owner_name": ["owner", "khatedar", "pattadar", "landowner", "nam", "name", "shri", "smt"],
+}
+DATE = r"\b\d{2}[/.-]\d{2}[/.-]\d{4}\b"
+#: What a bare n/n and a bare n are in each type of document.
+BARE_PAIR = {"ror": "survey_number", "khasra_khatauni": "survey_number", "jamabandi": "share_fraction"}
+BARE_NUMBER = {"jamabandi": "khata_number"}
 
 
 def classify_field(c: Column, doc_type: Column) -> Column:
     """The field's class by ordered keywords, then by the document's type for bare numbers."""
-    t = F.coalesce(normalize_text(c), F.lit(""))
+    t = F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), TRIM, ""))
     out = None
-    for name, pattern in RULES:
+    for name, words in KEYWORDS.items():
+        pattern = rf"(?U)\b(?:{'|'.join(words)})\b" + (f"|{DATE}" if name == "date" else "")
         out = F.when(t.rlike(pattern), name) if out is None else out.when(t.rlike(pattern), name)
-    out = out.when(t.rlike(r"^[0-9]+/[0-9]+$"), F.when(doc_type == "jamabandi", "share_fraction").otherwise("survey_number"))
-    out = out.when(t.rlike(r"^[0-9]+$"), F.when(doc_type == "mutation_register", "mutation_number").when(doc_type.isin("ror", "khasra_khatauni"), "khata_number").otherwise("text_line"))
-    return out.otherwise("text_line")
+    by_type = lambda names: F.coalesce(*[F.when(doc_type == k, v) for k, v in names.items()], F.lit("text_line"))
+    return out.when(t.rlike(r"(?U)^\d+/\d+$"), by_type(BARE_PAIR)).when(t.rlike(r"(?U)^\d+$"), by_type(BARE_NUMBER)).otherwise("text_line")
 
 
 def parse_fraction(c: Column) -> Column:
-    """struct<n, d> of the first n/d with d other than 0."""
-    pattern = r"([0-9]{1,9})\s*/\s*(0*[1-9][0-9]{0,8})(?![0-9])"
-    n, d = F.regexp_extract(c, pattern, 1).try_cast("int"), F.regexp_extract(c, pattern, 2).try_cast("int")
-    return F.struct(n.alias("n"), d.alias("d"))
+    """struct<n, d> of the first n/d as longs, both null where d is 0 or a number is no long."""
+    pair = F.regexp_extract(c, r"([0-9]+)/([0-9]+)", 0)
+    whole = lambda k: F.nullif(F.split_part(pair, F.lit("/"), F.lit(k)), F.lit("")).try_cast("bigint")
+    ok = (whole(1) >= 0) & (whole(2) > 0)
+    return F.struct(F.when(ok, whole(1)).alias("n"), F.when(ok, whole(2)).alias("d"))
 
 
 def edit_distance(a: Column, b: Column) -> Column:

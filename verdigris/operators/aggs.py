@@ -66,14 +66,27 @@ def stratum_counts(df: DataFrame, least: int, by: str = "stratum") -> DataFrame:
 def assemble_records(extractions: DataFrame) -> DataFrame:
     """Rows (record_id, page_index, ord, id, field_name, value): fields, conflicts, ids, missing pages, strategy.
 
-    The first value of a field wins; distinct values are kept in order.
+    The first value of a field wins; distinct values are kept in order. One shuffle
+    by record_id gives a record's rows in order; all else comes from that array.
     """
-    order = F.struct("page_index", "ord", "id")
-    per = extractions.groupBy("record_id", "field_name").agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("value").alias("v")))), lambda x: x["v"]).alias("all"), F.min(order).alias("at"))
-    per = per.withColumn("values", F.array_distinct("all"))
-    fields = per.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("field_name", F.element_at("values", 1).alias("value"), (F.size("values") > 1).alias("conflicting"), (F.size("all") > F.size("values")).alias("duplicate"), "values"))).alias("fields"))
-    pages = extractions.groupBy("record_id").agg(F.array_sort(F.collect_set("page_index")).alias("pages"), F.array_distinct(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["id"])).alias("ids"))
-    d = fields.join(pages, "record_id").withColumn("missing", F.array_except(F.sequence(F.array_min("pages"), F.array_max("pages")), "pages"))
+    rows = F.array_sort(F.collect_list(F.struct("page_index", "ord", "id", "field_name", "value")))
+    d = extractions.groupBy("record_id").agg(rows.alias("rows"))
+    names = F.array_sort(F.array_distinct(F.transform("rows", lambda x: x["field_name"])))
+
+    def field(name: Column) -> Column:
+        return F.struct(name.alias("field_name"), F.transform(F.filter("rows", lambda x: x["field_name"].eqNullSafe(name)), lambda x: x["value"]).alias("all"))
+
+    def summed(f: Column) -> Column:
+        values = F.array_distinct(f["all"])
+        return F.struct(f["field_name"].alias("field_name"), F.element_at(values, 1).alias("value"), (F.size(values) > 1).alias("conflicting"), (F.size(f["all"]) > F.size(values)).alias("duplicate"), values.alias("values"))
+
+    d = d.select(
+        "record_id",
+        F.transform(F.transform(names, field), summed).alias("fields"),
+        F.array_distinct(F.transform("rows", lambda x: x["page_index"])).alias("pages"),
+        F.array_distinct(F.transform("rows", lambda x: x["id"])).alias("ids"),
+    ).withColumn("pages", F.filter("pages", lambda p: p.isNotNull()))
+    d = d.withColumn("missing", F.array_except(F.sequence(F.array_min("pages"), F.array_max("pages")), "pages"))
     lines = F.concat(
         F.transform("missing", lambda m: F.concat(F.lit("[MISSING_PAGE_GAP] page "), m.cast("string"))),
         F.transform(F.filter("fields", lambda f: f["conflicting"]), lambda f: F.concat(F.lit("[CONFLICT] "), f["field_name"])),
@@ -145,15 +158,15 @@ def merkle_root(heads: DataFrame) -> DataFrame:
     return d.select(root_of(F.col("level")).alias("root"))
 
 
-def root_of(level: Column, most: int = 3) -> Column:
-    """Root of at most 2^most leaves."""
+def root_of(level: Column) -> Column:
+    """Root of any number of leaves; no level is left to do after 32."""
+
     def up(v: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.size(v), F.lit(2)), lambda i: F.sha2(F.concat(F.element_at(v, i), F.coalesce(F.try_element_at(v, i + 1), F.element_at(v, i))), 256))
         return F.when(F.size(v) > 1, pairs).otherwise(v)
 
-    for _ in range(most):
-        level = F.element_at(F.transform(F.array(level), lambda v: up(v)), 1)  # bound once a level
-    return F.coalesce(F.try_element_at(level, F.lit(1)), F.sha2(F.lit(""), 256))
+    top = F.aggregate(F.sequence(F.lit(1), F.lit(32)), level, lambda v, _: up(v))
+    return F.coalesce(F.try_element_at(top, F.lit(1)), F.sha2(F.lit(""), 256))
 
 
 def prototypes(embeddings: DataFrame, by: str, vector: str) -> DataFrame:

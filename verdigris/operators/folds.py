@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verdigris.functions.hashing import iso
 from verdigris.operators.aggs import merkle_root, root_of
@@ -26,16 +29,31 @@ def entry_hash(prev: Column, row: Callable[[str], Column]) -> Column:
 
 
 def append_chain(audit: DataFrame, heads: DataFrame | None = None) -> DataFrame:
-    """Link a batch of entries per shard in (at, id) order; `heads` (shard_id, head) continue earlier chains."""
-    rows = F.array_sort(F.collect_list(F.struct("at", "id", *LINKED)))
-    g = audit.groupBy("shard_id").agg(rows.alias("_rows"))
-    g = g.join(heads, "shard_id", "left") if heads is not None else g.withColumn("head", F.lit(None).cast("string"))
-    last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1)), F.col("head"))
-    hashes = F.aggregate("_rows", F.array().cast("array<string>"), lambda acc, r: F.concat(acc, F.array(entry_hash(last(acc), lambda c: r[c]))))
-    d = g.select("shard_id", "head", "_rows", hashes.alias("_hashes"))
-    prev = F.concat(F.array("head"), F.slice("_hashes", F.lit(1), F.size("_hashes") - 1))
-    d = d.select("shard_id", F.explode(F.arrays_zip(F.col("_rows").alias("r"), prev.alias("prev_hash"), F.col("_hashes").alias("hash"))).alias("z"))
-    return d.select("shard_id", "z.r.*", F.col("z.prev_hash").alias("prev_hash"), F.col("z.hash").alias("hash"))
+    """Link a batch of entries per shard in (at, id) order; `heads` (shard_id, head) continue earlier chains.
+
+    A shard's entries are sorted in its partition and pass through in Arrow batches;
+    only the last hash is held. What is hashed after it is put together by Spark.
+    """
+    rest = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in LINKED], iso(F.col("at")))
+    row = F.struct("at", "id", *LINKED)
+    d = audit.select("shard_id", row.alias("row"), rest.alias("rest"))
+    d = d.join(heads.select("shard_id", "head"), "shard_id", "left") if heads is not None else d.withColumn("head", F.lit(None).cast("string"))
+    d = d.repartition("shard_id").sortWithinPartitions("shard_id", "row.at", "row.id")
+    schema = T.StructType([d.schema["shard_id"], d.schema["row"], T.StructField("prev_hash", T.StringType()), T.StructField("hash", T.StringType())])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, last = None, None
+        for b in batches:
+            prev, made = [], []
+            for s, head, text in zip(b.column("shard_id").to_pylist(), b.column("head").to_pylist(), b.column("rest").to_pylist(), strict=True):
+                if s != shard:
+                    shard, last = s, head
+                prev.append(last)
+                last = hashlib.sha256(f"{last or ''}|{text}".encode()).hexdigest()
+                made.append(last)
+            yield pa.RecordBatch.from_arrays([b.column("shard_id"), b.column("row"), pa.array(prev, pa.string()), pa.array(made, pa.string())], names=schema.names)
+
+    return d.mapInArrow(link, schema).select("shard_id", "row.*", "prev_hash", "hash")
 
 
 def verify_chain(audit: DataFrame) -> DataFrame:

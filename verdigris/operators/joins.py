@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from verdigris.functions.geometry import inside_or_on, segment_hits_box, to_ring_distance
+from verdigris.functions.geometry import inside, segment_hits_box, to_ring_distance
 
 BLOCKING = ("open", "under_enquiry", "referred")
+GENERAL_SALTS = 16
 
 
 def page_district(pages: DataFrame, documents: DataFrame, batches: DataFrame) -> DataFrame:
@@ -71,11 +72,14 @@ def corpus_version(requests: DataFrame, pointers: DataFrame) -> DataFrame:
 def closed_set(entries: DataFrame, districts: DataFrame) -> DataFrame:
     """Sorted codes of each type for each district (its own and the general ones); schema and lgd entries only."""
     ok = entries.filter(F.col("provenance").isin("schema", "lgd"))
-    own = ok.filter("district IS NOT NULL")
-    # General entries count for every district of the (small) list that is asked for.
-    asked = F.array(*[F.lit(r["district"]) for r in districts.distinct().orderBy("district").collect()])
-    general = ok.filter("district IS NULL").withColumn("district", F.explode(asked))
-    both = own.join(districts, "district", "left_semi").unionByName(general)
+    asked = districts.select("district").distinct()
+    own = ok.filter("district IS NOT NULL").join(asked, "district", "left_semi")
+    # General entries count for every district that is asked for: they meet them by one
+    # key, salted by code on their side and copied over the salts on the districts'.
+    salt = F.lit(GENERAL_SALTS)
+    general = ok.filter("district IS NULL").drop("district").withColumn("_salt", F.pmod(F.xxhash64("code"), salt).cast("int"))
+    general = general.join(asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), salt - 1))), "_salt").drop("_salt")
+    both = own.unionByName(general)
     g = both.groupBy("type", "district").agg(F.array_sort(F.collect_set("code")).alias("codes"), F.count_distinct("provenance").alias("_n"), F.min("source").alias("_source"))
     return g.select("type", "district", "codes", F.coalesce(F.nullif("_source", F.lit("")), F.lit("schema")).alias("source"), F.when(F.col("_n") > 1, "mixed_provenance").alias("reason_code"))
 
@@ -105,14 +109,27 @@ def leakage(train: DataFrame, exclusion: DataFrame, key: str) -> DataFrame:
 def bind_labels(polygons: DataFrame, labels: DataFrame, far: float = 50.0) -> DataFrame:
     """Labels to polygons: inside or on the edge first, else within `far`; ambiguous cases are marked.
 
-    A polygon is dealt to the grid cells that its box, grown by `far`, touches and
-    a label to its own cell, so the join is by cell.
+    A polygon is dealt to the cells of a grid that its box, grown by `far`, touches:
+    of the grid whose cells are about a quarter of that box, so a wide box has 25
+    cells at most. A label is dealt to its cell in each grid in use. Only ids, boxes
+    and points go through the join by cell; pairs that pass the test of boxes get
+    their ring back by the polygon's id, and are measured once.
     """
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    cell = lambda c: F.floor(c / far).cast("long")
-    p = polygons.select("polygon_id", "ring", F.explode(F.sequence(cell(F.array_min(xs) - far), cell(F.array_max(xs) + far))).alias("cx"), F.sequence(cell(F.array_min(ys) - far), cell(F.array_max(ys) + far)).alias("_cy")).withColumn("cy", F.explode("_cy")).drop("_cy")
-    q = labels.withColumn("cx", cell(F.col("x"))).withColumn("cy", cell(F.col("y")))
-    met = p.join(q, ["cx", "cy"]).withColumn("inside", inside_or_on(F.col("ring"), F.col("x"), F.col("y"))).withColumn("dist", F.when(F.col("inside"), 0.0).otherwise(to_ring_distance(F.col("ring"), F.col("x"), F.col("y")))).filter(F.col("dist") <= far)
+    box = polygons.select("polygon_id", (F.array_min(xs) - far).alias("x0"), (F.array_max(xs) + far).alias("x1"), (F.array_min(ys) - far).alias("y0"), (F.array_max(ys) + far).alias("y1"))
+    wide = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    box = box.filter("x0 IS NOT NULL AND y0 IS NOT NULL").withColumn("grid", F.greatest(F.lit(0), F.ceil(F.log2(wide / (4 * far)))).cast("int"))
+    cell = lambda c: F.floor(c / (far * F.pow(F.lit(2.0), F.col("grid")))).cast("long")
+    span = lambda a, b: F.explode(F.sequence(cell(F.col(a)), cell(F.col(b))))
+    p = box.withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1"))
+    grids = [r["grid"] for r in box.select("grid").distinct().collect()]  # some dozen at most: powers of two
+    q = labels.withColumn("grid", F.explode(F.array(*map(F.lit, grids)).cast("array<int>"))).withColumn("cx", cell(F.col("x"))).withColumn("cy", cell(F.col("y")))
+    near = p.join(q, ["grid", "cx", "cy"]).filter("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1").select("polygon_id", *labels.columns)
+    rings = polygons.select("polygon_id", "ring")
+    away = to_ring_distance(F.col("ring"), F.col("x"), F.col("y"))
+    seen = F.transform(F.array(away), lambda d: F.struct((inside(F.col("ring"), F.col("x"), F.col("y")) | (d == 0)).alias("inside"), d.alias("dist")))
+    held = F.explode(F.filter(seen, lambda m: m["inside"] | (m["dist"] <= far)))  # a generator, so that no filter works it out again
+    met = near.join(rings, "polygon_id").select("polygon_id", *labels.columns, held.alias("m")).select("polygon_id", *labels.columns, F.col("m.inside").alias("inside"), F.when(F.col("m.inside"), 0.0).otherwise(F.col("m.dist")).alias("dist"))
     best = met.withColumn("_any", F.max("inside").over(W.partitionBy("polygon_id"))).filter(F.col("inside") | ~F.col("_any"))
     chosen = best.groupBy("polygon_id").agg(F.count_distinct("text").alias("texts"), F.min(F.struct("dist", "label_id", "text")).alias("c"), F.bool_or("inside").alias("is_inside"))
     fits = met.groupBy("label_id").agg(F.count_distinct("polygon_id").alias("fits"))
@@ -181,12 +198,29 @@ def assign_tokens_to_cells(tokens: DataFrame, cells: DataFrame) -> DataFrame:
     return first.groupBy("page_id", F.col("c.row").alias("row"), F.col("c.col").alias("col")).agg(words.alias("text"), F.round(F.avg("confidence"), 4).alias("confidence"))
 
 
+#: Rows of a block that one task holds on each side.
+BLOCK_ROWS = 1000
+
+
+def block_pairs(rows: DataFrame, block: list[str], carried: list[str]) -> DataFrame:
+    """Each pair a < b of a block's rows (id, ...) once, with the carried columns as x_a and x_b.
+
+    A block of more than BLOCK_ROWS rows is cut into parts, and each pair of parts
+    meets in a task of its own, so a hot block is as many tasks as its pairs ask for.
+    """
+    many = rows.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("_parts"))
+    d = rows.join(many, block).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int")).withColumn("_other", F.explode(F.expr("sequence(0, _parts - 1)")))
+    side = lambda n: d.select(*block, F.least("_own", "_other").alias("_low"), F.greatest("_own", "_other").alias("_high"), F.col("_own").alias(f"_own_{n}"), F.col("id").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in carried])
+    met = side("a").join(side("b"), [*block, "_low", "_high"])
+    return met.filter("a < b AND (_own_a <> _own_b OR _low = _high)").select(*block, "a", "b", *[f"{c}_{n}" for c in carried for n in "ab"])
+
+
 def candidate_pairs(records: DataFrame, passes: dict[str, list[Column]]) -> DataFrame:
     """Pairs that share all keys of a pass, each once with the passes that found it; null keys match nothing."""
     out = None
     for name, keys in passes.items():
         k = records.filter(_all_set(keys)).select("id", F.concat_ws("\1", *keys).alias("_k"))
-        p = k.select(F.col("id").alias("a"), "_k").join(k.select(F.col("id").alias("b"), "_k"), "_k").filter("a < b").select("a", "b", F.lit(name).alias("pass"))
+        p = block_pairs(k, ["_k"], []).select("a", "b", F.lit(name).alias("pass"))
         out = p if out is None else out.unionByName(p)
     return pass_union(out)
 
@@ -205,32 +239,52 @@ def pass_union(pairs: DataFrame) -> DataFrame:
 
 def match_persons(people: DataFrame, block: list[str], name: str, threshold: float) -> DataFrame:
     """Pairs within a block with their similarity: proposed at or above the threshold, held below; never merged."""
-    a, b = people.select(*block, F.col("id").alias("a"), F.col(name).alias("_na")), people.select(*block, F.col("id").alias("b"), F.col(name).alias("_nb"))
-    d = a.join(b, block).filter("a < b")
-    score = F.round(1 - F.levenshtein("_na", "_nb") / F.greatest(F.length("_na"), F.length("_nb")), 6)
+    d = block_pairs(people.select(*block, "id", F.col(name).alias("_n")), block, ["_n"])
+    score = F.round(1 - F.levenshtein("_n_a", "_n_b") / F.greatest(F.length("_n_a"), F.length("_n_b")), 6)
     return d.select("a", "b", score.alias("score"), F.when(score >= threshold, "propose").otherwise("hold").alias("decision"))
 
 
-def rescan_candidates(pages: DataFrame, key: str = "doc_id", shingle: int = 5, least: float = 0.8, bands: int = 20, rows: int = 4) -> DataFrame:
-    """Pages whose word shingles have a Jaccard similarity of at least `least`.
-
-    Equal shingle sets are one row; min-hash bands give candidates, an exact
-    count on shingle sets decides. Pairs are between representatives.
-    """
+def shingle_sets(pages: DataFrame, key: str, shingle: int) -> DataFrame:
+    """key and s: the sorted distinct hashes of the word shingles; pages without words have none and are left out."""
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
     last = F.greatest(F.lit(1), F.size("w") - (shingle - 1))
     hashes = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice("w", i, shingle), " ")))))
-    d = pages.filter(F.col("text").isNotNull()).select(key, words.alias("w")).filter(F.size("w") > 0).withColumn("s", hashes).drop("w")
-    rep = d.groupBy("s").agg(F.min(key).alias("rep"))
+    return pages.filter(F.col("text").isNotNull()).select(key, words.alias("w")).filter(F.size("w") > 0).select(key, hashes.alias("s"))
+
+
+def similar_sets(rep: DataFrame, least: float, bands: int, rows: int) -> DataFrame:
+    """Pairs a < b of `rep` (rep, s: distinct sets) with a Jaccard similarity of at least `least`.
+
+    Min-hash bands give candidates; blocks of a band's value meet pair by pair, so a
+    hot value is many tasks. Sizes alone rule many out; an exact count decides.
+    """
     signature = F.transform(F.sequence(F.lit(1), F.lit(bands * rows)), lambda k: F.array_min(F.transform("s", lambda h: F.xxhash64(h, k))))
-    sig = rep.withColumn("sig", signature)
-    keyed = sig.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("sig", b * rows + 1, rows)))).alias("band", "k"))
-    near = keyed.select("band", "k", F.col("rep").alias("a")).join(keyed.select("band", "k", F.col("rep").alias("b")), ["band", "k"]).filter("a < b").select("a", "b").distinct()
+    sig = rep.select("rep", F.size("s").alias("n"), signature.alias("sig"))
+    keyed = sig.select(F.col("rep").alias("id"), "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("sig", b * rows + 1, rows)))).alias("band", "k"))
+    near = block_pairs(keyed, ["band", "k"], ["n"]).filter(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")).select("a", "b").distinct()
     both = near.join(rep.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(rep.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
     same = F.size(F.array_intersect("sa", "sb"))
     return both.withColumn("jaccard", same / (F.size("sa") + F.size("sb") - same)).filter(F.col("jaccard") >= least).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
+def rescan_candidates(pages: DataFrame, key: str = "doc_id", shingle: int = 5, least: float = 0.8, bands: int = 20, rows: int = 4) -> DataFrame:
+    """One row per page: its representative (the smallest key with an equal shingle set) and what that one is linked to.
+
+    Links are between representatives whose sets have a Jaccard similarity of at
+    least `least`: their number, and the partners in order with their similarity.
+    Pages without words stand alone.
+    """
+    d = shingle_sets(pages, key, shingle).withColumn("h", F.xxhash64("s"))
+    rep = d.groupBy("h", "s").agg(F.min(key).alias("rep"))
+    pairs = similar_sets(rep.select("rep", "s"), least, bands, rows)
+    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard"))
+    linked = ends.groupBy(F.col("a").alias("rep")).agg(F.array_sort(F.collect_list(F.struct("b", "jaccard"))).alias("partners"))
+    member = d.select(key, "h", "s").join(rep, ["h", "s"]).select(key, "rep").join(linked, "rep", "left")
+    out = pages.select(key).join(member, key, "left")
+    named = F.array_join(F.transform("partners", lambda p: F.concat_ws(":", p["b"].cast("string"), p["jaccard"].cast("string"))), ",")
+    return out.select(key, F.coalesce("rep", key).alias("representative"), F.coalesce(F.size("partners"), F.lit(0)).cast("long").alias("links"), F.coalesce(named, F.lit("")).alias("partners"))
+
+
 def legacy_reconcile(records: DataFrame, legacy: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Field by field against the legacy row; without one the check does not apply."""
     old = legacy.select(F.col(key), *[F.col(f).alias(f"_{f}") for f in fields], F.lit(True).alias("_has"))

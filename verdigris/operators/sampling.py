@@ -7,12 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verdigris.operators.joins import BLOCKING
+from verdigris.operators.shared import cut
 
 
 def ranks(df: DataFrame, order: list[str], out: str) -> DataFrame:
     """Global row numbers from 1 without one task for all: sorted partitions and their offsets."""
     p = df.sort(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    p = p.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else p.persist()
+    p = cut(p)
     first = p.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     offset = first.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     inside = F.row_number().over(W.partitionBy("_part").orderBy("_at"))

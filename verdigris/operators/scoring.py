@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.functions.text import canonical_value, classify_field, normalize_text, unconstrained_value
+from verdigris.functions.text import canonical_value, classify_field, unconstrained_value
 
 #: The feature bands (other names score 0.5).
 BAND_SCORE = {"good": 1.0, "medium": 0.5, "poor": 0.0}
@@ -15,8 +15,9 @@ BAND_SCORE = {"good": 1.0, "medium": 0.5, "poor": 0.0}
 
 def extract_fields(tokens: DataFrame) -> DataFrame:
     """Token rows (page_id, text, doc_type, ...) to field rows; blank tokens are dropped."""
-    d = tokens.filter(normalize_text(F.col("text")).isNotNull()).withColumn("field_name", classify_field(F.col("text"), F.col("doc_type")))
-    return d.withColumn("raw_value", unconstrained_value(F.col("text"))).withColumn("canonical_value", canonical_value(F.col("field_name"), F.col("text"))).withColumn("entry_status", F.lit("unknown")).withColumn("calibrated_confidence", F.lit(None).cast("double")).withColumn("novelty_score", F.lit(None).cast("double"))
+    text = F.col("text")
+    d = tokens.filter(F.coalesce(unconstrained_value(text), F.lit("")) != "").withColumn("field_name", classify_field(text, F.col("doc_type")))
+    return d.withColumn("raw_value", text).withColumn("unconstrained_value", unconstrained_value(text)).withColumn("canonical_value", canonical_value(F.col("field_name"), F.col("text"))).withColumn("entry_status", F.lit("unknown")).withColumn("calibrated_confidence", F.lit(None).cast("double")).withColumn("novelty_score", F.lit(None).cast("double"))
 
 
 def numeric_features(df: DataFrame) -> DataFrame:

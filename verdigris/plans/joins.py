@@ -211,7 +211,21 @@ def strokes(spark, sf):
     return s.withColumn("y1", F.col("y1") + (F.col("x1") % 7) * 3).withColumn("y2", F.col("y2") + (F.col("x1") % 7) * 3).withColumn("stroke_id", F.concat_ws("/", "x1", "y1", "x2", "y2"))
 
 
-@query("JOI15_strikethrough")
+STRIKES = """
+b as (select page_id, token_id || '-' || y as id, y, min(x) as x, min(w) as w, min(h) as h, case when token_id % 2 = 0 then 'superseded' else 'live' end as status, token_id from v_token group by page_id, token_id, y),
+s as (select page_id, x1, x2, y1 + x1 % 7 * 3 as y1, y2 + x1 % 7 * 3 as y2 from (select distinct * from v_stroke)),
+m as (select b.*, x1, y1, x2, y2, concat_ws('/', x1, y1, x2, y2) as stroke_id, g, x - g as l, y - g as t, x + w + g as r, y + h + g as u from b join s using (page_id), (values (0.0::double), (4.0::double)) v(g)),
+d as (select *, unnest([{'ax': l, 'ay': t, 'bx': r, 'by': t}, {'ax': r, 'ay': t, 'bx': r, 'by': u}, {'ax': r, 'ay': u, 'bx': l, 'by': u}, {'ax': l, 'ay': u, 'bx': l, 'by': t}]) as e from m),
+c as (select page_id, id, stroke_id, g, bool_or((x1 between l and r and y1 between t and u) or (x2 between l and r and y2 between t and u) or
+   (sign((x2 - x1) * (e.ay - y1) - (y2 - y1) * (e.ax - x1)) * sign((x2 - x1) * (e.by - y1) - (y2 - y1) * (e.bx - x1)) < 0
+    and sign((e.bx - e.ax) * (y1 - e.ay) - (e.by - e.ay) * (x1 - e.ax)) * sign((e.bx - e.ax) * (y2 - e.ay) - (e.by - e.ay) * (x2 - e.ax)) < 0)) as hit from d group by 1, 2, 3, 4),
+k as (select page_id, id, bool_or(hit) filter (g = 0) as struck, bool_or(hit) filter (g = 4) as near, string_agg(stroke_id, ',' order by stroke_id) filter (g = 4 and hit) as strokes from c group by 1, 2)
+"""
+
+
+@query("JOI15_strikethrough", f"""
+with {STRIKES} select b.page_id, b.id, case when near and struck then case when status = 'superseded' then 'superseded' else 'cancelled' end when near then 'unknown' else status end as status,
+ coalesce(near and not struck, false) as ambiguous, coalesce(strokes, '') as strokes from b left join k using (page_id, id)""")
 def joi15(spark, sf):
     return J.strikethrough(boxes(spark, sf), strokes(spark, sf))
 
@@ -275,7 +289,15 @@ def joi18(spark, sf):
     return J.match_persons(c, ["village", "seg"], "name", 0.9)
 
 
-@query("JOI19_rescan_candidates")
+@query("JOI19_rescan_candidates", """
+with v as (select * from (select doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') as w from documents where text is not null) where len(w) > 0),
+g as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from v)),
+k as (select doc_id, md5(string_agg(s, chr(1) order by s)) as k, count(*) as n from g group by 1), r as (select *, min(doc_id) over (partition by k) as rep from k),
+h as (select g.doc_id, s, n from g join r on g.doc_id = r.doc_id and r.doc_id = r.rep),
+c as (select x.doc_id as a, y.doc_id as b, count(*) as m, any_value(x.n) as na, any_value(y.n) as nb from h x join h y using (s) where x.doc_id <> y.doc_id group by 1, 2),
+j as (select a, b, m / (na + nb - m) as jaccard from c where m / (na + nb - m) >= 0.8),
+p as (select a, count(*) as links, string_agg(b || ':' || round(jaccard, 6), ',' order by b) as partners from j group by 1)
+select d.doc_id, coalesce(rep, d.doc_id) as representative, coalesce(links, 0) as links, coalesce(partners, '') as partners from documents d left join r using (doc_id) left join p on p.a = rep""")
 def joi19(spark, sf):
     return J.rescan_candidates(table(spark, sf, "documents"))
 

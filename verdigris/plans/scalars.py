@@ -15,7 +15,7 @@ from verdigris.plans.registry import query
 from verdigris.plans.views import table, view
 
 
-@query("SCA1_normalize_text", "select doc_id, nullif(trim(regexp_replace(text, '\\s+', ' ', 'g')), '') as text from documents")
+@query("SCA1_normalize_text", "select doc_id, case when text <> '' then trim(regexp_replace(text, '\\s+', ' ', 'g')) end as text from documents")
 def sca1(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("text"))
 
@@ -46,14 +46,14 @@ def sca4(spark, sf):
     return view(spark, sf, "v_extraction").select("id", T.classify_field(F.col("raw_value"), F.lit("ror")).alias("field_name"))
 
 
-@query("SCA5_extract_fields", f"with {LINE} select id, field_name, {CANON} as canonical_value, 'unknown' as entry_status from l")
+@query("SCA5_extract_fields", f"with {LINE} select id, field_name, v.raw_value, {CANON} as canonical_value, trim(v.raw_value) as unconstrained_value, 'unknown' as entry_status from l join v_extraction v using (id, field_name)")
 def sca5(spark, sf):
     t = view(spark, sf, "v_extraction").select("id", F.col("raw_value").alias("text"), F.lit("ror").alias("doc_type"))
     blank = t.select("id", F.lit("  ").alias("text"), "doc_type")
-    return S.extract_fields(t.unionByName(blank)).select("id", "field_name", "canonical_value", "entry_status")
+    return S.extract_fields(t.unionByName(blank)).select("id", "field_name", "raw_value", "canonical_value", "unconstrained_value", "entry_status")
 
 
-@query("SCA6_parse_fraction", f"with {LINE} select id, case when field_name = 'survey_number' and l_suppkey > 0 then l_partkey when field_name = 'share_fraction' and l_suppkey % 5 > 0 then l_suppkey % 4 when field_name = 'date' then 1 + l_suppkey % 9 end::int as n, case when field_name = 'survey_number' and l_suppkey > 0 then l_suppkey when field_name = 'share_fraction' and l_suppkey % 5 > 0 then l_suppkey % 5 when field_name = 'date' then 1 + l_partkey % 9 end::int as d from l")
+@query("SCA6_parse_fraction", f"with {LINE} select id, case when field_name = 'survey_number' and l_suppkey > 0 then l_partkey when field_name = 'share_fraction' and l_suppkey % 5 > 0 then l_suppkey % 4 when field_name = 'date' then 1 + l_suppkey % 9 end::bigint as n, case when field_name = 'survey_number' and l_suppkey > 0 then l_suppkey when field_name = 'share_fraction' and l_suppkey % 5 > 0 then l_suppkey % 5 when field_name = 'date' then 1 + l_partkey % 9 end::bigint as d from l")
 def sca6(spark, sf):
     f = T.parse_fraction(F.col("raw_value"))
     return view(spark, sf, "v_extraction").select("id", f["n"].alias("n"), f["d"].alias("d"))
@@ -252,7 +252,9 @@ def udf2(spark, sf):
     return U.apply_novelty(table(spark, sf, "embeddings"), fn, ["embedding", "label"]).select("vec_id", F.round("score", 5).alias("score"), "outside", "cluster")
 
 
-@query("UDF5_register_extractor")
+@query("UDF5_register_extractor", """
+with w as (select page_id, list_filter(string_split_regex(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[\\s\\x0B\\x1C-\\x1F\\x{85}\\x{A0}\\p{Z}]+'), lambda x: x <> '') as w from pages)
+select page_id, unnest(range(0, len(w))) as position, unnest(w) as text, 1.0::double as confidence from w""")
 def udf5(spark, sf):
     import re
 

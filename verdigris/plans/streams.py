@@ -2,41 +2,63 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from verdigris.operators.aggs import ACTIONS
+from verdigris.operators.shared import shared_dir
 from verdigris.plans.folds import ALERTS
 from verdigris.plans.registry import ORACLE, query
-from verdigris.plans.views import VIEWS, view
+from verdigris.plans.views import VIEWS, table, view
+from verdigris.sources.files import put_files
 from verdigris.streaming import jobs as J
 
 
 def place(spark, name: str) -> str:
     """A fresh folder below the cluster's shared one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp()
-    return f"{base.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
 
 
 def events(spark, sf):
     return J.rows_of(spark, f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+DROPPED = "case when s_nationkey % 10 = 9 then '  ' else n_name end as district, case s_suppkey % 5 when 0 then 'application/pdf' when 1 then 'image/tiff' when 2 then 'image/png' when 3 then 'image/jpeg' else 'text/plain' end as mime"
+
+
+@query("SRC2_stream_batch_files", f"""
+select s_suppkey, case when trim(district) = '' then 'missing_mandatory_field:district' when mime = 'text/plain' then 'unsupported_mime_type' end as reason_code
+from (select s_suppkey, {DROPPED} from supplier join nation on s_nationkey = n_nationkey)""")
+def src2(spark, sf):
+    """One sidecar file per supplier is put into a drop folder; the stream takes each once, also when it is started again."""
+    rows = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).selectExpr("s_suppkey", *DROPPED.split(", ", 1))
+    folder = place(spark, "drop")
+    put_files(rows.select(F.concat(F.col("s_suppkey").cast("string"), F.lit(".scan.meta.json")).alias("name"), F.to_json(F.struct("district", "mime")).alias("content")), f"{folder}/in")
+    for _ in range(2):
+        J.batch_files(spark, f"{folder}/in", f"{folder}/out")
+    both = spark.read.parquet(f"{folder}/out/accepted").unionByName(spark.read.parquet(f"{folder}/out/rejected"))
+    return both.select(F.regexp_extract("path", r"([0-9]+)\.scan$", 1).cast("long").alias("s_suppkey"), "reason_code")
+
+
 FIELD = "cast(event_id as string) as id, case event_id % 6 when 0 then 'review' when 1 then 'auto_accept' when 2 then 'conflict' when 3 then 'audit_sample' when 4 then 'bogus' else 'outside_calibrated_regime' end as outcome"
 
 
 @query("STR1_stream_decide", f"with e as (select {FIELD.replace('string', 'varchar')} from events) select id, outcome, case when outcome = 'bogus' then 'error' else 'decided' end as status from e")
 def str1(spark, sf):
     e = events(spark, sf).selectExpr(*FIELD.split(", ", 1), "event_id as ord")
-    return J.decide(e, place(spark, "decide")).select("id", "outcome", "status")
+    return J.drained(J.decide(e), place(spark, "decide")).select("id", "outcome", "status")
 
 
-@query("STR2_stream_sessions")
+@query("STR2_stream_sessions", """
+with g as (select 'u' || user_id as actor, ts, ts - lag(ts) over (partition by user_id order by ts) >= interval 1 hour as fresh from events),
+s as (select actor, ts, sum(coalesce(fresh, true)::int) over (partition by actor order by ts, fresh rows unbounded preceding) as session from g)
+select actor, min(ts)::timestamp as started_at, count(*) as n from s group by actor, session""")
 def str2(spark, sf):
     a = events(spark, sf).select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("actor"), F.col("ts").alias("at"))
-    return J.drained(J.sessions(a), place(spark, "sessions")).select("actor", "started_at", "n")
+    d = J.drained(J.sessions(a), place(spark, "sessions"), "complete")
+    last = d.agg(F.max("_batch").alias("_batch"))  # a complete stream gives all sessions with every batch
+    return d.join(last, "_batch").select("actor", F.col("started_at").cast("timestamp_ntz").alias("started_at"), "n")
 
 
 @query("STR3_stream_alerts", ALERTS)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyarrow import fs as pafs
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,6 +25,19 @@ def accept_batches(df: DataFrame) -> DataFrame:
     return df.withColumn("reason_code", reject_reason(F.col("district"), F.col("mime")))
 
 
+def put_files(files: DataFrame, path: str) -> None:
+    """Write rows (name, content) as files of a drop folder, from the tasks; a repeated task writes the same files again."""
+
+    def put(rows: Iterator[Row]) -> None:
+        store, root = pafs.FileSystem.from_uri(path) if ":" in path else (pafs.LocalFileSystem(), path)
+        store.create_dir(root, recursive=True)
+        for r in rows:
+            with store.open_output_stream(f"{root}/{r['name']}") as f:
+                f.write(r["content"].encode())
+
+    files.select("name", "content").foreachPartition(put)
+
+
 def scan_batch_files(spark: SparkSession, path: str) -> DataFrame:
     """Files of a drop folder with their `.meta.json` sidecars: path, content, district, mime, reason_code.
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
-from verdigris.operators import joins, workflow
+from verdigris.operators import joins
 from verdigris.operators.projections import OUTCOMES
 from verdigris.sources.files import reject_reason
 
@@ -56,21 +56,25 @@ def batch_files(spark: SparkSession, drop: str, out: str) -> None:
     rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
-def decide(fields: DataFrame, path: str) -> DataFrame:
-    """Decisions at least once: fields decided in earlier batches are left out, so a replay adds nothing."""
-    spark = fields.sparkSession
+def decide(fields: DataFrame) -> DataFrame:
+    """fields (id, outcome, ord): decisions at least once. What a field was decided as is its state, so a replay adds nothing."""
 
-    def each(batch: DataFrame, number: int) -> DataFrame:
-        earlier = [f"{path}/data/batch={k}" for k in range(number)]
-        had = spark.read.parquet(*earlier).filter("status = 'decided'").select("id", "outcome") if earlier else spark.createDataFrame([], "id string, outcome string")
-        return workflow.decide(batch, had).filter("status IN ('decided', 'error')")
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values("ord", kind="stable")
+        known = rows["outcome"].isin(OUTCOMES)
+        out = rows[~known].assign(status="error")
+        if known.any() and not state.exists:
+            first = rows[known].iloc[:1].assign(status="decided")
+            state.update((first["outcome"].iloc[0],))
+            out = pd.concat([first, out])
+        yield out[["id", "outcome", "status"]]
 
-    return drained(fields, path, each=each)
+    return fields.select("id", "outcome", "ord").groupBy("id").applyInPandasWithState(step, "id string, outcome string, status string", "outcome string", "append", "NoTimeout")
 
 
-def sessions(activity: DataFrame, gap: str = "1 hour") -> DataFrame:
-    """Closed review sessions; the watermark is the gap."""
-    return activity.withWatermark("at", gap).groupBy("actor", F.session_window("at", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("actor", F.col("w.start").alias("started_at"), "n")
+def sessions(activity: DataFrame, gap: str = "1 hour", late: str | None = None) -> DataFrame:
+    """Review sessions. With a watermark `late` closed ones come once and leave the state (append); without, all as they stand (complete)."""
+    return (activity.withWatermark("at", late) if late else activity).groupBy("actor", F.session_window("at", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("actor", F.col("w.start").alias("started_at"), "n")
 
 
 def alerts(fields: DataFrame, hours: int = 6) -> DataFrame:
@@ -109,8 +113,8 @@ def page_terminal(fields: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def activity(audit: DataFrame, actions: dict[str, str]) -> DataFrame:
-    """Day-tumbling counts of the dashboard's actions."""
-    d = audit.filter(F.col("action").isin(*actions.values())).withWatermark("at", "1 day")
+    """Day-tumbling counts of the dashboard's actions, in update mode: rows of any age count, the state is one row a district and day."""
+    d = audit.filter(F.col("action").isin(*actions.values()))
     g = d.groupBy(F.coalesce("district", F.lit("")).alias("district"), F.window("at", "1 day").alias("w")).agg(*[F.count_if(F.col("action") == a).alias(n) for n, a in actions.items()])
     return g.select("district", F.to_date("w.start").alias("day"), *actions)
 
