@@ -335,11 +335,13 @@ def test_decisions_and_dead_letters(spark):
 
 def test_lanes_of_a_page(spark):
     ring = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0), (0.0, 0.0)]
-    p = spark.createDataFrame([(1, 1, ring), (2, 2, ring[:4])], "page_id long, polygon_id long, ring array<struct<x:double,y:double>>")
-    labels = spark.createDataFrame([(7, "S7", 5.0, 5.0)], "label_id long, text string, x double, y double")
-    fits = spark.createDataFrame([(1, 1.5), (2, 9.0)], "page_id long, rmse double")
+    rows = [(1, 1, ring, "EPSG:32643"), (2, 2, ring[:4], "EPSG:32643"), (3, 3, ring, "EPSG:32643"), (4, 4, ring, "EPSG:32643")]
+    p = spark.createDataFrame(rows, "page_id long, polygon_id long, ring array<struct<x:double,y:double>>, crs string")
+    labels = spark.createDataFrame([(1, 7, "S7", 5.0, 5.0), (3, 8, "S8", 5.0, 5.0), (3, 9, "S9", 6.0, 6.0), (4, 5, "S5", 5.0, 5.0)], "page_id long, label_id long, text string, x double, y double")
+    fit = (2.0, 0.0, 100.0, 0.0, 3.0, 200.0)
+    fits = spark.createDataFrame([(1, *fit, 1.5), (2, *fit, 9.0), (3, *fit, 1.6), (4, *([None] * 6), None)], "page_id long, a double, b double, c double, d double, e double, f double, rmse double")
     got = {r["polygon_id"]: (r["invalid"], r["label_status"], r["area"], r["eligible"]) for r in workflow.map_lane(p, labels, fits).collect()}
-    assert got == {1: (None, "bound", "100.00", True), 2: ("not_closed", "unbound", "0.00", False)}
+    assert got == {1: (None, "bound", "600.00", True), 2: ("not_closed", "unbound", "0.00", False), 3: (None, "ambiguous", "600.00", False), 4: ("not_georeferenced", "unbound", "0.00", False)}
 
 
 def test_extractor_plug_in(spark):

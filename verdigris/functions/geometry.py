@@ -87,6 +87,12 @@ def invalid_reason(ring: Column) -> Column:
     )
 
 
+def polygon_area(ring: Column, crs: Column) -> Column:
+    """Square metres as exact decimal text with two places, half up; invalid rings give 0.00."""
+    area = F.when(crs == "EPSG:4326", ring_area(to_metres(ring))).otherwise(ring_area(ring))
+    return F.when(invalid_reason(ring).isNotNull(), F.lit("0.00")).otherwise(area.cast("decimal(38,2)").cast("string"))
+
+
 def clean_vertices(ring: Column, least: float = 1e-6) -> Column:
     """Drop a vertex whose squared distance to the last kept one is below `least`."""
 

@@ -106,9 +106,11 @@ def leakage(train: DataFrame, exclusion: DataFrame, key: str) -> DataFrame:
     return hit.agg(F.count(F.lit(1)).alias("n")).withColumn("refused", F.col("n") > 0)
 
 
-def bind_labels(polygons: DataFrame, labels: DataFrame, far: float = 50.0) -> DataFrame:
+def bind_labels(polygons: DataFrame, labels: DataFrame, far: float = 50.0, by: tuple[str, ...] = ()) -> DataFrame:
     """Labels to polygons: inside or on the edge first, else within `far`; ambiguous cases are marked.
 
+    `by`: columns that both must share (a page, if each has a plane of its own).
+
     A polygon is dealt to the cells of a grid that its box, grown by `far`, touches:
     of the grid whose cells are about a quarter of that box, so a wide box has 25
     cells at most. A label is dealt to its cell in each grid in use. Only ids, boxes
@@ -116,7 +118,7 @@ def bind_labels(polygons: DataFrame, labels: DataFrame, far: float = 50.0) -> Da
     their ring back by the polygon's id, and are measured once.
     """
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    box = polygons.select("polygon_id", (F.array_min(xs) - far).alias("x0"), (F.array_max(xs) + far).alias("x1"), (F.array_min(ys) - far).alias("y0"), (F.array_max(ys) + far).alias("y1"))
+    box = polygons.select("polygon_id", *by, (F.array_min(xs) - far).alias("x0"), (F.array_max(xs) + far).alias("x1"), (F.array_min(ys) - far).alias("y0"), (F.array_max(ys) + far).alias("y1"))
     wide = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
     box = box.filter("x0 IS NOT NULL AND y0 IS NOT NULL").withColumn("grid", F.greatest(F.lit(0), F.ceil(F.log2(wide / (4 * far)))).cast("int"))
     cell = lambda c: F.floor(c / (far * F.pow(F.lit(2.0), F.col("grid")))).cast("long")
@@ -124,7 +126,7 @@ def bind_labels(polygons: DataFrame, labels: DataFrame, far: float = 50.0) -> Da
     p = box.withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1"))
     grids = [r["grid"] for r in box.select("grid").distinct().collect()]  # some dozen at most: powers of two
     q = labels.withColumn("grid", F.explode(F.array(*map(F.lit, grids)).cast("array<int>"))).withColumn("cx", cell(F.col("x"))).withColumn("cy", cell(F.col("y")))
-    near = p.join(q, ["grid", "cx", "cy"]).filter("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1").select("polygon_id", *labels.columns)
+    near = p.join(q, [*by, "grid", "cx", "cy"]).filter("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1").select("polygon_id", *labels.columns)
     rings = polygons.select("polygon_id", "ring")
     away = to_ring_distance(F.col("ring"), F.col("x"), F.col("y"))
     seen = F.transform(F.array(away), lambda d: F.struct((inside(F.col("ring"), F.col("x"), F.col("y")) | (d == 0)).alias("inside"), d.alias("dist")))

@@ -124,22 +124,50 @@ def replay_from(landed: DataFrame, seq: str, after: int) -> DataFrame:
 
 
 def text_lane(tokens: DataFrame, strokes: DataFrame) -> DataFrame:
-    """Tokens with boxes to fields with their strike status (never live; a struck field is unknown here) and binding."""
-    from verdigris.operators.joins import strikethrough
+    """tokens (page_id, id, text, doc_type, x, y, w, h, confidence) to fields with their strike status and bindings.
 
-    s = strikethrough(tokens.withColumn("status", F.lit("unknown")), strokes).select("page_id", "id", (F.col("strokes") != "").alias("struck"))
-    return tokens.join(s, ["page_id", "id"]).select("page_id", "id", "field_name", F.lit("unknown").alias("entry_status"), "struck")
+    A status is never live; a struck field is unknown here. A parcel's row names the
+    owners and the share that its band binds to it.
+    """
+    from verdigris.operators.joins import bind_rows_by_band, strikethrough
+    from verdigris.operators.scoring import extract_fields
+
+    fields = extract_fields(tokens)
+    of = lambda name: fields.filter(F.col("field_name") == name).select("page_id", "id", "y", "confidence")
+    bound = bind_rows_by_band(of("survey_number"), of("owner_name"), of("share_fraction")).select("page_id", F.col("parcel_id").alias("id"), "owner_ids", "share_id", "ambiguous")
+    struck = strikethrough(fields.withColumn("status", F.lit("unknown")), strokes).select("page_id", "id", (F.col("strokes") != "").alias("struck"))
+    slim = fields.select("page_id", "id", "field_name", "raw_value", "canonical_value", "entry_status", "y")
+    return slim.join(struck, ["page_id", "id"]).join(bound, ["page_id", "id"], "left")
+
+
+def text_lane_records(fields: DataFrame) -> DataFrame:
+    """The lane's fields put together, a page a record, in the order of their rows; struck ones are left out."""
+    from verdigris.operators.aggs import assemble_records
+
+    rows = fields.filter("NOT struck").select(F.col("page_id").alias("record_id"), F.lit(1).alias("page_index"), F.col("y").alias("ord"), "id", "field_name", F.col("canonical_value").alias("value"))
+    return assemble_records(rows)
 
 
 def map_lane(polygons: DataFrame, labels: DataFrame, fits: DataFrame, most: float = 1.5) -> DataFrame:
-    """Polygons (page_id, polygon_id, ring): validated, bound, measured and checked for eligibility."""
-    from verdigris.functions.geometry import invalid_reason, ring_area
+    """Polygons (page_id, polygon_id, ring, crs), labels (page_id, label_id, text, x, y) and fits (page_id, a to f, rmse).
+
+    Rings and labels are moved by their page's fit; rings are validated, bound within
+    the page, measured by their crs and checked for eligibility. Without a fit there
+    is no ground to measure on: the parcel is `not_georeferenced`.
+    """
+    from verdigris.functions.geometry import affine, clean_vertices, invalid_reason, polygon_area
     from verdigris.operators.aggs import ulpin_eligible
     from verdigris.operators.joins import bind_labels
 
-    bad = invalid_reason(F.col("ring"))
-    good = polygons.withColumn("invalid", bad)
-    bound = bind_labels(good.filter("invalid IS NULL"), labels).withColumnRenamed("status", "label_status")
-    d = good.join(bound, "polygon_id", "left").withColumn("area", F.when(F.col("invalid").isNull(), ring_area(F.col("ring")).cast("decimal(38,2)").cast("string")).otherwise("0.00"))
+    m = fits.select("page_id", "rmse", F.when(F.col("a").isNotNull(), F.struct(*"abcdef")).alias("m"))
+    point = lambda x, y: [c.alias(n) for c, n in zip(affine(x, y, F.col("m")), "xy", strict=True)]
+    moved = F.transform(clean_vertices(F.col("ring")), lambda p: F.struct(*point(p["x"], p["y"])))
+    # Generators, so that no filter or later column works out a ring or its reason again.
+    once = lambda c: F.explode(F.array(c))
+    d = polygons.select("page_id", "polygon_id", "ring", "crs").join(m, "page_id", "left").select("page_id", "polygon_id", "crs", "m", once(F.when(F.col("m").isNotNull(), moved)).alias("ring"))
+    d = d.select("*", once(F.when(F.col("m").isNull(), "not_georeferenced").otherwise(invalid_reason(F.col("ring")))).alias("invalid"))
+    placed = labels.join(m.filter("m IS NOT NULL"), "page_id").select("page_id", "label_id", "text", *point(F.col("x"), F.col("y")))
+    bound = bind_labels(d.filter("invalid IS NULL").select("page_id", "polygon_id", "ring"), placed, by=("page_id",)).withColumnRenamed("status", "label_status")
+    d = d.join(bound, "polygon_id", "left").withColumn("area", F.when(F.col("invalid").isNull(), polygon_area(F.col("ring"), F.col("crs"))).otherwise("0.00"))
     e = ulpin_eligible(d, fits, most)
-    return d.join(e.select("polygon_id", "eligible"), "polygon_id", "left").select("polygon_id", "invalid", F.coalesce("label_status", F.lit("unbound")).alias("label_status"), "area", F.coalesce("eligible", F.lit(False)).alias("eligible"))
+    return d.join(e.select("polygon_id", "eligible"), "polygon_id", "left").select("page_id", "polygon_id", "invalid", F.coalesce("label_status", F.lit("unbound")).alias("label_status"), "label_id", "text", "area", F.coalesce("eligible", F.lit(False)).alias("eligible"))

@@ -112,13 +112,7 @@ def sca15(spark, sf):
 @query("SCA16_polygon_area", f"select polygon_id, case when ({VALID}) is not null then '0.00' else (side * side)::decimal(38, 2)::varchar end as area from v_polygon where crs = 'EPSG:32643'")
 def sca16(spark, sf):
     p = bent(spark, sf).filter("crs = 'EPSG:32643'")
-    return p.select("polygon_id", polygon_area(F.col("ring"), F.col("crs")).alias("area"))
-
-
-def polygon_area(ring, crs):
-    """Exact decimal text with two places, half up; invalid rings give 0.00."""
-    area = F.when(crs == "EPSG:4326", G.ring_area(G.to_metres(ring))).otherwise(G.ring_area(ring))
-    return F.when(G.invalid_reason(ring).isNotNull(), F.lit("0.00")).otherwise(area.cast("decimal(38,2)").cast("string"))
+    return p.select("polygon_id", G.polygon_area(F.col("ring"), F.col("crs")).alias("area"))
 
 
 @query("SCA16_geographic_area", """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from verdigris.operators import aggs as A
 from verdigris.operators import workflow as O
-from verdigris.plans.joins import boxes, polygons, strokes
+from verdigris.plans.joins import BANDS, STRIKES, TOK, polygons, strokes
 from verdigris.plans.registry import query
 from verdigris.plans.views import table, view
 
@@ -132,16 +132,63 @@ def diff(spark, sf):
     return O.reprocess_diff(g.filter("record_id % 17 <> 0"), new.filter("record_id % 19 <> 0"), "record_id", ["price", "n"])
 
 
-@query("JOB13_text_lane")
+WORDS = "case min(field_name) when 'survey_number' then 'Khasra No. ' when 'owner_name' then 'Shri Owner ' when 'share_fraction' then 'hissa 1/' else 'S/o Owner ' end"
+
+
+def lane_tokens(spark, sf):
+    """The boxes of JOI15 with a text of their field's kind."""
+    t = view(spark, sf, "v_token").groupBy("page_id", "token_id", "y").agg(F.min("x").alias("x"), F.min("w").alias("w"), F.min("h").alias("h"), F.min("confidence").alias("confidence"), F.expr(WORDS).alias("word"))
+    return t.select("page_id", F.concat_ws("-", "token_id", "y").alias("id"), "x", "y", "w", "h", "confidence", F.concat("word", (F.col("token_id") + 1).cast("string")).alias("text"), F.lit("ror").alias("doc_type"))
+
+
+LANE = f"""
+f as (select page_id, token_id || '-' || y as id, y, min(confidence) as c, token_id, {WORDS} || (token_id + 1) as raw_value, min(field_name) as field_name from v_token group by page_id, token_id, y),
+v as (select *, case field_name when 'survey_number' then (token_id + 1)::varchar when 'share_fraction' then '1/' || (token_id + 1) else raw_value end as canonical_value from f),
+z as (with {STRIKES} select page_id, id, strokes from k where near),
+w as (select v.*, strokes is not null as struck from v left join z using (page_id, id))
+"""
+LANE_TOK = """
+p as (select page_id, id, y, c from v where field_name = 'survey_number'), o as (select page_id, id, y, c from v where field_name = 'owner_name'), s as (select page_id, id, y, c from v where field_name = 'share_fraction'),
+np as (select page_id, count(*) as np from p group by 1), no as (select page_id, count(*) as no from o group by 1)
+"""
+
+
+@query("JOB13_text_lane", f"""
+with {LANE}, bound as ({BANDS.replace(TOK, LANE_TOK)} select page_id, parcel_id as id, owner_ids, share_id, ambiguous from j)
+select page_id, id, field_name, raw_value, canonical_value, 'unknown' as entry_status, struck, owner_ids, share_id, ambiguous from w left join bound using (page_id, id)""")
 def job13(spark, sf):
-    t = boxes(spark, sf).withColumn("field_name", F.lit("text_line"))
-    return O.text_lane(t, strokes(spark, sf))
+    return O.text_lane(lane_tokens(spark, sf), strokes(spark, sf)).drop("y")
+
+
+@query("JOB13_text_lane_records", f"""
+with {LANE}, c as (select page_id, field_name, count(*) as n, count(distinct canonical_value) as d from w where not struck group by 1, 2)
+select page_id as record_id, count(*) as fields, 'single_page' as strategy, concat_ws('; ', string_agg('[CONFLICT] ' || field_name, '; ' order by field_name) filter (d > 1), string_agg('[DUPLICATE] ' || field_name, '; ' order by field_name) filter (n > d)) as rationale from c group by 1""")
+def job13_records(spark, sf):
+    r = O.text_lane_records(O.text_lane(lane_tokens(spark, sf), strokes(spark, sf)))
+    return r.select("record_id", F.size("fields").cast("long").alias("fields"), "strategy", "rationale")
+
+
+def sheets(spark, sf):
+    """Each polygon on a sheet of its own with four control points, the last of them up to 30 m off; every ninth sheet has only two.
+
+    Two of three sheets have a label in the parcel's middle.
+    """
+    p = polygons(spark, sf).filter("crs = 'EPSG:32643'").withColumn("page_id", F.col("polygon_id"))
+    k = F.explode(F.when(F.col("polygon_id") % 9 == 0, F.sequence(F.lit(0), F.lit(1))).otherwise(F.sequence(F.lit(0), F.lit(3))))
+    g = p.select("page_id", k.alias("k")).selectExpr("page_id", "cast(k % 2 * 1000 as double) as pixel_x", "cast(k div 2 * 1000 as double) as pixel_y", "if(k = 3, page_id % 4 * 10, 0) as off")
+    g = g.selectExpr("page_id", "pixel_x", "pixel_y", "500000 + 2 * pixel_x + off as geo_x", "3000000 - 2 * pixel_y as geo_y")
+    labels = p.filter("polygon_id % 3 <> 0").selectExpr("page_id", "polygon_id as label_id", "concat('S', polygon_id) as text", "x0 + side / 2 as x", "y0 + side / 2 as y")
+    return p, labels, g
 
 
-@query("JOB14_map_lane")
+@query("JOB14_map_lane", """
+with p as (select polygon_id, side, polygon_id % 4 as t, case when polygon_id % 9 = 0 then 'not_georeferenced' when not is_closed then 'not_closed' end as invalid from v_polygon where crs = 'EPSG:32643'),
+b as (select *, invalid is null and polygon_id % 3 <> 0 as bound from p)
+select polygon_id as page_id, polygon_id, invalid, case when bound then 'bound' else 'unbound' end as label_status, case when bound then polygon_id end as label_id, case when bound then 'S' || polygon_id end as text,
+ case when invalid is null then (side * side * (4 + t / 100))::decimal(38, 2)::varchar else '0.00' end as area, bound and t = 0 as eligible from b""")
 def job14(spark, sf):
-    p = polygons(spark, sf).withColumn("page_id", F.col("polygon_id"))
-    return O.map_lane(p, view(spark, sf, "v_label").distinct(), A.fit_affine(view(spark, sf, "v_gcp")))
+    p, labels, gcps = sheets(spark, sf)
+    return O.map_lane(p, labels, A.fit_affine(gcps))
 
 
 @query("STR6_dead_letter", "select event_id as id, case when event_id % 7 > 5 or (event_type = 'error' and event_id % 7 >= 5) then 'dead_letter' when event_type = 'error' then 'retry' else 'done' end as outcome, case when event_id % 7 > 5 or (event_type = 'error' and event_id % 7 >= 5) then 'triage.DLQ' else 'triage' end as queue from events")
