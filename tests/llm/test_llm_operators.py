@@ -505,7 +505,20 @@ def test_mixing(odd, documents):
         again = mixing.mix(df).select("doc_id", "size", "taken").collect()
         assert Counter(map(tuple, again)) == Counter((r["doc_id"], r["size"], r["taken"]) for r in rows)
     assert mixing.mix(odd.limit(0)).count() == 0
-    assert set(mixing.mixed_documents(odd).columns) == set(odd.columns)
+    clash = odd.selectExpr("*", "1 AS row", "2 AS key", "3 AS shard", "4 AS digest", "5 AS size")
+    made = mixing.mixed_documents(clash)
+    assert made.columns == clash.columns and {tuple(r)[-5:] for r in made.collect()} == {(1, 2, 3, 4, 5)}
+    assert mixing.mix(clash).columns == [*clash.columns[:-1], "size", "source_size", "target", "taken"]
+
+
+def test_mixed_documents_hold_what_is_taken(odd, documents):
+    for df in (odd, documents, documents.unionByName(documents.limit(50)).unionByName(documents.limit(50))):
+        taken = Counter()
+        for r in mixing.mix(df).collect():
+            taken[r["doc_id"], r["source"], r["text"]] += round(r["taken"] / r["size"] + 1e-9) if r["size"] else 0
+        got = Counter((r["doc_id"], r["source"], r["text"]) for r in mixing.mixed_documents(df).collect())
+        assert sum(got.values()) == pytest.approx(sum(taken.values()), abs=3)
+        assert all(abs(got[k] - n) <= 1 for k, n in taken.items())
 
 
 def test_apportion_is_sainte_lague(spark):

@@ -9,16 +9,19 @@ the documents stand in a seeded order, repeated as often as needed, and the
 shard's quota is taken as a run of blocks from a seeded first block, so that the
 result only depends on the rows and the seed.
 
-All parts are joins, grouped sums and windows. A source is dealt to as many
-shards as its rows ask for, so no window holds more than about `shard_rows` rows
-even if one source has a third of all. Tables of one row per source or shard
-are small against the documents, and they are never collected.
+All parts are joins, grouped sums and windows. Words are counted once, in a scan
+that leaves (doc_id, source, size) for each row; the plan comes from that. A source
+is dealt to as many shards as its rows ask for, so no window holds more than about
+`shard_rows` rows even if one source has a third of all. Tables of one row per
+source or shard are small against the documents, and they are never collected.
 
 Nulls: a null text has 0 words; a null source is a source of its own, ordered
 last; rows with a null doc_id take part. Repeated rows are rows of their own and
 are told apart by nothing, so which of them is taken may swap, with equal counts.
-Documents of 0 words take 0. An empty table gives an empty table. Extra columns
-are kept; those named like the result's columns are replaced.
+Documents of 0 words take 0. Very long texts count whole; a text longer than a
+block is cut between blocks like any other. An empty table gives an empty table.
+Extra columns are kept, whatever their names; those named like the result's columns
+are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import n_words
+from verdigris.llm.common import cut, n_words, written
 
 SALTS = 64
 OWN = ("size", "source_size", "target", "taken")
@@ -79,50 +82,75 @@ def apportion(parts: DataFrame, over: list[str], share: str, total: str, tie: li
     return sure.join(won, on, "left").select(*parts.columns, (F.col("_low") + F.coalesce("_won", F.lit(0))).alias(out))
 
 
-def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3, block: int | None = None, shard_rows: int = 2000) -> DataFrame:
-    """Add size, source_size, target and taken to `docs` (doc_id, text, source, ...).
+def shares(rows: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3, block: int | None = None, shard_rows: int = 20_000) -> DataFrame:
+    """Add source_size, target and taken to `rows` (doc_id, source, size and, if any, `row`).
 
     `block`: words in a block; by default a hundredth of the smallest positive
     target, 4096 at most, so that rounding stays under a hundredth of each target.
     """
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in OWN])
-    sized = docs.withColumn("size", n_words(F.col("text")))
-    slim = sized.select("source", "size")
-    sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
+    carried = rows.columns
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     goal = targets(sizes.select("source", "source_size"), weights, epochs)
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))
-    plan = goal.join(sizes.select(key.alias("_key"), "_rows"), F.col("_key") == key).drop("source")
+    plan = goal.join(sizes.select(key.alias("key"), "rows"), F.col("key") == key).drop("source")
     every = W.partitionBy(F.lit(0))
     unit = F.lit(float(block)) if block else F.greatest(F.lit(1.0), F.least(F.lit(4096.0), F.floor(F.min(F.when(F.col("target") > 0, F.col("target"))).over(every) / 100)))
-    plan = plan.withColumn("_block", F.coalesce(unit, F.lit(1.0))).withColumn("_blocks", F.round(F.sum("target").over(every) / F.col("_block")).cast("long"))
-    quota = apportion(plan.select("_key", "target", "_blocks"), [], "target", "_blocks", [F.col("_key")], "_quota").select("_key", "_quota")
-    plan = plan.join(quota, "_key").withColumn("_shards", F.ceil(F.col("_rows") / shard_rows).cast("long"))
-
-    # The plan has one row per source; each is copied for all salts, so that a hot
-    # source's documents meet it in as many tasks.
-    plan = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = sized.withColumn("_key", key).withColumn("_salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int")).join(plan, ["_key", "_salt"]).withColumn("_at", F.xxhash64(F.lit(seed), "doc_id", F.col("size")))
-    dealt = dealt.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_at")), F.col("_shards")))
-    cells = dealt.groupBy("_key", "_shard").agg(F.sum("size").alias("_cell"), F.first("_quota").alias("_quota"), F.first("_block").alias("_block"))
-    given = apportion(cells.select("_key", "_shard", "_cell", "_quota"), ["_key"], "_cell", "_quota", [F.col("_shard")], "_given").select("_key", "_shard", "_given")
-    cells = cells.select("_key", "_shard", "_cell").join(given, ["_key", "_shard"])
-    row = W.partitionBy("_key", "_shard").orderBy("_at", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = dealt.join(cells, ["_key", "_shard"]).withColumn("_from", F.coalesce(F.sum("size").over(row), F.lit(0)))
-    # The run of blocks: `_rounds` whole passes over the shard and `_rest` words from `_start`, around its end.
-    cap = F.col("_cell") * epochs
-    words = F.when(F.col("target") >= F.col("source_size") * epochs, cap).otherwise(F.least(cap, (F.col("_given") * F.col("_block")).cast("long")))
-    placed = placed.withColumn("_take", words).withColumn("_rounds", F.expr("if(_cell > 0, _take div _cell, 0L)")).withColumn("_rest", F.col("_take") - F.col("_rounds") * F.col("_cell"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("_cell") / F.col("_block"))).cast("long")
-    placed = placed.withColumn("_start", F.least("_cell", (F.pmod(F.xxhash64(F.lit(seed + 2), "_key", "_shard"), blocks) * F.col("_block")).cast("long")))
-    end, to = F.col("_start") + F.col("_rest"), F.col("_from") + F.col("size")
-    meet = lambda a, b: F.greatest(F.lit(0), F.least(to, b) - F.greatest(F.col("_from"), a))
-    taken = F.col("_rounds") * F.col("size") + meet(F.col("_start"), F.least(end, F.col("_cell"))) + meet(F.lit(0), end - F.col("_cell"))
-    return placed.select(*docs.columns, "size", "source_size", "target", taken.cast("long").alias("taken"))
+    plan = plan.withColumn("block", F.coalesce(unit, F.lit(1.0))).withColumn("blocks", F.round(F.sum("target").over(every) / F.col("block")).cast("long"))
+    quota = apportion(plan.select("key", "target", "blocks"), [], "target", "blocks", [F.col("key")], "quota").select("key", "quota")
+    # One row per source; what follows reads it several times.
+    plan = cut(plan.join(quota, "key").withColumn("shards", F.ceil(F.col("rows") / shard_rows).cast("long")).drop("rows"))
+
+    # Each source's row is copied for all salts, so that a hot source's documents
+    # meet it in as many tasks.
+    salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("key", key).withColumn("salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).withColumn("at", F.xxhash64(F.lit(seed), "doc_id", F.col("size")))
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("at")), F.col("shards")))
+    cells = dealt.groupBy("key", "shard").agg(F.sum("size").alias("cell"), F.first("quota").alias("quota"))
+    given = apportion(cells.select("key", "shard", "cell", "quota"), ["key"], "cell", "quota", [F.col("shard")], "given")
+    cells = cut(given.select("key", "shard", "cell", "given"))
+    row = W.partitionBy("key", "shard").orderBy("at", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    placed = dealt.join(cells, ["key", "shard"]).withColumn("from", F.coalesce(F.sum("size").over(row), F.lit(0)))
+    # The run of blocks: `rounds` whole passes over the shard and `rest` words from `start`, around its end.
+    cap = F.col("cell") * epochs
+    words = F.when(F.col("target") >= F.col("source_size") * epochs, cap).otherwise(F.least(cap, (F.col("given") * F.col("block")).cast("long")))
+    placed = placed.withColumn("take", words).withColumn("rounds", F.expr("if(cell > 0, take div cell, 0L)")).withColumn("rest", F.col("take") - F.col("rounds") * F.col("cell"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("cell") / F.col("block"))).cast("long")
+    placed = placed.withColumn("start", F.least("cell", (F.pmod(F.xxhash64(F.lit(seed + 2), "key", "shard"), blocks) * F.col("block")).cast("long")))
+    end, to = F.col("start") + F.col("rest"), F.col("from") + F.col("size")
+    meet = lambda a, b: F.greatest(F.lit(0), F.least(to, b) - F.greatest(F.col("from"), a))
+    taken = F.col("rounds") * F.col("size") + meet(F.col("start"), F.least(end, F.col("cell"))) + meet(F.lit(0), end - F.col("cell"))
+    return placed.select(*carried, "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size of every row, checkpointed: the only pass over the texts that the plan needs."""
+    return cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """Add size, source_size, target and taken to `docs` (doc_id, text, source, ...); see `shares` for the options."""
+    kept = [c for c in docs.columns if c.lower() not in OWN]
+    rows = docs.select(F.struct(*kept).alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size"))
+    return shares(cut(rows), **options).select("row.*", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, with the columns of `docs`: each as often as its words are taken, to the nearest whole."""
-    columns = docs.columns
-    rows = mix(docs, **options)
-    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    return rows.withColumn("_copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).select(*columns)
+    """The documents of the mix, with the columns of `docs`: each as often as its words are taken, to the nearest whole.
+
+    How often each row is taken is a table of row hashes, whose size Spark knows:
+    texts are moved only where it is too large to be broadcast. Rows that are equal
+    in doc_id, source and text share their copies evenly.
+    """
+    digest = F.xxhash64("doc_id", "source", "text")
+    rows = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), digest.alias("row")))
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("long")
+    copies = shares(rows, **options).groupBy("row").agg(F.sum(times).alias("copies"), F.count(F.lit(1)).alias("rows")).filter("copies > 0")
+    copies = written(copies.select(F.col("row").alias("digest"), F.expr("copies div rows").alias("each"), F.expr("copies % rows").alias("more")), "copies")
+    found = docs.select(F.struct(*docs.columns).alias("row"), digest.alias("digest")).join(copies, "digest")
+    again = lambda n: F.explode(F.expr(f"if({n} > 0, sequence(1L, {n}), array())"))
+    out = found.filter("more = 0").select("row", again("each"))
+    if not copies.filter("more > 0").isEmpty():
+        turn = F.row_number().over(W.partitionBy("digest").orderBy("digest"))
+        part = found.filter("more > 0").withColumn("n", F.col("each") + (turn <= F.col("more")).cast("long"))
+        out = out.unionByName(part.select("row", again("n")))
+    return out.select("row.*")
