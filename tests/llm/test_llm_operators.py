@@ -470,6 +470,21 @@ def test_sharding_keeps_groups_together(spark):
     assert sum(len(s) > 1 for s in shards.values()) <= 6
 
 
+def test_sharding_cuts_far_fewer_links_than_a_hash(spark, documents):
+    """Links of a group across shards, against those of the start and those that its size forces."""
+    copies = documents.unionByName(documents.filter("doc_id % 3 = 0")).unionByName(documents.filter("doc_id % 9 = 0")).drop("n_chars")
+    copies = copies.selectExpr("row_number() over (order by doc_id, lang) as doc_id", "text")
+    rows = copies.join(sharding.shard(copies, 24), "doc_id").select("doc_id", "text", "shard").collect()
+    quota, groups = len(rows) // 24, defaultdict(Counter)
+    for r in rows:
+        groups[r["text"]][r["shard"]] += 1
+    cut = lambda g: (sum(g.values()) ** 2 - sum(n * n for n in g.values())) / 2
+    linked = [g for g in groups.values() if sum(g.values()) > 1]
+    pairs = sum(sum(g.values()) * (sum(g.values()) - 1) / 2 for g in linked)
+    assert all(sum(g.values()) <= quota for g in linked)  # so that no cut is forced
+    assert sum(map(cut, linked)) <= 0.25 * pairs * 23 / 24
+
+
 def brute_targets(sizes):
     total, target = sum(sizes.values()), {}
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
@@ -903,3 +918,23 @@ def test_html_held_out_pages_without_their_tags(spark, sf):
         hit = [(p[n] > 0.5) == (y[n] == 1) for n, _ in page.blocks]
         right, blocks, whole, many = right + sum(hit), blocks + len(hit), whole + all(hit), many + 1
     assert right / blocks >= 0.95 and whole / many >= 0.8, (right / blocks, whole / many)
+
+
+def test_html_clashing_names_and_long_pages(spark, sf):
+    model = html.train(spark.read.parquet(f"{sf}/pages.parquet"))
+    body = "<main>" + "<p>some words of a paragraph that goes on for a while, long enough to be text.</p>" * 5000 + "</main>"
+    rows = spark.createDataFrame([(1, "u", body, 5, "x", 7), (1, "u", body, 5, "x", 7), (2, None, None, None, None, None)], "page_id long, url string, html string, text int, parent string, n_chars int")
+    out = html.extract(rows, model)
+    assert out.columns == ["page_id", "url", "parent", "text", "n_chars"]
+    got = [r for r in out.collect() if r["page_id"] == 1]
+    assert len(got) == 2 and got[0] == got[1] and got[0]["text"].count("\n\n") == 4999 and got[0]["parent"] == "x"
+
+
+def test_warc_large_payload(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    big = rng.bytes(3 << 20).hex()
+    pages = spark.createDataFrame([(1, "u", big, 1), (2, "u", "small", 2)], "page_id long, url string, html string, first int")
+    warc.archive(pages, str(tmp_path))
+    got = {r["page_id"]: r["payload_digest"] for r in warc.summary(spark, str(tmp_path)).collect()}
+    assert got == {1: hashlib.sha1(big.encode()).hexdigest(), 2: hashlib.sha1(b"small").hexdigest()}
+    assert warc.load(spark, str(tmp_path)).filter("record_id = '<urn:page:2>'").count() == 1

@@ -13,9 +13,11 @@ Counts per shard differ by one at most. What is collected is one row a shard or
 a pair of shards. Ranks are built from counts of small cells, so no task sees a
 whole shard.
 
-Nulls: a null text has size 8, CRC 0 and counts as an empty text. Repeated rows
-are rows of their own. An empty table gives an empty one. Extra columns are not
-needed and not read.
+Nulls: a null text has size 8, CRC 0 and counts as an empty text; a null doc_id is
+a row like any other. Very long texts count whole and are not moved. Ties between
+shards go to the smaller number. Repeated rows are rows of their own. An empty
+table gives an empty one. Extra columns are not needed and not read, so their names
+don't matter.
 """
 
 from __future__ import annotations

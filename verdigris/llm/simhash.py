@@ -46,10 +46,12 @@ from verdigris.llm.common import cut, written
 
 BUCKET = 8192
 BITS, SIG = 64, 256
-#: Odds of losing a pair that has just the similarity asked for.
-MISS = 1e-4
+#: Odds of losing a pair that has just the similarity asked for: by not meeting, and by its min-hashes.
+UNMET, MISS = 1e-3, 1e-2
 #: A label that a third of all rows may carry meets its table in so many tasks; texts compared with one other at a time.
 SALTS, COMPARED = 32, 256
+#: Partners that a node is compared with before what follows from those is left out.
+FIRST = 3
 FACTORS = np.random.default_rng(9).integers(0, 1 << 63, SIG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -276,31 +278,14 @@ def spanning(pairs: np.ndarray) -> np.ndarray:
     return pairs[kept]
 
 
-def closeness(fp: np.ndarray, distance: int, sig: np.ndarray | None = None, most: int = 0) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """At most `distance` bits apart and, with signatures (n x SIG / 64), at most `most` of theirs."""
+def closeness(fp: np.ndarray, distance: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """At most `distance` bits apart."""
+    return lambda a, b: np.bitwise_count(fp[a][:, None] ^ fp[b][None, :]) <= distance
 
-    signs = None if sig is None else np.unpackbits(sig.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
 
-    def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        near = np.bitwise_count(fp[a][:, None] ^ fp[b][None, :]) <= distance
-        if signs is not None and near.any():
-            if near.mean() > 0.02:  # many to decide: one product of signs for all
-                near &= signs[a] @ signs[b].T >= SIG - 2 * most - 0.5
-            else:
-                i, j = np.nonzero(near)
-                near[i, j] = np.bitwise_count(sig[a[i]] ^ sig[b[j]]).sum(1) <= most
-        return near
-
-    return close
-
-
-def links(nodes: DataFrame, distance: int, bucket: int = BUCKET, most: int | None = None) -> DataFrame:
-    """Edges (a, b) between nodes such that all linked ones are connected.
-
-    `nodes`: fp, distinct, which is the node itself; or id, fp and sig (binary),
-    where linked ones have at most `most` different bits in sig, too.
-    """
-    names = nodes.columns
+def links(nodes: DataFrame, distance: int, bucket: int = BUCKET) -> DataFrame:
+    """Edges (a, b) between nodes (fp, distinct) such that all linked ones are connected."""
+    names = ["fp"]
     parts = plan(nodes, distance)
     rows = keyed(nodes, parts)
     large = rows.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket)
@@ -319,19 +304,14 @@ def links(nodes: DataFrame, distance: int, bucket: int = BUCKET, most: int | Non
     mine = F.pmod(F.xxhash64(*names), blocks).cast("int")
     fine = fine.withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("m", mine)
     fine = fine.select("part", "value", "sub", F.least("o", "m").alias("a"), F.greatest("o", "m").alias("b"), *names)
-    lists = [F.collect_list(c).alias(c) for c in names]  # all in the same order of rows
-    buckets = small.unionByName(fine).groupBy("part", "value", "sub", "a", "b").agg(*lists).filter(F.size("fp") > 1).select(*names)
-    node = names[0]
+    buckets = small.unionByName(fine).groupBy("part", "value", "sub", "a", "b").agg(F.collect_list("fp").alias("fp")).filter(F.size("fp") > 1).select("fp")
 
     def run(batches):
         for batch in batches:
             out = [np.empty((0, 2), np.int64)]
             for k in range(batch.num_rows):
-                col = {c: batch.column(c)[k].values for c in names}
-                ids, at = np.unique(col[node].to_numpy(zero_copy_only=False), return_index=True)
-                fp = col["fp"].to_numpy(zero_copy_only=False).view(np.uint64)[at]
-                sig = np.frombuffer(b"".join(col["sig"].to_pylist()), np.uint64).reshape(len(col["sig"]), -1)[at] if most is not None else None
-                e = forest(len(fp), closeness(fp, distance, sig, most or 0))
+                ids = np.unique(batch.column("fp")[k].values.to_numpy(zero_copy_only=False))
+                e = forest(len(ids), closeness(ids.view(np.uint64), distance))
                 if len(e):
                     out.append(ids[e])
             e = np.concatenate(out)
@@ -392,43 +372,67 @@ def hashes(text: str | None, shingle: int) -> np.ndarray:
 
 
 def signature(h: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """SIG min-hashes of a set of hashes, and one bit of each.
+    """SIG min-hashes of a set of hashes, and eight bits of each.
 
-    Two sets of the Jaccard similarity J agree in about SIG * J of the former and
-    differ in about SIG * (1 - J) / 2 of the latter.
+    Two sets of the Jaccard similarity J agree in about SIG * J of the former, and
+    in hardly any more of the latter.
     """
     if not len(h):
-        return np.zeros(SIG, np.uint64), bytes(SIG // 8)
+        return np.zeros(SIG, np.uint64), bytes(SIG)
     least = np.full(SIG, np.iinfo(np.uint64).max)
     for k in range(0, len(h), 4096):
         some = h[k : k + 4096]
         for m in range(0, SIG, 32):
             np.minimum(least[m : m + 32], (some[None, :] * FACTORS[m : m + 32, None]).min(1), out=least[m : m + 32])
-    return least, np.packbits((least >> np.uint64(7)).astype(np.uint8) & 1, bitorder="little").tobytes()
+    return least, (least >> np.uint64(7)).astype(np.uint8).tobytes()
+
 
+def layout(similarity: float) -> tuple[int, int, int]:
+    """Bands, min-hashes a band and fewest equal min-hashes, for the odds of losing a pair of the similarity that UNMET and MISS allow."""
+    width = max((r for r in range(1, SIG + 1) if (1 - similarity**r) ** (SIG // r) <= UNMET), default=1)
+    bands = next(b for b in range(1, SIG // width + 1) if b == SIG // width or (1 - similarity**width) ** b <= UNMET)
+    least, below = 0, 0.0
+    while least < SIG:
+        below += math.comb(SIG, least) * similarity**least * (1 - similarity) ** (SIG - least)
+        if below > MISS:
+            break
+        least += 1
+    return bands, width, least
+
+
+def alike(sig: np.ndarray, least: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether members (places) have `least` equal min-hashes, of signatures (n x SIG bytes).
+
+    One bit of each min-hash gives a bound for all pairs by one product; only those
+    that pass it, five deviations wide, are counted.
+    """
+    signs = (sig & 1).astype(np.float32) * 2 - 1
+    odds = (1 - least / SIG) / 2
+    floor = SIG - 2 * (SIG * odds + 5 * math.sqrt(SIG * odds * (1 - odds)))
 
-def layout(similarity: float, miss: float = MISS) -> tuple[int, int, int]:
-    """Bands, min-hashes a band and most different bits, so that a pair of the similarity is lost by either with odds of at most `miss`."""
-    width = max((r for r in range(1, SIG + 1) if (1 - similarity**r) ** (SIG // r) <= miss), default=1)
-    bands = next(b for b in range(1, SIG // width + 1) if b == SIG // width or (1 - similarity**width) ** b <= miss)
-    odds, most, tail = (1 - similarity) / 2, -1, 1.0
-    while tail > miss:
-        most += 1
-        tail -= math.comb(SIG, most) * odds**most * (1 - odds) ** (SIG - most)
-    return bands, width, most
+    def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        near = signs[a] @ signs[b].T >= floor
+        x, y = np.nonzero(near)
+        for k in range(0, len(x), 1 << 16):
+            i, j = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
+            near[i, j] = (sig[a[i]] == sig[b[j]]).sum(1) >= least
+        return near
+
+    return close
 
 
-def between(sig: np.ndarray, label: np.ndarray, refuted: np.ndarray, most: int, each: int) -> np.ndarray:
-    """Pairs (places, m x 2) of at most `most` different bits, `each` with the fewest for each two labels, without the refuted ones."""
-    n = len(sig)
-    signs = np.unpackbits(sig.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+def between(sig: np.ndarray, label: np.ndarray, refuted: np.ndarray, least: int, each: int) -> np.ndarray:
+    """Pairs (places, m x 2) of at least `least` equal min-hashes, `each` with the most for any two labels, without the refuted ones."""
+    n, close = len(sig), alike(sig, least)
     name = np.unique(label, return_inverse=True)[1].astype(np.int64)
-    gone, out = np.unique(refuted[:, 0] * n + refuted[:, 1]), np.empty((0, 3), np.int64)
+    every, gone, out = np.arange(n), np.unique(refuted[:, 0] * n + refuted[:, 1]), np.empty((0, 3), np.int64)
     for k in range(0, n - 1, 512):
-        apart = (SIG - signs[k : k + 512] @ signs[k:].T) / 2
-        x, y = np.nonzero(np.triu(apart <= most + 0.25, 1) & (name[k : k + 512][:, None] != name[k:][None, :]))
-        new = np.stack([x + k, y + k, np.rint(apart[x, y]).astype(np.int64)], 1)
-        out = np.concatenate([out, new[~np.isin(new[:, 0] * n + new[:, 1], gone)]])
+        x, y = np.nonzero(np.triu(close(every[k : k + 512], every[k:]), 1) & (name[k : k + 512][:, None] != name[k:][None, :]))
+        x, y = x + k, y + k
+        new = ~np.isin(x * n + y, gone)
+        x, y = x[new], y[new]
+        same = np.concatenate([np.empty(0, np.int64), *[(sig[x[i : i + 65_536]] == sig[y[i : i + 65_536]]).sum(1) for i in range(0, len(x), 65_536)]])
+        out = np.concatenate([out, np.stack([x, y, -same], 1)])
         low, high = np.minimum(name[out[:, 0]], name[out[:, 1]]), np.maximum(name[out[:, 0]], name[out[:, 1]])
         order = np.lexsort((out[:, 1], out[:, 0], out[:, 2], high, low))
         out, group = out[order], (low * n + high)[order]
@@ -451,8 +455,8 @@ def met(nodes: DataFrame, bands: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return each.filter(F.size("id") > 1)
 
 
-def likely(buckets: DataFrame, most: int) -> DataFrame:
-    """a, b (a < b): in each bucket (id, sig) a spanning forest of the pairs of at most `most` different bits.
+def likely(buckets: DataFrame, least: int) -> DataFrame:
+    """a, b (a < b): in each bucket (id, sig) a spanning forest of the pairs of at least `least` equal min-hashes.
 
     Trees start at the smallest ids, so that the buckets of a group give much the same edges.
     """
@@ -461,33 +465,31 @@ def likely(buckets: DataFrame, most: int) -> DataFrame:
         for batch in batches:
             out = [np.empty((0, 2), np.int64)]
             for k in range(batch.num_rows):
-                ids, sig = _members(batch, k)
-                signs = np.unpackbits(sig.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
-                out.append(ids[forest(len(ids), lambda a, b, signs=signs: signs[a] @ signs[b].T >= SIG - 2 * most - 0.5)])
+                ids, at, sig = _members(batch, k)
+                out.append(ids[forest(len(ids), alike(sig, least))])
             e = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([pa.array(e.min(1)), pa.array(e.max(1))], names=["a", "b"])
 
     return buckets.select("id", "sig").mapInArrow(run, "a long, b long").distinct()
 
 
-def _members(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids in order and signatures of bucket number k."""
+def _members(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids in order, their places in the bucket's lists, and signatures of bucket number k."""
     ids, at = np.unique(batch.column("id")[k].values.to_numpy(zero_copy_only=False), return_index=True)
-    return ids, np.frombuffer(b"".join(batch.column("sig")[k].values.to_pylist()), np.uint64).reshape(-1, SIG // 64)[at]
+    return ids, at, np.frombuffer(b"".join(batch.column("sig")[k].values.to_pylist()), np.uint8).reshape(-1, SIG)[at]
 
 
-def more_likely(buckets: DataFrame, most: int, each: int) -> DataFrame:
+def more_likely(buckets: DataFrame, least: int, each: int) -> DataFrame:
     """a, b: `each` pairs to compare next for any two labels of a bucket (id, sig, label, refuted: pairs) that likely pairs join."""
 
     def run(batches):
         for batch in batches:
             out = [np.empty((0, 2), np.int64)]
             for k in range(batch.num_rows):
-                ids, at = np.unique(batch.column("id")[k].values.to_numpy(zero_copy_only=False), return_index=True)
-                sig = np.frombuffer(b"".join(batch.column("sig")[k].values.to_pylist()), np.uint64).reshape(-1, SIG // 64)[at]
+                ids, at, sig = _members(batch, k)
                 label = batch.column("label")[k].values.to_numpy(zero_copy_only=False)[at]
                 pairs = np.array([(x["a"], x["b"]) for x in batch.column("refuted")[k].as_py()], np.int64).reshape(-1, 2)
-                out.append(ids[between(sig, label, np.searchsorted(ids, pairs), most, each)])
+                out.append(ids[between(sig, label, np.searchsorted(ids, pairs), least, each)])
             e = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
 
@@ -521,12 +523,11 @@ def classes_of(docs: DataFrame, shingle: int, similarity: float, bucket: int) ->
     Texts meet where all min-hashes of a band agree; the bands follow from the
     similarity alone, so the vocabulary does not matter. In each bucket the likely
     pairs are thinned to a spanning forest. Of its edges each node takes its
-    smallest partner first, sixteen times as many in the next rounds, and edges
-    within a class that stands already are left out; what is taken is compared
-    exactly. Buckets that lost an edge are searched again for pairs between their
+    FIRST smallest partners first; of the others those within a class that stands by
+    then are left out; what is taken is compared exactly. Buckets that lost an edge are searched again for pairs between their
     classes, more in every round, until every likely pair is joined or refuted.
     """
-    bands, width, most = layout(similarity)
+    bands, width, fewest = layout(similarity)
     schema = T.StructType([docs.schema["doc_id"], T.StructField("hash", T.LongType()), T.StructField("id", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("band", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -555,25 +556,25 @@ def classes_of(docs: DataFrame, shingle: int, similarity: float, bucket: int) ->
     bad, label = docs.sparkSession.createDataFrame([], "a long, b long"), docs.sparkSession.createDataFrame([], "node long, label long")
     of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"))
     named = lambda p: p.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("l_a", "a").alias("label_a"), F.coalesce("l_b", "b").alias("label_b"))
-    todo, wide, more, whole = cut(likely(buckets, most)), 1, 64, False
+    todo, thin, more, whole = cut(likely(buckets, fewest)), True, 64, False
     while True:
         first = F.row_number().over(W.partitionBy("b").orderBy("a"))
-        taken = todo if wide > 1000 else todo.withColumn("r", first).filter(F.col("r") <= wide).select("a", "b")
+        taken = todo.withColumn("r", first).filter(F.col("r") <= FIRST).select("a", "b") if thin else todo
         tried = cut(compared(taken, pool, shingle, similarity))
         bad = cut(bad.union(tried.filter("NOT ok").select("a", "b")))
         ok = tried.filter("ok").select("a", "b").union(label.select(F.col("label").alias("a"), F.col("node").alias("b")))
         label = components(ok)
         apart = named(todo).filter("label_a <> label_b")
-        todo, wide = cut(apart.select("a", "b").join(bad, ["a", "b"], "left_anti")), wide * 16
+        todo, thin = cut(apart.select("a", "b").join(bad, ["a", "b"], "left_anti")), False
         if todo.isEmpty():
             if whole:
                 break
-            todo = cut(more_likely(refuted_buckets(buckets, bad, label), most, more))
+            todo = cut(more_likely(refuted_buckets(buckets, bad, label), fewest, more))
             if todo.isEmpty():
                 break
             # Where no two classes have as many pairs as were asked for, these are all.
             whole = named(todo).groupBy(F.least("label_a", "label_b"), F.greatest("label_a", "label_b")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= more).isEmpty()
-            wide, more = 1 << 30, more * 16
+            more *= 16
     return rows.select("doc_id", "hash", "id"), label
 
 
