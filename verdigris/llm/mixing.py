@@ -82,7 +82,7 @@ def apportion(parts: DataFrame, over: list[str], share: str, total: str, tie: li
     return sure.join(won, on, "left").select(*parts.columns, (F.col("_low") + F.coalesce("_won", F.lit(0))).alias(out))
 
 
-def shares(rows: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3, block: int | None = None, shard_rows: int = 20_000) -> DataFrame:
+def shares(rows: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3, block: int | None = None, shard_rows: int = 2000) -> DataFrame:
     """Add source_size, target and taken to `rows` (doc_id, source, size and, if any, `row`).
 
     `block`: words in a block; by default a hundredth of the smallest positive
