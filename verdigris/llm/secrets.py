@@ -37,8 +37,8 @@ ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 ASSIGN_LEAST = 12
-#: What the models are fitted on and what they look at.
-WORD, RUN, RUN_LEAST = r"[A-Za-z0-9+/_=-]{2,}", r"[A-Za-z0-9+/_=-]{12,}", 12
+#: What the models are fitted on and what they look at. A run starts where no other is going on, which the look-behind says at once.
+WORD, RUN, RUN_LEAST = r"[A-Za-z0-9+/_=-]{2,}", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}+", 12
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=.-"
 SAMPLE, FALSE_RATE, CHUNK = 4000, 1e-4, 256
@@ -65,14 +65,19 @@ def running(values: Column, step=lambda a, b: a + b, first: int = 0) -> Column:
 
 
 def spans(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
-    """Matches as (start, end, kind, value): the text between matches gives their places."""
-    found, value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    sizes = F.transform(found, lambda x: F.length(x).cast("long"))
-    gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda x: F.length(x).cast("long"))
-    before = let(F.zip_with(gaps, sizes, lambda a, b: a + b), lambda x: running(x))
-    start = F.zip_with(before, gaps, lambda a, b: a + b)
-    out = F.zip_with(F.zip_with(start, sizes, lambda s, n: F.struct(s.alias("start"), (s + n).alias("end"), F.lit(kind).alias("kind"))), value, lambda a, v: F.struct(a["start"].alias("start"), a["end"].alias("end"), a["kind"].alias("kind"), v.alias("value")))
-    return F.when(text.rlike(pattern), out).otherwise(F.array().cast(SPAN))
+    """Matches as (start, end, kind, value): the text between matches gives their places. Each part is worked out once."""
+
+    def placed(found: Column) -> Column:
+        between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        return let(F.zip_with(between, found, lambda g, x: F.struct(F.length(g).cast("long").alias("gap"), F.length(x).cast("long").alias("size"))), lambda s: finished(s, found))
+
+    def finished(steps: Column, found: Column) -> Column:
+        before = let(F.transform(steps, lambda s: s["gap"] + s["size"]), lambda v: running(v))
+        at = F.zip_with(before, steps, lambda b, s: F.struct((b + s["gap"]).alias("start"), (b + s["gap"] + s["size"]).alias("end")))
+        value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+        return F.zip_with(at, value, lambda a, v: F.struct(a["start"].alias("start"), a["end"].alias("end"), F.lit(kind).alias("kind"), v.alias("value")))
+
+    return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)).otherwise(F.array().cast(SPAN))
 
 
 def base(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -137,8 +142,8 @@ def uncovered(runs: Column, base_: Column) -> Column:
     far = 1 << 62
 
     def apart(every: Column) -> Column:
-        ends = running(F.transform(every, lambda x: F.when(x["kind"] < 3, x["end"]).otherwise(0)), F.greatest)
-        starts = F.reverse(running(F.reverse(F.transform(every, lambda x: F.when(x["kind"] < 3, x["start"]).otherwise(F.lit(far)))), F.least, far))
+        ends = let(F.transform(every, lambda x: F.when(x["kind"] < 3, x["end"]).otherwise(0)), lambda v: running(v, F.greatest))
+        starts = F.reverse(let(F.reverse(F.transform(every, lambda x: F.when(x["kind"] < 3, x["start"]).otherwise(F.lit(far)))), lambda v: running(v, F.least, far)))
         near = F.zip_with(ends, starts, lambda e, s: F.struct(e.alias("e"), s.alias("s")))
         marked = F.zip_with(every, near, lambda x, b: F.struct(x.alias("x"), b.alias("b")))
         return F.transform(F.filter(marked, lambda m: (m["x"]["kind"] == 3) & (m["b"]["e"] <= m["x"]["start"]) & (m["b"]["s"] >= m["x"]["end"])), lambda m: m["x"])
