@@ -503,6 +503,7 @@ def compared(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     moved once a group, and no group holds more.
     """
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / COMPARED).cast("int").alias("parts"))
+    texts = texts.hint("shuffle_merge")  # they grow with the documents
     left = many.join(texts.withColumnRenamed("id", "a"), "a").select(F.col("a").alias("a"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.col("text").alias("text"))
     right = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")).join(texts.withColumnRenamed("id", "b"), "b")
 
@@ -548,9 +549,10 @@ def classes_of(docs: DataFrame, shingle: int, similarity: float, bucket: int) ->
     nodes = rows.groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("held"), F.min_by("sig", "hash").alias("sig"), F.min_by("band", "hash").alias("band"))
     nodes = cut(nodes.select("id", F.col("held.doc_id").alias("held"), "held.hash", "sig", "band"))
     buckets = cut(met(nodes, nodes.select("id", F.explode("band").alias("value")), bucket))
-    # The texts of nodes that meet any other are moved once, by one of their rows.
+    # The texts of nodes that meet any other are moved once, by one of their rows; a
+    # shuffled join at every size, since what meets grows with the documents.
     meeting = buckets.select(F.explode("id").alias("id")).distinct().join(nodes.select("id", "held", "hash"), "id")
-    kept = texts.join(meeting.withColumnRenamed("hash", "h"), F.col("doc_id").eqNullSafe(F.col("held")) & (F.col("hash") == F.col("h")))
+    kept = texts.join(meeting.withColumnRenamed("hash", "h").hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("held")) & (F.col("hash") == F.col("h")))
     pool = written(kept.groupBy("id").agg(F.min("text").alias("text")), "texts")
 
     bad, label = docs.sparkSession.createDataFrame([], "a long, b long"), docs.sparkSession.createDataFrame([], "node long, label long")
