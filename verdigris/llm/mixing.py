@@ -145,12 +145,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     rows = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), digest.alias("row")))
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("long")
     copies = shares(rows, **options).groupBy("row").agg(F.sum(times).alias("copies"), F.count(F.lit(1)).alias("rows")).filter("copies > 0")
-    copies = written(copies.select(F.col("row").alias("digest"), F.expr("copies div rows").alias("each"), F.expr("copies % rows").alias("more")), "copies")
-    found = docs.select(F.struct(*docs.columns).alias("row"), digest.alias("digest")).join(copies, "digest")
+    copies = cut(copies.select(F.col("row").alias("digest"), F.expr("copies div rows").alias("each"), F.expr("copies % rows").alias("more")))
+    packed = docs.select(F.struct(*docs.columns).alias("row"), digest.alias("digest"))
+    even, uneven = (written(copies.filter(p), "copies") for p in ("more = 0", "more > 0"))
     again = lambda n: F.explode(F.expr(f"if({n} > 0, sequence(1L, {n}), array())"))
-    out = found.filter("more = 0").select("row", again("each"))
-    if not copies.filter("more > 0").isEmpty():
+    out = packed.join(even, "digest").select("row", again("each"))
+    if not uneven.isEmpty():
         turn = F.row_number().over(W.partitionBy("digest").orderBy("digest"))
-        part = found.filter("more > 0").withColumn("n", F.col("each") + (turn <= F.col("more")).cast("long"))
+        part = packed.join(uneven, "digest").withColumn("n", F.col("each") + (turn <= F.col("more")).cast("long"))
         out = out.unionByName(part.select("row", again("n")))
     return out.select("row.*")
