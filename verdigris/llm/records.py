@@ -41,7 +41,9 @@ ENTRY = np.dtype([("offset", "<u8"), ("before", "<u8")])
 RUN = 1 << 21
 #: Bytes of a file that one read task gets.
 SPLIT = 64 << 20
-MEMO = 400_000
+MEMO = 500_000
+#: Words that one call of the library gets.
+GROUP = 256
 
 
 class Checksum:
@@ -125,6 +127,12 @@ class WordEncoder:
 
         self.tokenizer, self.new, self.old = Tokenizer.from_str(spec), {}, {}
         self.by_run = self._drops_space(spec)
+        self.lowers = '"Lowercase"' in spec
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix:
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     @staticmethod
     def _drops_space(spec: str) -> bool:
@@ -141,6 +149,27 @@ class WordEncoder:
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, found: list[str]) -> list[bytes]:
+        """Runs of letters many at a time, parted where a token ends a word; whatever gives another number of ends than runs goes alone."""
+        groups = [found[k : k + GROUP] for k in range(0, len(found), GROUP)]
+        out = []
+        for group, data in zip(groups, self._encoded([" ".join(g) for g in groups]), strict=True):
+            edges = np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) * 4 + 4
+            if len(edges) != len(group):
+                out += self._encoded(group)
+                continue
+            edges = [0, *edges.tolist()]
+            out += [data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return out
+
+    def _small(self, run: str) -> str:
+        """The run in small letters where that changes no id: both composed, no letter that depends on its place, no added token."""
+        low = run.lower()
+        if low == run or not self.lowers or "\u03a3" in run or any(t in low for t in self.added):
+            return run
+        composed = run.isascii() or (unicodedata.is_normalized("NFC", run) and unicodedata.is_normalized("NFC", low))
+        return low if composed else run
+
     def _learn(self, runs: set[str]) -> None:
         if len(self.new) >= MEMO:
             self.old, self.new = self.new, {}
@@ -149,10 +178,16 @@ class WordEncoder:
         self.new.update((r, self.old[r]) for r in known)
         unknown.difference_update(known)
         # A mark after what stays a letter is always a match of its own, so the run before it is looked up.
-        cut = {r for r in unknown if len(r) > 1 and r[-1] in ".,;:!?" and unicodedata.normalize("NFC", r[-2]).lower()[-1].isalpha()}
+        cut = {r for r in unknown if len(r) > 1 and r[-1] in ".,;:!?" and (r[-2].isalpha() if r[-2].isascii() else unicodedata.normalize("NFC", r[-2]).lower()[-1].isalpha())}
         bare = (unknown - cut | {r[:-1] for r in cut} | {r[-1] for r in cut}).difference(self.new)
-        bare = list(bare)
-        self.new.update(zip(bare, self._encoded(bare), strict=True))
+        # A run and its small letters have the same ids.
+        small = {r: low for r in bare if (low := self._small(r)) != r}
+        ask = list((bare - small.keys()).union(small.values()).difference(self.new))
+        letters = [r for r in ask if r.isalpha()] if self.ends.any() else []
+        self.new.update(zip(letters, self._words(letters), strict=True))
+        other = [r for r in ask if r not in self.new]
+        self.new.update(zip(other, self._encoded(other), strict=True))
+        self.new.update((r, self.new[low]) for r, low in small.items())
         self.new.update((r, self.new[r[:-1]] + self.new[r[-1]]) for r in cut)
 
     def encode(self, texts: list[str]) -> list[bytes]:
