@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.functions.text import canonical_value, classify_field, unconstrained_value
+from verdigris.operators.shared import cut
 
 #: The feature bands (other names score 0.5).
 BAND_SCORE = {"good": 1.0, "medium": 0.5, "poor": 0.0}
@@ -84,22 +88,70 @@ def descend(x: np.ndarray, y: np.ndarray, n: np.ndarray, steps: int = 150, rate:
     return w, float(b)
 
 
-def train_calibrators(labels: DataFrame, least: int) -> DataFrame:
+#: Distinct rows of a model that one task may hold; beyond that its gradients are summed by Spark.
+BATCH = 100_000
+
+
+def train_calibrators(labels: DataFrame, least: int, batch: int = BATCH, steps: int = 150, rate: float = 0.5, l2: float = 0.01) -> DataFrame:
     """labels (stratum, x, y): one model for each stratum of at least `least` rows and a pooled one (stratum `*`).
 
-    Equal rows are collapsed to weights first, so a group holds distinct feature
-    rows only.
+    Equal rows are collapsed to weights first. A model of at most `batch` distinct
+    rows is fitted in one task; all larger ones descend together, a step being one
+    pass over their rows and one sum of gradients.
     """
     weighted = labels.groupBy("stratum", "x", "y").agg(F.count(F.lit(1)).alias("n"))
     large = labels.groupBy("stratum").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select("stratum")
     every = weighted.groupBy("x", "y").agg(F.sum("n").alias("n")).select(F.lit("*").alias("stratum"), "x", "y", "n")
-    rows = weighted.join(large, "stratum", "left_semi").unionByName(every)
+    rows = cut(weighted.join(large, "stratum", "left_semi").unionByName(every))
+    sizes = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("_rows"), F.sum("n").alias("total"), F.max(F.size("x")).alias("dim"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, b = descend(np.array(pdf["x"].tolist()), pdf["y"].to_numpy(float), pdf["n"].to_numpy(float))
+        w, b = descend(np.array(pdf["x"].tolist()), pdf["y"].to_numpy(float), pdf["n"].to_numpy(float), steps, rate, l2)
         return pd.DataFrame({"stratum": [pdf["stratum"].iloc[0]], "w": [w], "b": [b]})
 
-    return rows.groupBy("stratum").applyInPandas(fit, "stratum string, w array<double>, b double")
+    small = rows.join(sizes.filter(F.col("_rows") <= batch), "stratum", "left_semi").groupBy("stratum").applyInPandas(fit, MODELS)
+    # One entry a model that no task can hold, so at most one for each `batch` distinct rows.
+    wide = sizes.filter(F.col("_rows") > batch).collect()
+    return small.unionByName(_descend_together(rows, wide, steps, rate, l2)) if wide else small
+
+
+MODELS = "stratum string, w array<double>, b double"
+
+
+def gradients(batches: Iterator[pa.RecordBatch], models: dict[str, tuple[np.ndarray, float]]) -> Iterator[pa.RecordBatch]:
+    """Each batch's sums of n (p - y) x, and of n (p - y) as the last entry, by model."""
+    for batch in batches:
+        y, n = (batch.column(c).to_numpy().astype(float) for c in ("y", "n"))
+        ends = batch.column("x").offsets.to_numpy()
+        x = batch.column("x").flatten().to_numpy().reshape(len(y), -1) if len(y) else np.zeros((0, 0))
+        assert not len(y) or (np.diff(ends) == x.shape[1]).all(), "rows of a model differ in length"
+        name = np.array(batch.column("stratum").to_pylist(), object)
+        for m in set(name):
+            at = name == m
+            w, b = models[m]
+            g = n[at] * (1 / (1 + np.exp(-np.clip(x[at] @ w + b, -50, 50))) - y[at])
+            sums = np.append(x[at].T @ g, g.sum())
+            yield pa.RecordBatch.from_pydict({"stratum": [m] * len(sums), "entry": np.arange(len(sums), dtype=np.int32), "g": sums})
+
+
+def _descend_together(rows: DataFrame, wide: list, steps: int, rate: float, l2: float) -> DataFrame:
+    """Batch descent of all models in `wide` (stratum, total, dim); what is broadcast and collected is their weights."""
+    spark = rows.sparkSession
+    models = {r["stratum"]: (np.zeros(r["dim"]), 0.0) for r in wide}
+    total = {r["stratum"]: float(r["total"]) for r in wide}
+    names = spark.createDataFrame([(m,) for m in models], "stratum string")
+    # Cached between the steps; a lost executor's part is read again from the checkpoint.
+    mine = rows.join(names, "stratum", "left_semi").persist()
+    for _ in range(steps):
+        now = spark.sparkContext.broadcast(models)
+        parts = mine.mapInArrow(lambda batches, now=now: gradients(batches, now.value), "stratum string, entry int, g double")
+        sums: dict[str, np.ndarray] = {m: np.zeros(len(w) + 1) for m, (w, _) in models.items()}
+        for r in parts.groupBy("stratum", "entry").agg(F.sum("g").alias("g")).collect():
+            sums[r["stratum"]][r["entry"]] = r["g"]
+        models = {m: (w - rate * (sums[m][:-1] / total[m] + l2 * w), b - rate * sums[m][-1] / total[m]) for m, (w, b) in models.items()}
+        now.destroy()
+    mine.unpersist()
+    return spark.createDataFrame([(m, w.tolist(), float(b)) for m, (w, b) in models.items()], MODELS)
 
 
 def syntactic_validate(df: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verdigris.operators import aggs as A
+from verdigris.operators import reprocess as R
 from verdigris.operators import workflow as O
 from verdigris.plans.joins import BANDS, STRIKES, TOK, polygons, strokes
 from verdigris.plans.registry import query
@@ -110,26 +111,78 @@ def job11(spark, sf):
     return O.load_closed_sets(p, "lgd").select("p_partkey", "reason_code")
 
 
-REPRO = """
-with g as (select l_orderkey as record_id, sum(l_extendedprice * 100)::bigint as price, count(*) as n, max(l_partkey) as top from lineitem group by 1),
-j as (select record_id, case when record_id % 17 = 0 then 'added' when record_id % 19 = 0 then 'removed' when top % 4 = 0 then 'changed' end as kind from g)
+#: Two versions of a table of duties per mille by rule key: some keys rise, one is gone, one is new.
+DUTIES = """
+q as (select distinct p_partkey % 97 as key from part),
+duties as (select 'v1' as config_version, key, key % 5 + 10 as value from q where key <> 51 union all select 'v2', key, key % 5 + case when key % 16 = 3 then 12 else 10 end from q where key <> 50),
+changed as (select key, o.value as old, n.value as new from (select * from duties where config_version = 'v1') o full join (select * from duties where config_version = 'v2') n using (key) where o.value is distinct from n.value)
 """
+DERIVED = f"""
+with {DUTIES},
+line as (select l_orderkey as record_id, l_partkey % 97 as key, round(l_extendedprice * 100)::bigint as cents from lineitem),
+der as (select record_id, v.v as config_version, sum((cents * coalesce(value, 0) + 500) // 1000)::bigint as duty, count(*) as n, sum(cents)::bigint as gross
+ from line cross join (values ('v1'), ('v2')) v(v) left join duties d on d.key = line.key and d.config_version = v.v group by 1, 2),
+rec as (select record_id, duty, n, case when duty * 1000 > gross * 12 then 'high' else 'low' end as band, config_version from der),
+pub as (select *, case when record_id % 4 = 0 then 2 else 1 end as version from rec where config_version = 'v1' and record_id % 23 <> 0 and record_id % 10 <> 7),
+hit as (select record_id, count(distinct key) as hits from line where key in (select key from changed) group by 1),
+both_ as (select p.record_id, hits, p.version, n.duty, n.n, n.band, concat_ws(',', case when p.duty <> n.duty then 'duty' end, case when p.n <> n.n then 'n' end, case when p.band <> n.band then 'band' end) as changed,
+ p.band <> n.band or abs(n.duty - p.duty) * 50 > p.duty as weighty from pub p join hit using (record_id) join (select * from rec where config_version = 'v2') n using (record_id))
+"""
+
+
+def duties(spark, sf):
+    q = table(spark, sf, "part").select((F.col("p_partkey") % 97).alias("key")).distinct()
+    side = lambda v, gone, rate: q.filter(F.col("key") != gone).select(F.lit(v).alias("config_version"), "key", rate.alias("value"))
+    return side("v1", 51, F.col("key") % 5 + 10).unionByName(side("v2", 50, F.col("key") % 5 + F.when(F.col("key") % 16 == 3, 12).otherwise(10)))
+
+
+def duty_lines(spark, sf):
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("record_id"), (F.col("l_partkey") % 97).alias("key"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"))
+
+
+def derive_duties(lines, rules):
+    """A record's duty in minor units, its number of lines and its band, by one version of the rules."""
+    d = lines.join(rules.select("key", "value"), "key", "left").withColumn("duty", F.expr("(cents * coalesce(value, 0) + 500) div 1000"))
+    g = d.groupBy("record_id").agg(F.sum("duty").alias("duty"), F.count(F.lit(1)).alias("n"), F.sum("cents").alias("gross"))
+    return g.select("record_id", "duty", "n", F.when(F.col("duty") * 1000 > F.col("gross") * 12, "high").otherwise("low").alias("band"))
+
+
+def reprocessing(spark, sf):
+    """Published records, their lineage and inputs: some have an earlier version, some are pinned elsewhere, some aren't published."""
+    lines, rules = duty_lines(spark, sf), duties(spark, sf)
+    first = derive_duties(lines, rules.filter("config_version = 'v1'")).filter("record_id % 23 <> 0")
+    version = lambda n, pin: first.withColumn("version", F.lit(n)).withColumn("config_version", pin)
+    now = version(1, F.when(F.col("record_id") % 10 == 7, "v0").otherwise("v1")).filter("record_id % 4 <> 0")
+    again = first.filter("record_id % 4 = 0")
+    now = now.unionByName(again.withColumn("version", F.lit(2)).withColumn("config_version", F.when(F.col("record_id") % 10 == 7, "v0").otherwise("v1")))
+    published = now.unionByName(again.withColumn("version", F.lit(1)).withColumn("config_version", F.lit("v1")).withColumn("duty", F.lit(0).cast("bigint")))
+    return published, lines.select("record_id", "key"), lines, rules
+
+
+def weighty(had, got):
+    """Another band, or a duty that moves by more than a fiftieth."""
+    return (had("band") != got("band")) | (F.abs(got("duty") - had("duty")) * 50 > had("duty"))
+
+
+def reprocessed(spark, sf):
+    published, lineage, lines, rules = reprocessing(spark, sf)
+    return R.reprocess(published, lineage, lines, rules, "v1", "v2", derive_duties, ["duty", "n", "band"], weighty, F.lit("2024-01-01").cast("timestamp"))
 
 
-@query("JOB12_reprocess_diff", REPRO + "select record_id, kind, case kind when 'changed' then 'price' else 'price,n' end as changed from j where kind is not null and not (record_id % 17 = 0 and record_id % 19 = 0)")
+@query("JOB12_reprocess_diff", DERIVED + "select record_id, case when changed <> '' then 'changed' else 'unchanged' end as kind, changed, hits, version, changed <> '' and weighty as review, duty, n, band from both_")
 def job12(spark, sf):
-    return diff(spark, sf)
+    return reprocessed(spark, sf).changes
 
 
-@query("JOB12_impact_preview", REPRO + "select kind, count(*) as n from j where kind is not null and not (record_id % 17 = 0 and record_id % 19 = 0) group by 1")
-def job12b(spark, sf):
-    return O.impact_preview(diff(spark, sf))
+@query("JOB12_reprocess_versions", DERIVED + "select record_id, version + 1 as version, 'v2' as config_version, duty, n, band from both_ where changed <> ''")
+def job12_versions(spark, sf):
+    return reprocessed(spark, sf).versions
 
 
-def diff(spark, sf):
-    g = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("record_id")).agg(F.sum(F.round(F.col("l_extendedprice") * 100)).cast("bigint").alias("price"), F.count(F.lit(1)).alias("n"), F.max("l_partkey").alias("top"))
-    new = g.withColumn("price", F.col("price") + (F.col("top") % 4 == 0).cast("int"))
-    return O.reprocess_diff(g.filter("record_id % 17 <> 0"), new.filter("record_id % 19 <> 0"), "record_id", ["price", "n"])
+@query("JOB12_impact_preview", DERIVED + "select c.key, c.old, c.new, count(distinct p.record_id) as records from changed c left join line l using (key) left join pub p on p.record_id = l.record_id group by 1, 2, 3")
+def job12_preview(spark, sf):
+    published, lineage, _, rules = reprocessing(spark, sf)
+    return R.impact_preview(published, lineage, rules, "v1", "v2", ["record_id"])
 
 
 WORDS = "case min(field_name) when 'survey_number' then 'Khasra No. ' when 'owner_name' then 'Shri Owner ' when 'share_fraction' then 'hissa 1/' else 'S/o Owner ' end"
