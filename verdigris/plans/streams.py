@@ -10,7 +10,7 @@ from verdigris.operators.aggs import ACTIONS
 from verdigris.operators.shared import shared_dir
 from verdigris.plans.folds import ALERTS
 from verdigris.plans.registry import ORACLE, query
-from verdigris.plans.views import VIEWS, table, view
+from verdigris.plans.views import VIEWS, table
 from verdigris.sources.files import put_files
 from verdigris.streaming import jobs as J
 
@@ -44,37 +44,54 @@ def src2(spark, sf):
 FIELD = "cast(event_id as string) as id, case event_id % 6 when 0 then 'review' when 1 then 'auto_accept' when 2 then 'conflict' when 3 then 'audit_sample' when 4 then 'bogus' else 'outside_calibrated_regime' end as outcome"
 
 
+def span(df, at: str) -> str:
+    """How far apart a stored table's rows are: that late any of them may be read."""
+    r = df.agg(F.ceil(F.coalesce((F.unix_micros(F.max(at)) - F.unix_micros(F.min(at))) / 1_000_000, F.lit(0))).alias("s")).first()
+    return f"{r['s'] + 1} seconds"
+
+
+def late_events(spark, sf):
+    """The event stream with its end marks, the folder it runs in, and how late its rows may be."""
+    path = place(spark, "events")
+    stored = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"))
+    return J.ending(events(spark, sf), "ts", path), path, span(stored, "ts")
+
+
 @query("STR1_stream_decide", f"with e as (select {FIELD.replace('string', 'varchar')} from events) select id, outcome, case when outcome = 'bogus' then 'error' else 'decided' end as status from e")
 def str1(spark, sf):
-    e = events(spark, sf).selectExpr(*FIELD.split(", ", 1), "event_id as ord")
-    return J.drained(J.decide(e), place(spark, "decide")).select("id", "outcome", "status")
+    e, path, late = late_events(spark, sf)
+    return J.drained(J.decide(e.selectExpr(*FIELD.split(", ", 1), "event_id as ord", "ts as at", "ends"), late), path, ends=True).select("id", "outcome", "status")
 
 
 @query("STR2_stream_sessions", """
-with g as (select 'u' || user_id as actor, ts, ts - lag(ts) over (partition by user_id order by ts) >= interval 1 hour as fresh from events),
+with g as (select 'u' || user_id as actor, ts, ts - lag(ts) over (partition by user_id order by ts) > interval 1 hour as fresh from events),
 s as (select actor, ts, sum(coalesce(fresh, true)::int) over (partition by actor order by ts, fresh rows unbounded preceding) as session from g)
 select actor, min(ts)::timestamp as started_at, count(*) as n from s group by actor, session""")
 def str2(spark, sf):
-    a = events(spark, sf).select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("actor"), F.col("ts").alias("at"))
-    d = J.drained(J.sessions(a), place(spark, "sessions"), "complete")
-    last = d.agg(F.max("_batch").alias("_batch"))  # a complete stream gives all sessions with every batch
-    return d.join(last, "_batch").select("actor", F.col("started_at").cast("timestamp_ntz").alias("started_at"), "n")
+    e, path, late = late_events(spark, sf)
+    a = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("actor"), F.col("ts").alias("at"), "ends")
+    d = J.drained(J.sessions(a, late=late), path, ends=True)
+    return d.select("actor", F.col("started_at").cast("timestamp_ntz").alias("started_at"), "n")
 
 
 @query("STR3_stream_alerts", ALERTS)
 def str3(spark, sf):
-    e = events(spark, sf).filter("event_type in ('error', 'click')").selectExpr("user_id as key", "ts as at")
-    d = J.drained(J.alerts(e), place(spark, "alerts")).groupBy("key", "opened_us").agg(F.sum("n").alias("n"))
+    e, path, late = late_events(spark, sf)
+    e = e.filter("ends OR event_type in ('error', 'click')").selectExpr("user_id as key", "ts as at", "ends")
+    d = J.drained(J.alerts(e, late=late), path, ends=True).groupBy("key", "opened_us").agg(F.sum("n").alias("n"))
     return d.select("key", F.timestamp_micros("opened_us").cast("timestamp_ntz").alias("opened"), "n")
 
 
 @query("STR4_stream_page_terminal", None)
 def str4(spark, sf):
-    lines = J.rows_of(spark, f"{sf}/lineitem.parquet")
+    path = place(spark, "terminal")
     expr = VIEWS["v_extraction"].split("case l_partkey % 7")[1].split(" as routing_outcome")[0]
-    f = lines.selectExpr("l_orderkey as page_id", f"case l_partkey % 7{expr} as routing_outcome").filter("page_id % 3 <> 0")
-    want = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("page_id")).agg(F.count(F.lit(1)).alias("fields"))
-    return J.drained(J.page_terminal(f, want), place(spark, "terminal")).select("page_id")
+    key = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_shipdate as date))"
+    lines = J.ending(J.rows_of(spark, f"{sf}/lineitem.parquet").withColumn("at", F.col("l_shipdate").cast("timestamp")), "at", path)
+    f = lines.selectExpr("l_orderkey as page_id", f"{key} as field", f"case l_partkey % 7{expr} as routing_outcome", "at", "ends").filter("ends OR page_id % 3 <> 0")
+    stored = table(spark, sf, "lineitem").select("l_orderkey", F.expr(key).alias("field"), F.col("l_shipdate").cast("timestamp").alias("at"))
+    want = stored.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.count_distinct("field").alias("fields"))
+    return J.drained(J.page_terminal(f, want, span(stored, "at")), path, ends=True).select("page_id")
 
 
 @query("STR5_stream_activity")
@@ -87,14 +104,18 @@ def str5(spark, sf):
 
 @query("STR7_stream_config_join")
 def str7(spark, sf):
-    r = events(spark, sf).filter("event_type = 'view'").selectExpr("event_id as request_id", "if(user_id % 2 = 0, 'district', 'global') as scope", "concat('k', user_id % 11) as key", "cast(ts as timestamp_ntz) as at")
-    return J.config_join(r, lambda: view(spark, sf, "v_config").withColumn("effective_from", F.col("effective_from").cast("timestamp_ntz")), place(spark, "config")).select("request_id", "scope", "key", "value", "reason_code")
+    e, path, late = late_events(spark, sf)
+    scope, key = "if(user_id % 2 = 0, 'district', 'global') as scope", "concat('k', user_id % 11) as key"
+    r = e.filter("ends OR event_type = 'view'").selectExpr("event_id as request_id", scope, key, "ts as at", "ends")
+    v = events(spark, sf).filter("event_type = 'purchase'").selectExpr(scope, key, "ts as effective_from", "cast(value as double) as value")
+    return J.drained(J.config_join(r, v, late), path, ends=True).select("request_id", "scope", "key", "value", "reason_code")
 
 
 @query("STR9_stream_cold_start")
 def str9(spark, sf):
-    e = events(spark, sf).selectExpr("user_id as scope", "event_id as ord", "cast(event_id % 7 as int) as n", "event_id % 5 <> 0 as calibrated", "event_id % 3 <> 0 as target_met", "event_id % 11 = 0 as alert", "event_id % 2 = 0 as recovered")
-    d = J.drained(J.cold_start(e), place(spark, "cold")).groupBy("scope").agg(F.max_by("state", "ord").alias("state"))
+    e, path, late = late_events(spark, sf)
+    e = e.selectExpr("user_id as scope", "event_id as ord", "ts as at", "ends", "cast(event_id % 7 as int) as n", "event_id % 5 <> 0 as calibrated", "event_id % 3 <> 0 as target_met", "event_id % 11 = 0 as alert", "event_id % 2 = 0 as recovered")
+    d = J.drained(J.cold_start(e, late), path, ends=True).groupBy("scope").agg(F.max_by("state", "_batch").alias("state"))
     return d.withColumn("auto_accept_allowed", F.col("state") == "steady").withColumn("elevated_sampling", F.col("state").isin("ramp", "regression"))
 
 
