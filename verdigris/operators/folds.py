@@ -10,19 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from verdigris.functions.hashing import iso
 from verdigris.operators.aggs import merkle_root, root_of
+from verdigris.operators.ordered import Machine, scan
 
 LINKED = ("actor", "action", "subject", "purpose", "value_hash")
 
 
-def fold(df: DataFrame, keys: list[str], order: list[str], cols: list[str], init: Column, step: Callable[[Column, Column], Column], out: str = "folded") -> DataFrame:
-    """An ordered fold of each key's rows, from the state `init` on."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, *[c for c in cols if c not in order])))
-    return df.groupBy(*keys).agg(rows.alias("_rows")).select(*keys, F.aggregate("_rows", init, step).alias(out))
-
-
 def entry_hash(prev: Column, row: Callable[[str], Column]) -> Column:
     parts = [F.coalesce(prev, F.lit("")), *[F.coalesce(row(c).cast("string"), F.lit("")) for c in LINKED], iso(row("at"))]
     return F.sha2(F.concat_ws("|", *parts), 256)
@@ -57,10 +53,38 @@ def append_chain(audit: DataFrame, heads: DataFrame | None = None) -> DataFrame:
 
 
 def verify_chain(audit: DataFrame) -> DataFrame:
-    """First bad entry of each shard: its link or its hash is wrong; null where the shard holds."""
-    w = W.partitionBy("shard_id").orderBy("at", "id")
-    d = audit.withColumn("_prev", F.lag("hash").over(w)).withColumn("_bad", ~F.col("prev_hash").eqNullSafe(F.col("_prev")) | (F.col("hash") != entry_hash(F.col("prev_hash"), F.col)))
-    return d.groupBy("shard_id").agg(F.min(F.when(F.col("_bad"), F.struct("at", "id")))["id"].alias("first_bad"), F.count(F.lit(1)).alias("n"))
+    """First bad entry of each shard: its link or its hash is wrong; null where the shard holds.
+
+    Entries are sorted into ranges of (shard, at, id), each looked through alone; a
+    table of each range's first and last entries by shard joins them, so a shard is as
+    many tasks as it has entries for.
+    """
+    right = F.coalesce(F.col("hash") == entry_hash(F.col("prev_hash"), F.col), F.lit(False)).alias("right")
+    d = audit.select("shard_id", "at", "id", "prev_hash", "hash", right)
+    d = d.repartitionByRange("shard_id", "at", "id").sortWithinPartitions("shard_id", "at", "id")
+    spot = T.StructType([d.schema["at"], d.schema["id"]])
+    kind = to_arrow_schema(T.StructType([T.StructField("s", spot), d.schema["shard_id"]]))
+    schema = T.StructType([d.schema["shard_id"], *[T.StructField(n, spot) for n in ("first", "first_wrong")], T.StructField("first_prev", T.StringType()), T.StructField("last_hash", T.StringType()), T.StructField("n", T.LongType())])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
+        for b in batches:
+            for shard, at, i, prev, made, ok in zip(*(b.column(c).to_pylist() for c in ("shard_id", "at", "id", "prev_hash", "hash", "right")), strict=True):
+                if not out or out[-1]["shard_id"] != shard:
+                    # The first entry's link is a matter of the range before.
+                    out.append({"shard_id": shard, "first": {"at": at, "id": i}, "first_wrong": None, "first_prev": prev, "last_hash": prev, "n": 0})
+                run = out[-1]
+                if run["first_wrong"] is None and not (ok and prev == run["last_hash"]):
+                    run["first_wrong"] = {"at": at, "id": i}
+                run["last_hash"], run["n"] = made, run["n"] + 1
+        if out:
+            types = {"shard_id": kind.field(1).type, "first": kind.field(0).type, "first_wrong": kind.field(0).type, "first_prev": pa.string(), "last_hash": pa.string(), "n": pa.int64()}
+            yield pa.RecordBatch.from_pydict({c: pa.array([r[c] for r in out], t) for c, t in types.items()})
+
+    runs = d.mapInArrow(look, schema)
+    before = F.lag("last_hash").over(W.partitionBy("shard_id").orderBy("first"))  # one row a range
+    met = runs.withColumn("_wrong", F.when(~F.col("first_prev").eqNullSafe(before), F.col("first")).otherwise(F.col("first_wrong")))
+    return met.groupBy("shard_id").agg(F.min("_wrong")["id"].alias("first_bad"), F.sum("n").alias("n"))
 
 
 def verify_against_root(spark: SparkSession, audit: DataFrame, root: str | None) -> DataFrame:
@@ -104,17 +128,18 @@ def review_sessions(activity: DataFrame, gap: str = "1 hour") -> DataFrame:
 
 
 def novelty_alerts(fields: DataFrame, hours: int = 6) -> DataFrame:
-    """fields (key, at, id): alerts with their opening; a field joins the newest one opened at most `hours` before."""
-    init = F.array().cast("array<struct<opened:timestamp,n:bigint>>")
+    """fields (key, at, id): alerts with their opening; a field joins the newest one opened at most `hours` before.
 
-    def step(acc: Column, r: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joins = F.coalesce(last["opened"] >= r["at"] - F.expr(f"interval {hours} hours"), F.lit(False))
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["opened"].alias("opened"), (last["n"] + 1).alias("n"))))
-        return F.when(joins, grown).otherwise(F.concat(acc, F.array(F.struct(r["at"].alias("opened"), F.lit(1).cast("bigint").alias("n")))))
+    A key's rows pass sorted through one task, which holds the opening alone.
+    """
+    span = hours * 3_600_000_000
+
+    def step(opened: int | None, event: tuple) -> tuple[int, None]:
+        return (opened if opened is not None and event[0] <= opened + span else event[0]), None
 
-    d = fold(fields.withColumn("at", F.col("at").cast("timestamp")), ["key"], ["at", "id"], [], init, step)
-    return d.select("key", F.explode("folded").alias("a")).select("key", "a.opened", "a.n")
+    rows = fields.select("key", F.unix_micros(F.col("at").cast("timestamp")).alias("us"), "id")
+    d = scan(rows, "key", ["us", "id"], ["us"], Machine(None, step), "long")
+    return d.groupBy("key", F.timestamp_micros("state").alias("opened")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def supersede_configs(versions: DataFrame) -> DataFrame:
@@ -147,38 +172,36 @@ def cluster_cuts(coords: DataFrame, tol: float = 8.0) -> DataFrame:
     return g.select("key", kept.alias("cuts"), "lo", "hi").select("key", F.when(F.size("cuts") < 2, F.array("lo", "hi")).otherwise(F.col("cuts")).alias("cuts"))
 
 
-def cold_start_states(evidence: DataFrame, least: int = 3) -> DataFrame:
-    """State of each scope after its ordered evidence (n, calibrated, target_met, alert, recovered)."""
+#: States of a scope that starts cold.
+COLD_STATES = ("shadow", "ramp", "steady", "regression")
 
-    def step(state: Column, e: Column) -> Column:
-        enough = e["n"] >= least
-        ramp = F.when(e["alert"], "regression").when(enough & e["calibrated"] & e["target_met"], "steady").otherwise("ramp")
-        return (
-            F.when(state == "shadow", F.when(enough, "ramp").otherwise("shadow"))
-            .when(state == "ramp", ramp)
-            .when(state == "steady", F.when(e["alert"], "regression").otherwise("steady"))
-            .otherwise(F.when(e["recovered"] & enough & ~e["alert"], "ramp").otherwise("regression"))
-        )
 
-    return fold(evidence, ["scope"], ["ord"], ["n", "calibrated", "target_met", "alert", "recovered"], F.lit("shadow"), step, "state").withColumn("auto_accept_allowed", F.col("state") == "steady").withColumn("elevated_sampling", F.col("state").isin("ramp", "regression"))
+def cold_start_step(least: int) -> Callable[[str, tuple], tuple[str, None]]:
+    """Evidence (n, calibrated, target_met, alert, recovered) that is null counts as none."""
 
+    def step(state: str, event: tuple) -> tuple[str, None]:
+        n, calibrated, target_met, alert, recovered = event
+        enough = n is not None and n >= least
+        if state == "shadow":
+            return ("ramp" if enough else state), None
+        if state == "ramp":
+            return ("regression" if alert else "steady" if enough and calibrated and target_met else state), None
+        if state == "steady":
+            return ("regression" if alert else state), None
+        return ("ramp" if recovered and enough and not alert else state), None
 
-def next_band(parcels: DataFrame) -> DataFrame:
-    """y centre (0 without a box) and the next parcel's, infinity for the last."""
-    d = parcels.withColumn("center", F.coalesce(F.col("y") + F.col("h") / 2, F.lit(0.0)))
-    return d.withColumn("next_center", F.lead("center", 1, float("inf")).over(W.partitionBy("page_id").orderBy("center", "id")))
+    return step
 
 
-def transitions(events: DataFrame, key: str, init: str, step: Callable[[Column, Column], tuple[Column, Column]], cols: list[str]) -> DataFrame:
-    """Ordered events (ord, ...) on a state text: the state after each and a reason code for refused ones."""
+def cold_start_states(evidence: DataFrame, least: int = 3) -> DataFrame:
+    """State of each scope after its ordered evidence (ord, n, calibrated, target_met, alert, recovered)."""
+    cols = ["n", "calibrated", "target_met", "alert", "recovered"]
+    d = scan(evidence, "scope", ["ord"], cols, Machine("shadow", cold_start_step(least), lambda event: COLD_STATES))
+    last = d.groupBy("scope").agg(F.max_by("state", "ord").alias("state"))
+    return last.withColumn("auto_accept_allowed", F.col("state") == "steady").withColumn("elevated_sampling", F.col("state").isin("ramp", "regression"))
 
-    def fold_step(acc: Column, e: Column) -> Column:
-        state = F.coalesce(F.try_element_at(acc, F.lit(-1))["state"], F.lit(init))
-        new, reason = step(state, e)
-        kept = F.when(reason.isNull(), new).otherwise(state)
-        return F.concat(acc, F.array(F.struct(e["ord"].alias("ord"), kept.alias("state"), reason.alias("reason_code"))))
 
-    ord_type = events.schema["ord"].dataType.simpleString()
-    start = F.array().cast(f"array<struct<ord:{ord_type},state:string,reason_code:string>>")
-    d = fold(events, [key], ["ord"], cols, start, fold_step)
-    return d.select(key, F.explode("folded").alias("x")).select(key, "x.*")
+def next_band(parcels: DataFrame) -> DataFrame:
+    """y centre (0 without a box) and the next parcel's, infinity for the last."""
+    d = parcels.withColumn("center", F.coalesce(F.col("y") + F.col("h") / 2, F.lit(0.0)))
+    return d.withColumn("next_center", F.lead("center", 1, float("inf")).over(W.partitionBy("page_id").orderBy("center", "id")))

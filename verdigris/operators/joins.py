@@ -217,14 +217,58 @@ def block_pairs(rows: DataFrame, block: list[str], carried: list[str]) -> DataFr
     return met.filter("a < b AND (_own_a <> _own_b OR _low = _high)").select(*block, "a", "b", *[f"{c}_{n}" for c in carried for n in "ab"])
 
 
+def candidate_blocks(records: DataFrame, passes: dict[str, list[Column]]) -> DataFrame:
+    """One row per record: id, representative and its blocks (pass, key's digest) with other records in them.
+
+    Records of the same blocks are one class, whose smallest id stands for all. Two
+    records are a candidate pair if they have a block in common, so this says all
+    pairs in one row a record, however hot a key is; `pairs_of` spells them out.
+    Null keys put a record into no block.
+    """
+    text = lambda keys: F.to_json(F.struct(*[k.cast("string").alias(f"c{i}") for i, k in enumerate(keys)]))
+    named = [F.when(_all_set(keys), F.struct(F.lit(name).alias("pass"), F.sha2(text(keys), 256).alias("k"))) for name, keys in passes.items()]
+    each = records.select("id", F.array_compact(F.array(*named)).alias("b"))
+    flat = each.select("id", F.explode("b").alias("b"))
+    shared = flat.groupBy("b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("b")
+    kept = flat.join(shared, "b", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list("b")).alias("blocks"))
+    rows = records.select("id").join(kept, "id", "left").withColumn("blocks", F.coalesce("blocks", F.array().cast(kept.schema["blocks"].dataType)))
+    first = rows.filter(F.size("blocks") > 0).groupBy("blocks").agg(F.min("id").alias("representative"))
+    return rows.join(first, "blocks", "left").select("id", F.coalesce("representative", "id").alias("representative"), "blocks")
+
+
+def pairs_of(blocks: DataFrame) -> DataFrame:
+    """Each candidate pair a < b once with its passes, from `candidate_blocks`.
+
+    A pair belongs to the smallest block that both are in and is made there only, so
+    nothing has to be made distinct afterwards.
+    """
+    d = blocks.select("id", F.explode("blocks").alias("_block"), "blocks")
+    p = block_pairs(d, ["_block"], ["blocks"]).withColumn("_both", F.array_intersect("blocks_a", "blocks_b")).filter(F.col("_block") == F.array_min("_both"))
+    return p.select("a", "b", F.array_join(F.array_sort(F.transform("_both", lambda x: x["pass"])), ",").alias("passes"))
+
+
+def class_pairs(blocks: DataFrame) -> DataFrame:
+    """The same between representatives alone; members of a class of more than one are partners of each other, too."""
+    return pairs_of(blocks.filter(F.col("id") == F.col("representative")))
+
+
+def candidate_counts(blocks: DataFrame) -> DataFrame:
+    """Per record its representative and number of candidate partners, without making a pair.
+
+    Who shares any of a record's blocks is counted by inclusion and exclusion: the
+    records that share all blocks of a set, over all sets of its passes.
+    """
+    sets = F.expr("filter(transform(sequence(1, shiftleft(1, size(blocks)) - 1), m -> filter(blocks, (b, i) -> (shiftright(m, i) & 1) = 1)), s -> size(s) > 0)")
+    each = blocks.filter(F.size("blocks") > 0).select("id", F.explode(sets).alias("s"))
+    n = each.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    signed = F.when(F.size("s") % 2 == 1, F.col("n")).otherwise(-F.col("n"))
+    met = each.join(n, "s").groupBy("id").agg((F.sum(signed) - 1).alias("partners"))
+    return blocks.select("id", "representative").join(met, "id", "left").select("id", "representative", F.coalesce("partners", F.lit(0)).cast("long").alias("partners"))
+
+
 def candidate_pairs(records: DataFrame, passes: dict[str, list[Column]]) -> DataFrame:
     """Pairs that share all keys of a pass, each once with the passes that found it; null keys match nothing."""
-    out = None
-    for name, keys in passes.items():
-        k = records.filter(_all_set(keys)).select("id", F.concat_ws("\1", *keys).alias("_k"))
-        p = block_pairs(k, ["_k"], []).select("a", "b", F.lit(name).alias("pass"))
-        out = p if out is None else out.unionByName(p)
-    return pass_union(out)
+    return pairs_of(candidate_blocks(records, passes))
 
 
 def _all_set(keys: list[Column]) -> Column:
@@ -239,11 +283,66 @@ def pass_union(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_set("pass")), ",").alias("passes"))
 
 
+#: What the rounding of scores to six digits adds to a similarity.
+ROUNDED = 5e-7
+
+
+def person_classes(people: DataFrame, block: list[str], name: str) -> DataFrame:
+    """Equal names of a block: block, name, representative (smallest id) and members; null names and blocks take no part."""
+    keys = [F.col(c) for c in block]
+    return people.filter(_all_set([*keys, F.col(name)])).groupBy(*block, F.col(name).alias("name")).agg(F.min("id").alias("representative"), F.count(F.lit(1)).alias("members"))
+
+
+def rare_grams(classes: DataFrame, block: list[str], threshold: float) -> DataFrame:
+    """Each class with the rarest grams of its name, as many as any name that is similar enough must share one of.
+
+    An edit changes at most q grams, so two names of length n and m >= n within
+    (1 - threshold) m edits share m + q - 1 - q (1 - threshold) m of their grams,
+    counted with repeats. Of two sets with T elements in common, those left when the
+    last T - 1 in a common order are taken away from each share one. Grams are ordered
+    by how many names of the block have them.
+    """
+    loss = 1 - threshold + ROUNDED
+    q = max(1, min(4, int(0.5 / loss)))
+    pad = lambda c: F.lit(c * (q - 1))
+    n = F.length("name")
+    grams = F.transform(F.sequence(F.lit(1), n + q - 1), lambda i: F.substr(F.concat(pad("\x02"), F.col("name"), pad("\x03")), i, F.lit(q)))
+    most = (n + q - F.ceil(n * (1 - q * loss) + q - 1 - 1e-9)).cast("int")
+    rows = classes.filter(n > 0).select(*block, "representative", "name", F.greatest(F.lit(1), most).alias("most"), F.explode(grams).alias("gram"))
+    times = rows.groupBy(*block, "representative", "name", "most", "gram").agg(F.count(F.lit(1)).alias("c"))
+    marked = times.select(*block, "representative", "name", "most", F.explode(F.transform(F.sequence(F.lit(1), F.col("c").cast("int")), lambda k: F.concat_ws("\1", "gram", k.cast("string")))).alias("g"))
+    common = marked.groupBy(*block, "g").agg(F.count(F.lit(1)).alias("f"))
+    found = marked.join(common, [*block, "g"]).groupBy(*block, "representative", "name", "most").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("all"))
+    return found.select(*block, F.col("representative").alias("id"), "name", F.transform(F.slice("all", F.lit(1), F.col("most")), lambda x: x["g"]).alias("grams"))
+
+
 def match_persons(people: DataFrame, block: list[str], name: str, threshold: float) -> DataFrame:
-    """Pairs within a block with their similarity: proposed at or above the threshold, held below; never merged."""
-    d = block_pairs(people.select(*block, "id", F.col(name).alias("_n")), block, ["_n"])
-    score = F.round(1 - F.levenshtein("_n_a", "_n_b") / F.greatest(F.length("_n_a"), F.length("_n_b")), 6)
-    return d.select("a", "b", score.alias("score"), F.when(score >= threshold, "propose").otherwise("hold").alias("decision"))
+    """Proposed pairs (a, b, score) of a block's classes of equal names (see `person_classes`); never merged.
+
+    Names meet by a shared rare gram, at the smallest one that both have among
+    theirs; lengths too far apart drop out, what is left is measured.
+    """
+    loss = 1 - threshold + ROUNDED
+    grams = rare_grams(person_classes(people, block, name), block, threshold)
+    d = grams.select(*block, "id", "name", "grams", F.explode("grams").alias("_gram"))
+    met = block_pairs(d, [*block, "_gram"], ["name", "grams"]).filter(F.col("_gram") == F.array_min(F.array_intersect("grams_a", "grams_b")))
+    longer = F.greatest(F.length("name_a"), F.length("name_b"))
+    near = met.filter(F.abs(F.length("name_a") - F.length("name_b")) <= longer * loss)
+    score = F.round(1 - F.levenshtein("name_a", "name_b") / longer, 6)
+    return near.select("a", "b", score.alias("score")).filter(F.col("score") >= threshold)
+
+
+def person_matches(people: DataFrame, block: list[str], name: str, threshold: float) -> DataFrame:
+    """One row per person: representative, how many others of the block are proposed and how many are held."""
+    classes = person_classes(people, block, name)
+    pairs = match_persons(people, block, name, threshold)
+    ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    size = classes.select(F.col("representative").alias("b"), "members")
+    others = ends.join(size, "b").groupBy(F.col("a").alias("representative")).agg(F.sum("members").alias("_others"))
+    whole = people.groupBy(*block).agg(F.count(F.lit(1)).alias("_whole"))
+    d = people.select(*block, "id", F.col(name).alias("name")).join(classes, [*block, "name"], "left").join(others, "representative", "left").join(whole, block, "left")
+    proposed = F.coalesce(F.col("members") - 1, F.lit(0)) + F.coalesce("_others", F.lit(0))
+    return d.select("id", F.coalesce("representative", "id").alias("representative"), proposed.alias("proposed"), (F.coalesce("_whole", F.lit(1)) - 1 - proposed).alias("held"))
 
 
 def shingle_sets(pages: DataFrame, key: str, shingle: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verdigris.functions.text import edit_distance
-from verdigris.operators.folds import transitions
+from verdigris.operators.ordered import Machine, scan
 from verdigris.operators.projections import OUTCOMES
 
 #: Fixed values.
@@ -48,35 +48,47 @@ def confirm_corrections(confirms: DataFrame, pending: DataFrame) -> DataFrame:
     return d.select("id", "actor", reason.alias("reason_code"), reason.isNull().alias("confirmed"))
 
 
+def conflict_step(state: str, event: tuple) -> tuple[str, str | None]:
+    to, resolution = event
+    if to not in CONFLICT_STATES:
+        return state, "unknown_state"
+    if to == state:
+        return state, "same_state"
+    return (state, "resolution_required") if to == "resolved" and resolution is None else (to, None)
+
+
 def conflict_transitions(events: DataFrame) -> DataFrame:
     """events (id, ord, to, resolution): unknown or same state and resolving without a resolution are refused."""
+    return scan(events, "id", ["ord"], ["to", "resolution"], Machine("open", conflict_step, lambda event: CONFLICT_STATES))
 
-    def step(state: Column, e: Column) -> tuple[Column, Column]:
-        reason = F.when(~F.coalesce(e["to"].isin(*CONFLICT_STATES), F.lit(False)), "unknown_state").when(e["to"] == state, "same_state").when((e["to"] == "resolved") & e["resolution"].isNull(), "resolution_required")
-        return e["to"], reason
 
-    return transitions(events, "id", "open", step, ["to", "resolution"])
+def rescan_step(state: str, event: tuple) -> tuple[str, str | None]:
+    if event[0] == "assign":
+        return ("assigned", None) if state == "open" else (state, "not_open")
+    if event[0] == "close":
+        return ("closed", None) if state != "closed" else (state, "already_closed")
+    return state, None
 
 
 def rescan_lifecycle(events: DataFrame) -> DataFrame:
     """events (id, ord, what): assign only while open, close unless closed."""
+    return scan(events, "id", ["ord"], ["what"], Machine("open", rescan_step, lambda event: ("open", "assigned", "closed")))
 
-    def step(state: Column, e: Column) -> tuple[Column, Column]:
-        reason = F.when((e["what"] == "assign") & (state != "open"), "not_open").when((e["what"] == "close") & (state == "closed"), "already_closed")
-        return F.when(e["what"] == "assign", "assigned").when(e["what"] == "close", "closed").otherwise(state), reason
 
-    return transitions(events, "id", "open", step, ["what"])
+def task_step(state: str, event: tuple) -> tuple[str, str | None]:
+    what, actor = event
+    if state == "closed":
+        return state, "task_closed"
+    if what == "claim":
+        return (f"by:{actor}", None) if state == "free" else (state, "already_claimed")
+    if state != f"by:{actor}":
+        return state, "not_claimant"
+    return ("closed" if what == "submit" else "free"), None
 
 
 def task_lifecycle(events: DataFrame) -> DataFrame:
     """events (id, ord, what, actor): the state is free, closed or the claimant; submit and skip only by them."""
-
-    def step(state: Column, e: Column) -> tuple[Column, Column]:
-        claim, own = e["what"] == "claim", F.concat(F.lit("by:"), e["actor"])
-        reason = F.when(state == "closed", "task_closed").when(claim & (state != "free"), "already_claimed").when(~claim & (state != own), "not_claimant")
-        return F.when(claim, own).when(e["what"] == "submit", "closed").otherwise("free"), reason
-
-    return transitions(events, "id", "free", step, ["what", "actor"])
+    return scan(events, "id", ["ord"], ["what", "actor"], Machine("free", task_step, lambda event: ("free", "closed", f"by:{event[1]}")))
 
 
 def pin_envelopes(pages: DataFrame, pinned: DataFrame) -> DataFrame:

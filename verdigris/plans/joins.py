@@ -274,19 +274,38 @@ def joi17(spark, sf):
     return J.candidate_pairs(people(spark, sf), passes())
 
 
+@query("JOI17_candidate_counts", PASSES + """,
+e as (select distinct a, b from p), n as (select id, count(*) as partners from (select a as id from e union all select b from e) group by 1)
+select c.id, coalesce(partners, 0) as partners from c left join n using (id)""")
+def joi17_counts(spark, sf):
+    return J.candidate_counts(J.candidate_blocks(people(spark, sf), passes())).select("id", "partners")
+
+
 @query("SET5_pass_union", PASSES + "select passes, count(*) as n from (select a, b, string_agg(distinct pass, ',' order by pass) as passes from p group by 1, 2) group by 1")
 def set5(spark, sf):
     return J.candidate_pairs(people(spark, sf), passes()).groupBy("passes").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("JOI18_match_persons", """
-with c as (select c_custkey as id, c_nationkey as village, c_mktsegment as seg, c_name as name from customer)
-select a.id as a, b.id as b, round(1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)), 6) as score,
- case when round(1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)), 6) >= 0.9 then 'propose' else 'hold' end as decision
-from c a join c b using (village, seg) where a.id < b.id""")
+PERSONS = """
+with c as (select c_custkey as id, c_nationkey as village, c_mktsegment as seg, c_name as name from customer),
+p as (select a.id as a, b.id as b, round(1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)), 6) as score from c a join c b using (village, seg) where a.id < b.id)
+"""
+
+
+def persons(spark, sf):
+    return table(spark, sf, "customer").selectExpr("c_custkey as id", "c_nationkey as village", "c_mktsegment as seg", "c_name as name")
+
+
+@query("JOI18_match_persons", PERSONS + "select a, b, score from p where score >= 0.9")
 def joi18(spark, sf):
-    c = table(spark, sf, "customer").selectExpr("c_custkey as id", "c_nationkey as village", "c_mktsegment as seg", "c_name as name")
-    return J.match_persons(c, ["village", "seg"], "name", 0.9)
+    return J.match_persons(persons(spark, sf), ["village", "seg"], "name", 0.9)
+
+
+@query("JOI18_person_matches", PERSONS + """,
+e as (select a as id, score from p union all select b, score from p)
+select c.id, c.id as representative, count(score) filter (score >= 0.9) as proposed, count(score) filter (score < 0.9) as held from c left join e using (id) group by 1""")
+def joi18b(spark, sf):
+    return J.person_matches(persons(spark, sf), ["village", "seg"], "name", 0.9)
 
 
 @query("JOI19_rescan_candidates", """
