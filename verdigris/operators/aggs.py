@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from verdigris.operators.projections import OUTCOMES
 
@@ -24,11 +28,21 @@ def page_activity(audit: DataFrame, district: str | None = None, since=None, unt
     return d.groupBy(F.coalesce("district", F.lit("")).alias("district"), F.to_date("at").alias("day")).agg(*[F.count_if(F.col("action") == a).alias(n) for n, a in ACTIONS.items()])
 
 
+def run_gaps(numbers: Column) -> Column:
+    """The gaps between sorted distinct numbers as runs (first, last): as many as there are numbers, however wide they are."""
+    pairs = F.zip_with(F.slice(numbers, 1, F.greatest(F.size(numbers) - 1, F.lit(0))), F.slice(numbers, 2, F.greatest(F.size(numbers) - 1, F.lit(0))), lambda a, b: F.struct((a + 1).alias("first"), (b - 1).alias("last")))
+    return F.filter(pairs, lambda r: r["first"] <= r["last"])
+
+
+def numbers_of(runs: Column) -> Column:
+    """Runs spelled out; only for runs of a known width."""
+    return F.flatten(F.transform(runs, lambda r: F.sequence(r["first"], r["last"])))
+
+
 def volume_completeness(pages: DataFrame, acknowledged: DataFrame | None = None) -> DataFrame:
-    """pages (batch_id, position): observed (duplicates kept), gaps and state; an acknowledged batch stays so."""
+    """pages (batch_id, position): observed (duplicates kept), gaps as runs (first, last) and state; an acknowledged batch stays so."""
     g = pages.groupBy("batch_id").agg(F.array_sort(F.collect_list("position")).alias("observed"))
-    lo, hi = F.array_min("observed"), F.array_max("observed")
-    g = g.withColumn("gaps", F.when(F.size("observed") > 0, F.array_except(F.sequence(lo, hi), "observed")).otherwise(F.array().cast("array<int>")))
+    g = g.withColumn("gaps", run_gaps(F.array_distinct("observed")))
     state = F.when(F.size("observed") == 0, "pending").when(F.size("gaps") > 0, "gap_detected").otherwise("complete")
     g = g.withColumn("state", state)
     if acknowledged is not None:
@@ -63,6 +77,10 @@ def stratum_counts(df: DataFrame, least: int, by: str = "stratum") -> DataFrame:
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).withColumn("own_model", F.col("n") >= least)
 
 
+#: Missing pages of one gap that a record's rationale names one by one.
+SPELLED = 1000
+
+
 def assemble_records(extractions: DataFrame) -> DataFrame:
     """Rows (record_id, page_index, ord, id, field_name, value): fields, conflicts, ids, missing pages, strategy.
 
@@ -86,9 +104,12 @@ def assemble_records(extractions: DataFrame) -> DataFrame:
         F.array_distinct(F.transform("rows", lambda x: x["page_index"])).alias("pages"),
         F.array_distinct(F.transform("rows", lambda x: x["id"])).alias("ids"),
     ).withColumn("pages", F.filter("pages", lambda p: p.isNotNull()))
-    d = d.withColumn("missing", F.array_except(F.sequence(F.array_min("pages"), F.array_max("pages")), "pages"))
+    d = d.withColumn("missing", run_gaps(F.array_sort("pages")))
+    page = lambda m: F.concat(F.lit("[MISSING_PAGE_GAP] page "), m.cast("string"))
+    # A line a page for narrow gaps, one for all of a wide one.
+    spelled = lambda m: F.when(m["last"] - m["first"] < SPELLED, F.transform(F.sequence(m["first"], F.least(m["last"], m["first"] + SPELLED)), page)).otherwise(F.array(F.concat(page(m["first"]), F.lit(" to "), m["last"].cast("string"))))
     lines = F.concat(
-        F.transform("missing", lambda m: F.concat(F.lit("[MISSING_PAGE_GAP] page "), m.cast("string"))),
+        F.flatten(F.transform("missing", spelled)),
         F.transform(F.filter("fields", lambda f: f["conflicting"]), lambda f: F.concat(F.lit("[CONFLICT] "), f["field_name"])),
         F.transform(F.filter("fields", lambda f: f["duplicate"]), lambda f: F.concat(F.lit("[DUPLICATE] "), f["field_name"])),
     )
@@ -130,13 +151,33 @@ def ulpin_eligible(parcels: DataFrame, fits: DataFrame, most: float = 1.5) -> Da
     return d.select("page_id", "polygon_id", F.coalesce(F.col("rmse") <= most, F.lit(False)).alias("eligible"))
 
 
+@F.pandas_udf(IntegerType())
+def _against_one(parts: pd.Series) -> pd.Series:
+    """Sign of a sum of fractions less one, whatever the denominators; parts: (n, d) as text, one a denominator."""
+    sums = (sum((Fraction(int(p["n"]), int(p["d"])) for p in row), Fraction(-1)) for row in parts)
+    return pd.Series([(s > 0) - (s < 0) for s in sums], dtype="int32")
+
+
 def share_sum_validate(shares: DataFrame) -> DataFrame:
-    """Exact sum of fractions (record_id, n, d): over one blocks, under one is only flagged."""
-    whole = F.aggregate(F.collect_set("d"), F.lit(1).cast("decimal(38,0)"), lambda s, x: (s * x).cast("decimal(38,0)"))
-    common = shares.filter("d > 0").groupBy("record_id").agg(whole.alias("den"))
-    total = shares.join(common, "record_id", "left").groupBy("record_id").agg(F.sum(F.when(F.col("d") > 0, F.col("n").cast("decimal(38,0)") * F.expr("den div d"))).cast("decimal(38,0)").alias("num"), F.max("den").alias("den"), F.bool_or(F.col("d").isNull() | (F.col("d") <= 0)).alias("bad"))
-    code = F.when(F.col("bad"), "SHARE_UNPARSEABLE").when(F.col("num") > F.col("den"), "SHARE_OVERSUM").when(F.col("num") < F.col("den"), "SHARE_UNDERSUM")
-    return total.select("record_id", code.alias("reason_code"), F.when(F.col("bad") | (F.col("num") > F.col("den")), "fail").otherwise("pass").alias("verdict"))
+    """Exact sum of fractions (record_id, n, d): over one blocks, under one is only flagged.
+
+    Shares of equal denominators are added first. Where the product of a record's
+    denominators and its shares fit a decimal, they decide; other records, those of
+    dozens of different denominators, are added up as whole fractions.
+    """
+    whole = "decimal(38,0)"
+    each = shares.groupBy("record_id", F.when(F.col("d") > 0, F.col("d")).alias("d")).agg(F.sum(F.col("n").cast(whole)).cast(whole).alias("n"))
+    parts = each.groupBy("record_id").agg(F.collect_list(F.when(F.col("d").isNotNull(), F.struct(F.coalesce("n", F.lit(0)).cast("string").alias("n"), F.col("d").cast("string").alias("d")))).alias("parts"), F.bool_or(F.col("d").isNull()).alias("bad"))
+    size = F.aggregate("parts", F.lit(0.0), lambda s, p: s + F.length(p["d"])) + F.coalesce(F.array_max(F.transform("parts", lambda p: F.length(p["n"]))), F.lit(0)) + F.length(F.size("parts").cast("string"))
+    fits = parts.withColumn("_fits", size <= 36)
+    den = F.aggregate("parts", F.lit(1).cast(whole), lambda s, p: (s * p["d"].cast(whole)).cast(whole))
+    small = fits.filter("_fits").withColumn("den", den)
+    num = F.expr("aggregate(parts, cast(0 as decimal(38,0)), (s, p) -> cast(s + cast(p.n as decimal(38,0)) * cast(den div cast(p.d as decimal(38,0)) as decimal(38,0)) as decimal(38,0)))")
+    small = small.withColumn("sign", F.signum(num - F.col("den")).cast("int")).select("record_id", "bad", "sign")
+    large = fits.filter("NOT _fits").select("record_id", "bad", _against_one("parts").alias("sign"))
+    d = small.unionByName(large)
+    code = F.when(F.col("bad"), "SHARE_UNPARSEABLE").when(F.col("sign") > 0, "SHARE_OVERSUM").when(F.col("sign") < 0, "SHARE_UNDERSUM")
+    return d.select("record_id", code.alias("reason_code"), F.when(F.col("bad") | (F.col("sign") > 0), "fail").otherwise("pass").alias("verdict"))
 
 
 def backlog(outbox: DataFrame, ceiling: int = 10_000, by: str | None = None) -> DataFrame:
@@ -231,7 +272,7 @@ def cells_to_tokens(grid: DataFrame) -> DataFrame:
 
 
 def missing_pages(pages: DataFrame) -> DataFrame:
-    """Indices skipped between consecutive pages of a record."""
+    """Indices skipped between consecutive pages of a record, as runs (record_id, first, last)."""
     w = W.partitionBy("record_id").orderBy("page_index")
     d = pages.select("record_id", "page_index").distinct().withColumn("prev", F.lag("page_index").over(w)).filter("page_index > prev + 1")
-    return d.select("record_id", F.explode(F.expr("sequence(prev + 1, page_index - 1)")).alias("missing"))
+    return d.select("record_id", (F.col("prev") + 1).alias("first"), (F.col("page_index") - 1).alias("last"))

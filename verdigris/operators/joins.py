@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verdigris.functions.geometry import inside, segment_hits_box, to_ring_distance
+from verdigris.operators.spatial import boxed, boxes_meeting, points_in_boxes
 
 BLOCKING = ("open", "under_enquiry", "referred")
 GENERAL_SALTS = 16
@@ -109,36 +110,48 @@ def leakage(train: DataFrame, exclusion: DataFrame, key: str) -> DataFrame:
 def bind_labels(polygons: DataFrame, labels: DataFrame, far: float = 50.0, by: tuple[str, ...] = ()) -> DataFrame:
     """Labels to polygons: inside or on the edge first, else within `far`; ambiguous cases are marked.
 
-    `by`: columns that both must share (a page, if each has a plane of its own).
+    `by`: columns that both must share (a page, if each has a plane of its own). A
+    polygon is known by them and its polygon_id, a label by them and its label_id.
 
-    A polygon is dealt to the cells of a grid that its box, grown by `far`, touches:
-    of the grid whose cells are about a quarter of that box, so a wide box has 25
-    cells at most. A label is dealt to its cell in each grid in use. Only ids, boxes
-    and points go through the join by cell; pairs that pass the test of boxes get
-    their ring back by the polygon's id, and are measured once.
+    Only ids, boxes and points go through the join by cell (`spatial`); pairs that
+    pass the test of boxes get their ring back and are measured once.
     """
+    by = list(by)
+    key = [*by, "polygon_id"]
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    box = polygons.select("polygon_id", *by, (F.array_min(xs) - far).alias("x0"), (F.array_max(xs) + far).alias("x1"), (F.array_min(ys) - far).alias("y0"), (F.array_max(ys) + far).alias("y1"))
-    wide = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    box = box.filter("x0 IS NOT NULL AND y0 IS NOT NULL").withColumn("grid", F.greatest(F.lit(0), F.ceil(F.log2(wide / (4 * far)))).cast("int"))
-    cell = lambda c: F.floor(c / (far * F.pow(F.lit(2.0), F.col("grid")))).cast("long")
-    span = lambda a, b: F.explode(F.sequence(cell(F.col(a)), cell(F.col(b))))
-    p = box.withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1"))
-    grids = [r["grid"] for r in box.select("grid").distinct().collect()]  # some dozen at most: powers of two
-    q = labels.withColumn("grid", F.explode(F.array(*map(F.lit, grids)).cast("array<int>"))).withColumn("cx", cell(F.col("x"))).withColumn("cy", cell(F.col("y")))
-    near = p.join(q, [*by, "grid", "cx", "cy"]).filter("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1").select("polygon_id", *labels.columns)
-    rings = polygons.select("polygon_id", "ring")
+    box = boxed(polygons.select(*key, F.array_min(xs).alias("_l"), F.array_max(xs).alias("_r"), F.array_min(ys).alias("_b"), F.array_max(ys).alias("_t")), F.col("_l") - far, F.col("_r") + far, F.col("_b") - far, F.col("_t") + far, 4 * far).drop("_l", "_r", "_b", "_t")
+    near = points_in_boxes(labels, box, by, "x", "y", 4 * far).select(*key, *[c for c in labels.columns if c not in by])
     away = to_ring_distance(F.col("ring"), F.col("x"), F.col("y"))
     seen = F.transform(F.array(away), lambda d: F.struct((inside(F.col("ring"), F.col("x"), F.col("y")) | (d == 0)).alias("inside"), d.alias("dist")))
     held = F.explode(F.filter(seen, lambda m: m["inside"] | (m["dist"] <= far)))  # a generator, so that no filter works it out again
-    met = near.join(rings, "polygon_id").select("polygon_id", *labels.columns, held.alias("m")).select("polygon_id", *labels.columns, F.col("m.inside").alias("inside"), F.when(F.col("m.inside"), 0.0).otherwise(F.col("m.dist")).alias("dist"))
-    best = met.withColumn("_any", F.max("inside").over(W.partitionBy("polygon_id"))).filter(F.col("inside") | ~F.col("_any"))
-    chosen = best.groupBy("polygon_id").agg(F.count_distinct("text").alias("texts"), F.min(F.struct("dist", "label_id", "text")).alias("c"), F.bool_or("inside").alias("is_inside"))
-    fits = met.groupBy("label_id").agg(F.count_distinct("polygon_id").alias("fits"))
-    d = chosen.select("polygon_id", "texts", "is_inside", F.col("c.label_id").alias("label_id"), F.col("c.text").alias("text")).join(fits, "label_id")
-    out = polygons.select("polygon_id").join(d, "polygon_id", "left")
+    met = near.join(polygons.select(*key, "ring"), key).select(*key, "label_id", "text", held.alias("m")).select(*key, "label_id", "text", F.col("m.inside").alias("inside"), F.when(F.col("m.inside"), 0.0).otherwise(F.col("m.dist")).alias("dist"))
+    # Both choices of a polygon in one pass: among labels inside, and among all.
+    choice = lambda c: F.struct(F.count_distinct(F.when(c, F.col("text"))).alias("texts"), F.min(F.when(c, F.struct("dist", "label_id", "text"))).alias("c"))
+    chosen = met.groupBy(*key).agg(F.bool_or("inside").alias("any"), choice(F.col("inside")).alias("within"), choice(F.lit(True)).alias("near"))
+    chosen = chosen.select(*key, F.when(F.col("any"), F.col("within")).otherwise(F.col("near")).alias("best")).select(*key, "best.texts", "best.c.label_id", "best.c.text")
+    fits = met.groupBy(*by, "label_id").agg(F.count_distinct("polygon_id").alias("fits"))
+    out = polygons.select(*key).join(chosen.join(fits, [*by, "label_id"]), key, "left")
     status = F.when(F.col("label_id").isNull(), "unbound").when((F.col("texts") > 1) | (F.col("fits") > 1), "ambiguous").otherwise("bound")
-    return out.select("polygon_id", "label_id", "text", status.alias("status"))
+    return out.select(*key, "label_id", "text", status.alias("status"))
+
+
+def in_bands(bands: DataFrame, rows: DataFrame, overlap: float) -> DataFrame:
+    """Rows (page_id, _y, row) with the bands (page_id, id, y) of their page that hold them.
+
+    A band goes from `overlap` before its y to the next one's y. So a row is in the last
+    band that starts at or before it, found by a running window, and in those that
+    start at most `overlap` after it, found by bins of that width.
+    """
+    marks = bands.select("page_id", F.col("y").alias("_y"), F.col("id").alias("_id"), F.lit(0).alias("_kind"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"))
+    asked = rows.select("page_id", "_y", F.lit(None).cast(marks.schema["_id"].dataType).alias("_id"), F.lit(1).alias("_kind"), "row")
+    before = W.partitionBy("page_id").orderBy("_y", "_kind", "_id").rowsBetween(W.unboundedPreceding, 0)
+    last = F.last("_id", ignorenulls=True).over(before)
+    first = marks.unionByName(asked).withColumn("id", last).filter("_kind = 1 AND id IS NOT NULL").select("page_id", "id", "row")
+    if overlap <= 0:
+        return first
+    number = lambda c: F.floor(c / overlap).cast("long")
+    later = rows.withColumn("_bin", F.explode(F.array(number(F.col("_y")), number(F.col("_y")) + 1))).join(bands.select("page_id", "id", "y", number(F.col("y")).alias("_bin")), ["page_id", "_bin"])
+    return first.unionByName(later.filter((F.col("y") > F.col("_y")) & (F.col("_y") >= F.col("y") - overlap)).select("page_id", "id", "row"))
 
 
 def bind_rows_by_band(parcels: DataFrame, owners: DataFrame, shares: DataFrame, overlap: float = 20.0) -> DataFrame:
@@ -146,17 +159,18 @@ def bind_rows_by_band(parcels: DataFrame, owners: DataFrame, shares: DataFrame,
 
     Pages with one parcel and one owner at most are bound as a whole.
     """
-    w = W.partitionBy("page_id").orderBy("y", "id")
-    p = parcels.withColumn("_next", F.lead("y", 1, float("inf")).over(w)).withColumn("_first", F.min("y").over(W.partitionBy("page_id")))
     n = parcels.groupBy("page_id").agg(F.count(F.lit(1)).alias("_np"))
     m = owners.groupBy("page_id").agg(F.count(F.lit(1)).alias("_no"))
-    pages = n.join(m, "page_id", "full").select("page_id", F.coalesce("_np", F.lit(0)).alias("_np"), F.coalesce("_no", F.lit(0)).alias("_no"))
-    p = p.join(pages, "page_id").withColumn("_single", (F.col("_np") <= 1) & (F.col("_no") <= 1))
-    slim = lambda d, k: d.select("page_id", F.struct("y", "id", "confidence").alias(k))
-    o, s = slim(owners, "o"), slim(shares, "s")
-    in_band = lambda k: F.col("_single") | ((F.col(f"{k}.y") >= F.col("y") - overlap) & (F.col(f"{k}.y") < F.col("_next")))
-    po = p.join(o, "page_id", "left").filter(F.col("o").isNotNull() & in_band("o")).groupBy("page_id", "id").agg(F.array_sort(F.collect_list("o")).alias("owners"))
-    ps = p.join(s, "page_id", "left").filter(F.col("s").isNotNull() & in_band("s")).groupBy("page_id", "id").agg(F.min("s").alias("share"))
+    pages = n.join(m, "page_id", "left").select("page_id", ((F.col("_np") <= 1) & (F.coalesce("_no", F.lit(0)) <= 1)).alias("_single"))
+    p = parcels.join(pages, "page_id")
+    alone, banded = p.filter("_single").select("page_id", "id"), p.filter("NOT _single").select("page_id", "id", "y")
+
+    def held(side: DataFrame) -> DataFrame:
+        rows = side.select("page_id", F.col("y").alias("_y"), F.struct("y", "id", "confidence").alias("row"))
+        return in_bands(banded, rows, overlap).unionByName(alone.join(rows, "page_id").select("page_id", "id", "row"))
+
+    po = held(owners).groupBy("page_id", "id").agg(F.array_sort(F.collect_list("row")).alias("owners"))
+    ps = held(shares).groupBy("page_id", "id").agg(F.min("row").alias("share"))
     d = p.join(po, ["page_id", "id"], "left").join(ps, ["page_id", "id"], "left").withColumn("owners", F.coalesce("owners", F.array().cast(po.schema["owners"].dataType)))
     size = F.size("owners")
     unsure = (size == 0) | (~F.col("_single") & (size > 2) & F.col("share").isNull())
@@ -174,16 +188,30 @@ def owners_above(parcels: DataFrame, owners: DataFrame, overlap: float = 20.0) -
 
 
 def nearest_within(owners: DataFrame, relations: DataFrame, far: float = 50.0) -> DataFrame:
-    """The relation label nearest in y, strictly under `far`, the first on ties."""
-    r = relations.select("page_id", F.col("id").alias("_rid"), F.col("y").alias("_ry"))
-    d = owners.join(r, "page_id").withColumn("dist", F.abs(F.col("y") - F.col("_ry"))).filter(F.col("dist") < far)
-    return d.groupBy("page_id", "id").agg(F.min_by("_rid", F.struct("dist", "_rid")).alias("relation_id"))
+    """The relation label nearest in y, strictly under `far`, the first on ties.
+
+    A page's labels and owners are sorted by y; the nearest is the last before or the
+    first after, so nothing is paired.
+    """
+    r = relations.filter("y IS NOT NULL").groupBy("page_id", F.col("y").alias("_y")).agg(F.min("id").alias("_rid"))
+    marks = r.select("page_id", "_y", F.lit(0).alias("_kind"), F.struct("_y", "_rid").alias("_r"), F.lit(None).cast(owners.schema["id"].dataType).alias("id"))
+    asked = owners.filter("y IS NOT NULL").select("page_id", F.col("y").alias("_y"), F.lit(1).alias("_kind"), F.lit(None).cast(marks.schema["_r"].dataType).alias("_r"), "id")
+    both = marks.unionByName(asked)
+    seen = lambda order: F.last("_r", ignorenulls=True).over(W.partitionBy("page_id").orderBy(order, "_kind").rowsBetween(W.unboundedPreceding, 0))
+    d = both.withColumn("_up", seen(F.asc("_y"))).withColumn("_down", seen(F.desc("_y"))).filter("_kind = 1")
+    away = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("_y") - F.col(f"{c}._y")).alias("dist"), F.col(f"{c}._rid").alias("rid")))
+    near = d.withColumn("_best", F.least(away("_up"), away("_down"))).filter(F.col("_best.dist") < far)
+    return near.groupBy("page_id", "id").agg(F.min("_best")["rid"].alias("relation_id"))
 
 
 def strikethrough(values: DataFrame, strokes: DataFrame, buffer: float = 4.0) -> DataFrame:
-    """values (page_id, id, x, y, w, h, status), strokes (page_id, stroke_id, x1..y2)."""
-    box = (F.least("x1", "x2") <= F.col("x") + F.col("w") + buffer) & (F.greatest("x1", "x2") >= F.col("x") - buffer) & (F.least("y1", "y2") <= F.col("y") + F.col("h") + buffer) & (F.greatest("y1", "y2") >= F.col("y") - buffer)
-    met = values.join(strokes, "page_id").filter(box)
+    """values (page_id, id, x, y, w, h, status), strokes (page_id, stroke_id, x1..y2).
+
+    Strokes meet the boxes, grown by `buffer`, that their own box touches.
+    """
+    boxes = boxed(values.drop("status"), F.col("x") - buffer, F.col("x") + F.col("w") + buffer, F.col("y") - buffer, F.col("y") + F.col("h") + buffer, CELL)
+    lines = boxed(strokes.select("page_id", "stroke_id", "x1", "y1", "x2", "y2"), F.least("x1", "x2"), F.greatest("x1", "x2"), F.least("y1", "y2"), F.greatest("y1", "y2"), CELL)
+    met = boxes_meeting(boxes, lines, ["page_id"], CELL)
     met = met.withColumn("hit", segment_hits_box(0.0)).withColumn("near", segment_hits_box(buffer)).filter("near")
     g = met.groupBy("page_id", "id").agg(F.bool_or("hit").alias("hit"), F.array_join(F.transform(F.array_sort(F.collect_set("stroke_id")), lambda s: s.cast("string")), ",").alias("strokes"))
     d = values.join(g, ["page_id", "id"], "left")
@@ -191,10 +219,15 @@ def strikethrough(values: DataFrame, strokes: DataFrame, buffer: float = 4.0) ->
     return d.select("page_id", "id", status.alias("status"), F.coalesce(~F.col("hit"), F.lit(False)).alias("ambiguous"), F.coalesce("strokes", F.lit("")).alias("strokes"))
 
 
+#: Side of the smallest cells, in pixels.
+CELL = 64.0
+
+
 def assign_tokens_to_cells(tokens: DataFrame, cells: DataFrame) -> DataFrame:
     """First cell in row-major order that holds the token's probe point; texts by (y, x), mean confidence."""
     px, py = F.col("x") + F.least(F.lit(5.0), F.col("w") / 2), F.col("y") + F.least(F.lit(5.0), F.col("h") / 2)
-    d = tokens.withColumn("_px", px).withColumn("_py", py).join(cells, "page_id").filter("_px >= x0 AND _px < x1 AND _py >= y0 AND _py < y1")
+    boxes = boxed(cells.select("page_id", "row", "col", "x0", "x1", "y0", "y1"), *(F.col(c) for c in ("x0", "x1", "y0", "y1")), CELL)
+    d = points_in_boxes(tokens.withColumn("_px", px).withColumn("_py", py), boxes, ["page_id"], "_px", "_py", CELL).filter("_px < x1 AND _py < y1")
     first = d.groupBy("page_id", "token_id", "x", "y", "text", "confidence").agg(F.min(F.struct("row", "col")).alias("c"))
     words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "token_id", "text"))), lambda t: t["text"]), " ")
     return first.groupBy("page_id", F.col("c.row").alias("row"), F.col("c.col").alias("col")).agg(words.alias("text"), F.round(F.avg("confidence"), 4).alias("confidence"))

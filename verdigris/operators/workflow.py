@@ -180,6 +180,6 @@ def map_lane(polygons: DataFrame, labels: DataFrame, fits: DataFrame, most: floa
     d = d.select("*", once(F.when(F.col("m").isNull(), "not_georeferenced").otherwise(invalid_reason(F.col("ring")))).alias("invalid"))
     placed = labels.join(m.filter("m IS NOT NULL"), "page_id").select("page_id", "label_id", "text", *point(F.col("x"), F.col("y")))
     bound = bind_labels(d.filter("invalid IS NULL").select("page_id", "polygon_id", "ring"), placed, by=("page_id",)).withColumnRenamed("status", "label_status")
-    d = d.join(bound, "polygon_id", "left").withColumn("area", F.when(F.col("invalid").isNull(), polygon_area(F.col("ring"), F.col("crs"))).otherwise("0.00"))
+    d = d.join(bound, ["page_id", "polygon_id"], "left").withColumn("area", F.when(F.col("invalid").isNull(), polygon_area(F.col("ring"), F.col("crs"))).otherwise("0.00"))
     e = ulpin_eligible(d, fits, most)
-    return d.join(e.select("polygon_id", "eligible"), "polygon_id", "left").select("page_id", "polygon_id", "invalid", F.coalesce("label_status", F.lit("unbound")).alias("label_status"), "label_id", "text", "area", F.coalesce("eligible", F.lit(False)).alias("eligible"))
+    return d.join(e, ["page_id", "polygon_id"], "left").select("page_id", "polygon_id", "invalid", F.coalesce("label_status", F.lit("unbound")).alias("label_status"), "label_id", "text", "area", F.coalesce("eligible", F.lit(False)).alias("eligible"))

@@ -33,12 +33,12 @@ e as (select batch_id, observed, list_filter(range(list_min(observed), list_max(
 @query("AGG2_volume_completeness", f"with {COMPLETE} select batch_id, array_to_string(observed, ',') as observed, array_to_string(gaps, ',') as gaps, case when batch_id % 13 = 0 then 'acknowledged' when len(gaps) > 0 then 'gap_detected' else 'complete' end as state from e")
 def agg2(spark, sf):
     p = positions(spark, sf)
-    return A.volume_completeness(p, p.filter("batch_id % 13 = 0")).withColumn("observed", F.array_join(F.col("observed").cast("array<string>"), ",")).withColumn("gaps", F.array_join(F.col("gaps").cast("array<string>"), ","))
+    return A.volume_completeness(p, p.filter("batch_id % 13 = 0")).withColumn("observed", F.array_join(F.col("observed").cast("array<string>"), ",")).withColumn("gaps", F.array_join(A.numbers_of(F.col("gaps")).cast("array<string>"), ","))
 
 
 @query("SET3_gaps", f"with {COMPLETE} select batch_id, unnest(gaps)::int as gap from e")
 def set3(spark, sf):
-    return A.volume_completeness(positions(spark, sf)).select("batch_id", F.explode("gaps").alias("gap"))
+    return A.volume_completeness(positions(spark, sf)).select("batch_id", F.explode(A.numbers_of(F.col("gaps"))).alias("gap"))
 
 
 @query("AGG3_page_terminal", """
@@ -86,7 +86,7 @@ select record_id, fields, ids, array_to_string(missing, ',') as missing, case wh
 from m join r using (record_id)""")
 def agg7(spark, sf):
     d = A.assemble_records(members(spark, sf))
-    return d.select("record_id", F.array_join(F.transform("fields", lambda f: F.concat(f["field_name"], F.lit("="), F.array_join(f["values"], "|"))), ";").alias("fields"), F.array_join("ids", ",").alias("ids"), F.array_join(F.col("missing").cast("array<string>"), ",").alias("missing"), "strategy", "rationale")
+    return d.select("record_id", F.array_join(F.transform("fields", lambda f: F.concat(f["field_name"], F.lit("="), F.array_join(f["values"], "|"))), ";").alias("fields"), F.array_join("ids", ",").alias("ids"), F.array_join(A.numbers_of(F.col("missing")).cast("array<string>"), ",").alias("missing"), "strategy", "rationale")
 
 
 @query("AGG8_binding_confidence", "select page_id, round(avg(confidence) + 1e-9, 2) as confidence from v_token group by 1")
@@ -200,4 +200,5 @@ def agg23(spark, sf):
 
 @query("WIN14_missing_pages", f"with {COMPLETE} select batch_id as record_id, unnest(gaps)::int as missing from e")
 def win14(spark, sf):
-    return A.missing_pages(positions(spark, sf).select(F.col("batch_id").alias("record_id"), F.col("position").alias("page_index")))
+    runs = A.missing_pages(positions(spark, sf).select(F.col("batch_id").alias("record_id"), F.col("position").alias("page_index")))
+    return runs.select("record_id", F.explode(F.sequence("first", "last")).alias("missing"))
