@@ -22,6 +22,9 @@ original vectors in double precision.
 Vectors that are null, zero or hold null or non-finite components, and rows with
 a null vec_id, take no part. Vectors whose length isn't the most frequent one in
 the table take no part either. Repeated rows (equal id and vector) count once.
+Equal scores: the smaller vec_id comes first. How many lists a query visits is set by
+where the neighbours of sampled vectors stand in the order of all lists, without a
+limit: vectors without clusters need most of the lists.
 Fewer candidates than k: all are returned, since a query that has less than it
 asks for goes on until it has seen all lists. Extra columns are not read; an
 empty table gives an empty one.
@@ -119,6 +122,25 @@ class Space:
         return out
 
 
+    def ranks(self, y: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """Where lists (a row a query) stand in their query's order, from 0; no order is spelled out for it."""
+        c, f, size = lists // len(self.fine), lists % len(self.fine), len(self.fine)
+        far = self.to_coarse(y)
+        place = np.empty_like(far, np.int64)
+        cells = far.argsort(1, kind="stable")
+        np.put_along_axis(place, cells, np.arange(far.shape[1])[None, :], 1)
+        out = np.take_along_axis(place, c, 1) * size + f
+        if size == 1:
+            return out
+        for i, row in enumerate(cells):
+            d = ((self.coarse[row[: self.wide], None, :] + self.fine[None] - y[i]) ** 2).sum(2).ravel()
+            near = np.empty(len(d), np.int64)
+            near[d.argsort(kind="stable")] = np.arange(len(d))
+            ranked = out[i] < len(d)
+            out[i, ranked] = near[out[i, ranked]]
+        return out
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.values[column.offsets[0].as_py() : column.offsets[-1].as_py()].to_numpy(zero_copy_only=False).reshape(-1, dim) if len(column) else np.empty((0, dim))
 
@@ -171,14 +193,9 @@ def visits_for(space: Space, sample: np.ndarray, k: int, recall: float, tries: i
     """Lists to visit for the recall asked for: on the sample, how far down a query's lists its nearest stand."""
     own = space.own(space.rotated(sample))
     q = sample[:: max(1, len(sample) // tries)][:tries]
-    most = min(space.lists, space.wide * len(space.fine))
     top = np.argsort(-(q @ sample.T), 1)[:, 1 : k + 1]
-    ranks = []
-    for order, near in zip(space.order(space.rotated(q, query=True), most), top, strict=True):
-        place = {c: i for i, c in enumerate(order.tolist())}
-        ranks += [place.get(c, most - 1) for c in own[near].tolist()]
-    ranks.sort()
-    return ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))] + 1 if ranks else 1
+    ranks = np.sort(space.ranks(space.rotated(q, query=True), own[top]).ravel())
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1 if len(ranks) else 1
 
 
 def index(distinct: DataFrame, space: Space) -> DataFrame:
