@@ -269,10 +269,10 @@ r as (select stratum, x, y from o where stratum in (select stratum from o group
 t as (select stratum, 0 as step, list_transform(range(10), lambda v: 0.0::double) as w, 0.0::double as b from (select distinct stratum from r)
  union all select stratum, step + 1, [{GRADIENT}], b - 0.5 * sum(p - y) / count(*)
  from (select t.stratum, t.step, t.w, t.b, r.x, r.y, 1 / (1 + exp(-greatest(-50, least(50, list_inner_product(t.w, r.x) + t.b)))) as p from t join r on r.stratum = t.stratum where t.step < 150) group by stratum, step, w, b)
-select stratum, round(b, 6) as b, list_transform(w, lambda v: round(v, 6)) as w from t where step = 150""")
+select stratum, round(b, 6) as b, array_to_string(list_transform(w, lambda v: round(v * 1000000)::bigint), ',') as w from t where step = 150""")
 def job8(spark, sf):
     d = S.numeric_features(scored(spark, sf)).filter("is_correct IS NOT NULL").select("stratum", "x", F.col("is_correct").cast("double").alias("y"))
-    return S.train_calibrators(d, 5).select("stratum", F.round("b", 6).alias("b"), F.transform("w", lambda v: F.round(v, 6)).alias("w"))
+    return S.train_calibrators(d, 5).select("stratum", F.round("b", 6).alias("b"), F.array_join(F.transform("w", lambda v: F.round(v * 1_000_000).cast("long").cast("string")), ",").alias("w"))
 
 
 @query("JOB9_score_fields", f"""
