@@ -26,8 +26,9 @@ columns that clash with the result's are replaced.
 from __future__ import annotations
 
 import html
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -282,6 +283,27 @@ class Page:
         return out
 
 
+def _marginals_of_chains(parent: list[int], unary: list[float], edge: np.ndarray) -> np.ndarray:
+    """The same node by node, for trees about as deep as they have nodes."""
+
+    def over(e: list[list[float]]) -> Callable[[float], float]:
+        def add(a: float, b: float) -> float:
+            return max(a, b) + math.log1p(math.exp(-abs(a - b)))
+
+        return lambda x: add(e[1][0], e[1][1] + x) - add(e[0][0], e[0][1] + x)
+
+    rise, fall = over(edge.tolist()), over(edge.T.tolist())
+    up, full = [0.0] * len(parent), list(map(float, unary))
+    for i in range(len(parent) - 1, -1, -1):
+        if parent[i] >= 0:
+            up[i] = rise(full[i])
+            full[parent[i]] += up[i]
+    for i, p in enumerate(parent):
+        if p >= 0:
+            full[i] += fall(full[p] - up[i])
+    return 1 / (1 + np.exp(-np.clip(np.array(full), -500, 500)))
+
+
 def marginals(parent: np.ndarray, unary: np.ndarray, edge: np.ndarray) -> np.ndarray:
     """P(content) of each node by sum-product on the forest; parents stand before their children.
 
@@ -293,7 +315,11 @@ def marginals(parent: np.ndarray, unary: np.ndarray, edge: np.ndarray) -> np.nda
     for i in range(n):
         if parent[i] >= 0:
             depth[i] = depth[parent[i]] + 1
-    by_level = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)] if n else []
+    levels = int(depth.max()) + 1 if n else 0
+    if levels * 8 > n:
+        return _marginals_of_chains(parent.tolist(), unary.tolist(), edge)
+    order = np.argsort(depth, kind="stable")
+    by_level = np.split(order, np.cumsum(np.bincount(depth))[:-1])
 
     def across(x: np.ndarray, e: np.ndarray) -> np.ndarray:  # message over an edge, e[to][from]
         return np.logaddexp(e[1, 0], e[1, 1] + x) - np.logaddexp(e[0, 0], e[0, 1] + x)

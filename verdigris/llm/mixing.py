@@ -141,7 +141,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     texts are moved only where it is too large to be broadcast. Rows that are equal
     in doc_id, source and text share their copies evenly.
     """
-    digest = F.xxhash64("doc_id", "source", "text")
+    # The digest alone passes over nulls, so it takes in which of the values are null.
+    parts = ["doc_id", "source", "text"]
+    digest = F.xxhash64(*[F.col(c).isNull() for c in parts], *parts)
     rows = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), digest.alias("row")))
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("long")
     copies = shares(rows, **options).groupBy("row").agg(F.sum(times).alias("copies"), F.count(F.lit(1)).alias("rows")).filter("copies > 0")

@@ -129,18 +129,36 @@ def nodes(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[tuple[int,
             skip.append((first[key], n))
         out.append((a, b, features(word), label))
         digits_of.append(digits)
-    # Numbers that a base span writes with blanks or a prefix, which other places leave out.
+    # Numbers that a base span writes with blanks or a prefix, which other places leave out:
+    # looked up by length and remainder, so that no suffix is stored, and compared where found.
     ends, tails = [x[1] for x in out], {}
+    asked = {len(d) for d in digits_of if len(d) >= 7} if by_start else set()
     for a, b, _ in by_start:
         digits, n = text[a:b].translate(DIGITS), bisect_right(ends, a)
-        for size in range(7, len(digits) + 1):
-            tails.setdefault(digits[-size:], n)
+        for size, rest in remainders(digits):
+            if size in asked:
+                tails.setdefault((size, rest), (n, digits))
     for n, digits in enumerate(digits_of if tails else ()):
-        if not out[n][3] and (hub := tails.get(digits, n)) != n and first.get(digits) != hub:
+        if out[n][3] or len(digits) < 7:
+            continue
+        *_, last = remainders(digits)
+        hub, whole = tails.get(last, (n, digits))
+        if hub != n and first.get(digits) != hub and whole.endswith(digits):
             skip.append((hub, n))
     return out, chain, skip
 
 
+PRIME, BASE = (1 << 61) - 1, 1 << 21
+
+
+def remainders(digits: str) -> Iterator[tuple[int, int]]:
+    """Length and remainder of each tail of a text of digits, shortest first, in one pass; any letter is a digit to a large base."""
+    rest, place = 0, 1
+    for size, d in enumerate(reversed(digits), 1):
+        rest, place = (rest + (ord(d) + 1) * place) % PRIME, place * BASE % PRIME
+        yield size, rest
+
+
 class Field:
     """Weights: unary [features x 5], chain [5 x 5] and skip [5 x 5], all log potentials."""
 

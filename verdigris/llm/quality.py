@@ -79,7 +79,7 @@ def measured(rows: DataFrame) -> DataFrame:
         F.size("words").cast("long").alias("n_words"),
         F.length(F.regexp_replace(text, f"[{SPACE}]+", "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        F.regexp_count(text, F.lit(r"(?<![^\x20\x09-\x0D])\p{Lu}{2,}[^\p{Ll}\x20\x09-\x0D]*(?![^\x20\x09-\x0D])")).cast("long").alias("n_caps"),
+        F.regexp_count(text, F.lit(r"(?<![^\x20\x09-\x0D])\p{Lu}{2,}+[^\p{Ll}\x20\x09-\x0D]*+(?![^\x20\x09-\x0D])")).cast("long").alias("n_caps"),
         lines.alias("lines"),
         F.when(F.size("words") >= WINDOW, windows).otherwise(F.array().cast("array<bigint>")).alias("windows"),
     )

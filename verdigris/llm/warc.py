@@ -329,11 +329,13 @@ class WarcReader(DataSourceReader):
             row["payload_digest"] = digest_hex(row["payload_digest"])
             row["payload_length"] = int(head["x-payload-length"]) if "x-payload-length" in head else None
             row["payload"] = None
+            if not head.get("content-length", "").isdecimal():
+                raise ValueError(f"has a record without a Content-Length at byte {data.member_at if data.gzip else border}")
             length = int(head["content-length"])
             if not self._wanted(row):
                 data.skip(length, border)
                 continue
-            if self.payload and row["warc_type"] in ("response", "resource", "conversion"):
+            if self.payload and row["warc_type"] != "revisit":
                 block = data.take(length)
                 row["payload"] = entity(block) if head.get("content-type", "").lower().startswith("application/http") else block
                 row["payload_length"] = len(row["payload"])
