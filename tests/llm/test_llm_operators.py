@@ -798,7 +798,7 @@ def records():
     ]
 
 
-WANT = {"i": None, "http://c": b"raw \r\n\r\n bytes", "http://d": None, "http://b": b"hello world", "http://e": b"", "http://a": b"<p>" + b"y" * 300_000}
+WANT = {"i": b"software: x\r\n", "http://c": b"raw \r\n\r\n bytes", "http://d": None, "http://b": b"hello world", "http://e": b"", "http://a": b"<p>" + b"y" * 300_000}
 
 
 @pytest.mark.parametrize("form", ["plain", "members", "one member", "named members", "sl of all"])
