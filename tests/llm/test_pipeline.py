@@ -111,3 +111,25 @@ def test_stages_take_odd_rows_and_empty_tables(spark, sf, odd):
 def test_run(spark, sf):
     out = C.run(spark, sf)
     assert out.columns == ["doc_id", "lang", "source", "token_ids", "n_tokens"] and out.count() > 50
+
+
+def test_near_dedup_of_large_groups_in_small_buckets(spark):
+    """Groups of near copies and texts that share half their words: blocks of 16, one block and exact comparison give the same classes."""
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(400)]
+        for k in range(60):
+            words = list(base)
+            words[(7 * k) % 400] = f"x{k}"
+            rows.append(words)
+        rows += [base[:200] + [f"g{g}k{k}w{i}" for i in range(200)] for k in range(40)]
+    own = [set(zip(*(w[i:] for i in range(5)), strict=False)) for w in rows]
+    find = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 10 * len(own[a] & own[b]) >= 8 * len(own[a] | own[b]):
+                x, y = sorted((find[a], find[b]))
+                find = [x if f == y else f for f in find]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    for bucket in (16, simhash.BUCKET):
+        assert {r["doc_id"]: r["component_id"] for r in simhash.similar(df, bucket=bucket).collect()} == dict(enumerate(find))

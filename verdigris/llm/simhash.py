@@ -441,18 +441,46 @@ def between(sig: np.ndarray, label: np.ndarray, refuted: np.ndarray, least: int,
     return out[:, :2]
 
 
-def met(nodes: DataFrame, bands: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Buckets (key, id, sig: lists of nodes) of two and more nodes; every two nodes of a band's value meet in one.
+def shared(nodes: DataFrame) -> DataFrame:
+    """value, hub, n, id of all `nodes` (id, band) whose value of a band is that of another; hub: the smallest of the value's n ids."""
+    bands = nodes.select("id", F.explode("band").alias("value"))
+    values = bands.groupBy("value").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return bands.join(values, "value").select("value", "hub", "n", "id")
 
+
+def hub_pairs(meeting: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
+    """a, b: ids (`meeting`: see `shared`) and a hub of theirs with at least `least` equal min-hashes (`sigs`: id, sig)."""
+    pairs = meeting.filter("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    both = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SIG) for c in ("sig_a", "sig_b"))
+            yield b.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def met(meeting: DataFrame, label: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Buckets (key, id: list of nodes) of nodes of two and more classes; every two nodes of a value and of different classes meet in one.
+
+    `meeting`: see `shared`; `label`: node, label (others are classes of their own).
     Values of more than `bucket` nodes are dealt as pairs of blocks.
     """
-    large = bands.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    named = meeting.join(label.withColumnRenamed("node", "id"), "id", "left").select("value", "n", "id", F.coalesce("label", "id").alias("label"))
+    several = [F.min("label").alias("low"), F.max("label").alias("high")]
+    mixed = named.groupBy("value").agg(*several).filter("low < high").select("value")
     blocks = F.ceil(F.col("n") / bucket).cast("int")
-    rows = bands.join(large, "value").withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("m", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    rows = rows.select(F.xxhash64("value", F.least("o", "m"), F.greatest("o", "m")).alias("key"), "id").join(nodes.select("id", "sig"), "id")
-    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = rows.repartition(tasks, "key").groupBy("key").agg(F.collect_list("id").alias("id"), F.collect_list("sig").alias("sig"))
-    return each.filter(F.size("id") > 1)
+    rows = named.join(mixed, "value").withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("m", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    rows = rows.select(F.xxhash64("value", F.least("o", "m"), F.greatest("o", "m")).alias("key"), "id", "label")
+    return rows.groupBy("key").agg(F.collect_list("id").alias("id"), *several).filter("low < high").select("key", "id")
+
+
+def signed(buckets: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The `buckets` (key, id: list) with the list of their nodes' signatures (`sigs`: id, sig)."""
+    rows = buckets.select("key", F.explode("id").alias("id")).join(sigs, "id")
+    tasks = int(sigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "key").groupBy("key").agg(F.collect_list("id").alias("id"), F.collect_list("sig").alias("sig"))
 
 
 def likely(buckets: DataFrame, least: int) -> DataFrame:
@@ -522,11 +550,15 @@ def classes_of(docs: DataFrame, shingle: int, similarity: float, bucket: int) ->
     """(doc_id, hash of the text, id of its shingle set) and (node, label) of the sets that have partners.
 
     Texts meet where all min-hashes of a band agree; the bands follow from the
-    similarity alone, so the vocabulary does not matter. In each bucket the likely
-    pairs are thinned to a spanning forest. Of its edges each node takes its
-    FIRST smallest partners first; of the others those within a class that stands by
-    then are left out; what is taken is compared exactly. Buckets that lost an edge are searched again for pairs between their
-    classes, more in every round, until every likely pair is joined or refuted.
+    similarity alone, so the vocabulary does not matter. First each node is held
+    against the smallest one that it meets in each band; buckets whose nodes are of
+    one class by then have nothing more to tell. In each of the others the likely
+    pairs are thinned to a spanning forest. Of the pairs each node takes its FIRST
+    smallest partners first; of the others those within a class that stands by then
+    are left out; what is taken is compared exactly. Buckets that lost an edge are
+    searched again for pairs between their classes, more in every round, until every
+    likely pair is joined or refuted. Signatures travel only with pairs and with
+    buckets of several classes, and are not stored again.
     """
     bands, width, fewest = layout(similarity)
     schema = T.StructType([docs.schema["doc_id"], T.StructField("hash", T.LongType()), T.StructField("id", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("band", T.ArrayType(T.LongType()))])
@@ -548,17 +580,18 @@ def classes_of(docs: DataFrame, shingle: int, similarity: float, bucket: int) ->
     rows = cut(texts.mapInArrow(run, schema))
     nodes = rows.groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("held"), F.min_by("sig", "hash").alias("sig"), F.min_by("band", "hash").alias("band"))
     nodes = cut(nodes.select("id", F.col("held.doc_id").alias("held"), "held.hash", "sig", "band"))
-    buckets = cut(met(nodes, nodes.select("id", F.explode("band").alias("value")), bucket))
+    sigs = nodes.select("id", "sig")
+    groups = cut(shared(nodes))
     # The texts of nodes that meet any other are moved once, by one of their rows; a
     # shuffled join at every size, since what meets grows with the documents.
-    meeting = buckets.select(F.explode("id").alias("id")).distinct().join(nodes.select("id", "held", "hash"), "id")
+    meeting = groups.select("id").distinct().join(nodes.select("id", "held", "hash"), "id")
     kept = texts.join(meeting.withColumnRenamed("hash", "h").hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("held")) & (F.col("hash") == F.col("h")))
     pool = written(kept.groupBy("id").agg(F.min("text").alias("text")), "texts")
 
     bad, label = docs.sparkSession.createDataFrame([], "a long, b long"), docs.sparkSession.createDataFrame([], "node long, label long")
     of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"))
     named = lambda p: p.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("l_a", "a").alias("label_a"), F.coalesce("l_b", "b").alias("label_b"))
-    todo, thin, more, whole = cut(likely(buckets, fewest)), True, 64, False
+    todo, thin, more, whole, buckets = cut(hub_pairs(groups, sigs, fewest)), True, 64, False, None
     while True:
         first = F.row_number().over(W.partitionBy("b").orderBy("a"))
         taken = todo.withColumn("r", first).filter(F.col("r") <= FIRST).select("a", "b") if thin else todo
@@ -566,12 +599,15 @@ def classes_of(docs: DataFrame, shingle: int, similarity: float, bucket: int) ->
         bad = cut(bad.union(tried.filter("NOT ok").select("a", "b")))
         ok = tried.filter("ok").select("a", "b").union(label.select(F.col("label").alias("a"), F.col("node").alias("b")))
         label = components(ok)
-        apart = named(todo).filter("label_a <> label_b")
-        todo, thin = cut(apart.select("a", "b").join(bad, ["a", "b"], "left_anti")), False
+        untried = lambda p: named(p).filter("label_a <> label_b").select("a", "b").join(bad, ["a", "b"], "left_anti")  # noqa: B023, E731
+        todo, thin = cut(untried(todo)), False
+        if todo.isEmpty() and buckets is None:
+            buckets = cut(met(groups, label, bucket))
+            todo, thin = cut(untried(likely(signed(buckets, sigs), fewest))), True
         if todo.isEmpty():
             if whole:
                 break
-            todo = cut(more_likely(refuted_buckets(buckets, bad, label), fewest, more))
+            todo = cut(more_likely(refuted_buckets(buckets, sigs, bad, label), fewest, more))
             if todo.isEmpty():
                 break
             # Where no two classes have as many pairs as were asked for, these are all.
@@ -580,15 +616,16 @@ def classes_of(docs: DataFrame, shingle: int, similarity: float, bucket: int) ->
     return rows.select("doc_id", "hash", "id"), label
 
 
-def refuted_buckets(buckets: DataFrame, bad: DataFrame, label: DataFrame) -> DataFrame:
-    """Buckets (id, sig, label, refuted) that hold a refuted pair of nodes with different labels."""
-    members = buckets.select("key", F.explode(F.arrays_zip("id", "sig")).alias("m")).select("key", "m.id", "m.sig")
-    labelled = members.join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "sig", F.coalesce("label", "id").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    ends = bad.select("a", "b", F.col("a").alias("id")).union(bad.select("a", "b", F.col("b")))
-    inside = ends.join(members.select("key", "id"), "id").groupBy("key", "a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pairs = inside.join(mixed, "key").groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("refuted"))
-    each = labelled.join(pairs.select("key"), "key").groupBy("key").agg(*[F.collect_list(c).alias(c) for c in ("id", "sig", "label")])
+def refuted_buckets(buckets: DataFrame, sigs: DataFrame, bad: DataFrame, label: DataFrame) -> DataFrame:
+    """Buckets (id, sig, label, refuted) that hold a refuted pair of nodes with different labels, and those pairs."""
+    members = buckets.select("key", F.explode("id").alias("id"))
+    of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"))
+    apart = bad.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("l_a", "a") != F.coalesce("l_b", "b")).select("a", "b")
+    ends = apart.select("a", "b", F.col("a").alias("id")).union(apart.select("a", "b", F.col("b")))
+    inside = ends.join(members, "id").groupBy("key", "a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    pairs = inside.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("refuted"))
+    labelled = members.join(pairs.select("key"), "key").join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    each = labelled.join(sigs, "id").groupBy("key").agg(*[F.collect_list(c).alias(c) for c in ("id", "sig", "label")])
     return each.join(pairs, "key")
 
 
