@@ -580,12 +580,13 @@ def classes_of(docs: DataFrame, shingle: int, similarity: float, bucket: int) ->
     rows = cut(texts.mapInArrow(run, schema))
     nodes = rows.groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("held"), F.min_by("sig", "hash").alias("sig"), F.min_by("band", "hash").alias("band"))
     nodes = cut(nodes.select("id", F.col("held.doc_id").alias("held"), "held.hash", "sig", "band"))
-    sigs = nodes.select("id", "sig")
     groups = cut(shared(nodes))
-    # The texts of nodes that meet any other are moved once, by one of their rows; a
+    # Of the nodes only those that meet any other are read again.
+    meeting = cut(groups.select("id").distinct().join(nodes.select("id", "held", "hash", "sig"), "id"))
+    sigs = meeting.select("id", "sig")
+    # Their texts are moved once, by one of their rows; a
     # shuffled join at every size, since what meets grows with the documents.
-    meeting = groups.select("id").distinct().join(nodes.select("id", "held", "hash"), "id")
-    kept = texts.join(meeting.withColumnRenamed("hash", "h").hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("held")) & (F.col("hash") == F.col("h")))
+    kept = texts.join(meeting.select("id", "held", F.col("hash").alias("h")).hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("held")) & (F.col("hash") == F.col("h")))
     pool = written(kept.groupBy("id").agg(F.min("text").alias("text")), "texts")
 
     bad, label = docs.sparkSession.createDataFrame([], "a long, b long"), docs.sparkSession.createDataFrame([], "node long, label long")
