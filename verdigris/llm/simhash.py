@@ -642,7 +642,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket:
 def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document (the smallest doc_id, null last) of each group of near copies, with the columns of `docs`; of repeated rows one stays.
 
-    The rows that go are a table of ids and hashes, so texts are moved only where it is too large to be broadcast.
+    The rows that go are a table of ids and hashes, which grows with the documents, so the texts meet it by a shuffled join at every size.
     """
     rows, label = classes_of(docs, shingle, similarity, BUCKET)
     tagged = rows.join(label.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "hash", F.coalesce("label", "id").alias("label"))
@@ -654,7 +654,7 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     losers, again = written(losers, "losers"), written(again, "repeated")
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"))
     same = F.col("d").eqNullSafe(F.col("gone")) & (F.col("h") == F.col("gone_hash"))
-    stays = packed.join(losers, same, "left_anti")
+    stays = packed.join(losers.hint("shuffle_merge"), same, "left_anti")
     if not again.isEmpty():
         one = stays.join(again.distinct(), same, "left_semi").groupBy("d", "h").agg(F.min("row").alias("row"))
         stays = stays.join(again, same, "left_anti").unionByName(one)
