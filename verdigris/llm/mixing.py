@@ -137,9 +137,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, with the columns of `docs`: each as often as its words are taken, to the nearest whole.
 
-    How often each row is taken is a table of row hashes, whose size Spark knows:
-    texts are moved only where it is too large to be broadcast. Rows that are equal
-    in doc_id, source and text share their copies evenly.
+    How often each row is taken is a table of row hashes, which grows with the
+    documents, so the texts meet it by a shuffled join at every size. Rows that are
+    equal in doc_id, source and text share their copies evenly.
     """
     # The digest alone passes over nulls, so it takes in which of the values are null.
     parts = ["doc_id", "source", "text"]
@@ -151,7 +151,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     packed = docs.select(F.struct(*docs.columns).alias("row"), digest.alias("digest"))
     even, uneven = (written(copies.filter(p), "copies") for p in ("more = 0", "more > 0"))
     again = lambda n: F.explode(F.expr(f"if({n} > 0, sequence(1L, {n}), array())"))
-    out = packed.join(even, "digest").select("row", again("each"))
+    out = packed.join(even.hint("shuffle_merge"), "digest").select("row", again("each"))
     if not uneven.isEmpty():
         turn = F.row_number().over(W.partitionBy("digest").orderBy("digest"))
         part = packed.join(uneven, "digest").withColumn("n", F.col("each") + (turn <= F.col("more")).cast("long"))
