@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,17 +34,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside delete their shuffle files when they have ended, not when the driver next collects garbage.
+
+    For queries whose result is stored: nothing reads those files again. While a
+    query runs its files stay, so a lost executor costs it no more than otherwise.
+    """
+    before = spark.conf.get(FREES, "false")
+    spark.conf.set(FREES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREES, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a checkpoint in the shared folder; survives lost executors."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with freeing(df.sparkSession):
+        # A query of its own, since a DataFrame keeps the setting that it was made under.
+        return df.select("*").checkpoint(eager=True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a Parquet table into the shared folder and read it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with freeing(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
