@@ -231,6 +231,12 @@ def dedup_quality(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     return d.agg(F.round(both / F.nullif(F.count("p"), F.lit(0)), 6).alias("precision"), F.round(both / F.nullif(F.count("t"), F.lit(0)), 6).alias("recall"))
 
 
+def counted_quality(counts: DataFrame, found: Column, true: Column) -> DataFrame:
+    """The same from numbers of pairs (n) by class, for conditions that a class decides."""
+    both, p, t = (F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)) for c in (found & true, found, true))
+    return counts.agg(F.round(both / F.nullif(p, F.lit(0)), 6).alias("precision"), F.round(both / F.nullif(t, F.lit(0)), 6).alias("recall"))
+
+
 def page_escalation(extractions: DataFrame, most: int) -> DataFrame:
     """A page with more routed fields than `most` goes to review whole."""
     g = extractions.groupBy("page_id").agg(F.count_if(F.col("routing_outcome") == "review").alias("routed"))

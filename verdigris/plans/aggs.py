@@ -152,8 +152,8 @@ def agg17(spark, sf):
 
 @query("AGG18_dedup_quality", PASSES + ", g as (select a, b from p group by 1, 2 having count(distinct pass) > 1), t as (select distinct a, b from p where pass = 'survey'), j as (select g.a as ga, t.a as ta from g full join t on g.a = t.a and g.b = t.b) select round(count_if(ga is not null and ta is not null) / nullif(count(ga), 0), 6) as precision, round(count_if(ga is not null and ta is not null) / nullif(count(ta), 0), 6) as recall from j")
 def agg18(spark, sf):
-    pairs = J.candidate_pairs(people(spark, sf), passes())
-    return A.dedup_quality(pairs.filter("passes LIKE '%,%'"), pairs.filter("passes LIKE '%survey%'"))
+    counts = J.pass_counts(J.candidate_blocks(people(spark, sf), passes()))
+    return A.counted_quality(counts, F.col("passes").contains(","), F.col("passes").contains("survey"))
 
 
 @query("AGG19_page_escalation", "select page_id, count_if(coalesce(routing_outcome = 'review', false))::bigint as routed, count_if(coalesce(routing_outcome = 'review', false)) > 1 as escalated from v_extraction group by 1")
