@@ -57,8 +57,14 @@ def segment_hits_box(grow: float) -> Column:
 
 
 def ring_area(ring: Column) -> Column:
-    """Shoelace area of a closed ring."""
-    return F.abs(F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + (e["x1"] * e["y2"] - e["x2"] * e["y1"]))) / 2
+    """Shoelace area of a closed ring, from its first vertex, so that far from the origin nothing is lost to rounding."""
+
+    def area(r: Column) -> Column:
+        o = F.element_at(r, 1)
+        turn = lambda e: (e["x1"] - o["x"]) * (e["y2"] - o["y"]) - (e["x2"] - o["x"]) * (e["y1"] - o["y"])
+        return F.abs(F.aggregate(_edges(r), F.lit(0.0), lambda s, e: s + turn(e))) / 2
+
+    return F.element_at(F.transform(F.array(ring), area), 1)  # so that the ring is worked out once
 
 
 def to_metres(ring: Column) -> Column:

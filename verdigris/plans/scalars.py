@@ -117,7 +117,7 @@ def sca16(spark, sf):
 
 @query("SCA16_geographic_area", """
 with p as (select polygon_id, x0 / 1000 as x0, y0 / 1000 as y0, side / 1000 as s from v_polygon where crs = 'EPSG:4326' and is_closed)
-select polygon_id, round(radians(s) * radians(s) * cos(radians(y0 + s * 2 / 5)) * 6371008.8 * 6371008.8 / 1000, 0) as kilo from p""")
+select polygon_id, round(radians(s) * radians(s) * abs(cos(radians(y0 + s * 2 / 5))) * 6371008.8 * 6371008.8 / 1000, 0) as kilo from p""")
 def sca16b(spark, sf):
     p = polygons(spark, sf).filter("crs = 'EPSG:4326' and is_closed")
     small = F.transform("ring", lambda q: F.struct((q["x"] / 1000).alias("x"), (q["y"] / 1000).alias("y")))
