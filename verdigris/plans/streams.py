@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from verdigris.operators.aggs import ACTIONS
-from verdigris.operators.shared import shared_dir
+from verdigris.operators.shared import cut, shared_dir
 from verdigris.plans.folds import ALERTS
 from verdigris.plans.registry import ORACLE, query
 from verdigris.plans.views import VIEWS, table
@@ -91,7 +91,7 @@ def str4(spark, sf):
     f = lines.selectExpr("l_orderkey as page_id", f"{key} as field", f"case l_partkey % 7{expr} as routing_outcome", "at", "ends").filter("ends OR page_id % 3 <> 0")
     stored = table(spark, sf, "lineitem").select("l_orderkey", F.expr(key).alias("field"), F.col("l_shipdate").cast("timestamp").alias("at"))
     want = stored.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.count_distinct("field").alias("fields"))
-    return J.drained(J.page_terminal(f, want, span(stored, "at")), path, ends=True).select("page_id")
+    return J.drained(J.page_terminal(f, cut(want), span(stored, "at")), path, ends=True).select("page_id")
 
 
 @query("STR5_stream_activity")
