@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -52,12 +53,16 @@ def select_audit(df: DataFrame, selector: Callable[[Column], Column], key: str =
     return df.withColumn("selected", selector(F.col(key)))
 
 
+#: Token rows that a task holds at once.
+TOKENS = 20_000
+
+
 def extract_with(pages: DataFrame, reader: Callable[[str], list[tuple[str, float]]], content: str, key: str) -> DataFrame:
     """A user's reader of page content: token rows (key, position, text, confidence); map pages give none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(k, i, t, c) for k, x in zip(b[key], b[content], strict=True) for i, (t, c) in enumerate(reader(x or ""))]
-            yield pd.DataFrame(rows, columns=[key, "position", "text", "confidence"])
+        rows = ((k, i, t, c) for b in batches for k, x in zip(b[key], b[content], strict=True) for i, (t, c) in enumerate(reader(x or "")))
+        while some := list(itertools.islice(rows, TOKENS)):
+            yield pd.DataFrame(some, columns=[key, "position", "text", "confidence"])
 
     return pages.select(key, content).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, position long, text string, confidence double")
