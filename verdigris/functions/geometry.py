@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,7 +66,7 @@ def ring_area(ring: Column) -> Column:
         turn = lambda e: (e["x1"] - o["x"]) * (e["y2"] - o["y"]) - (e["x2"] - o["x"]) * (e["y1"] - o["y"])
         return F.abs(F.aggregate(_edges(r), F.lit(0.0), lambda s, e: s + turn(e))) / 2
 
-    return F.element_at(F.transform(F.array(ring), area), 1)  # so that the ring is worked out once
+    return once(ring, area)
 
 
 def to_metres(ring: Column) -> Column:
@@ -75,14 +77,22 @@ def to_metres(ring: Column) -> Column:
 
 def self_crossing(ring: Column) -> Column:
     """Any two edges that are no neighbours cross."""
-    edges = _edges(ring)
-    numbered = F.transform(edges, lambda e, i: F.struct(e.alias("e"), i.alias("i")))
-    n = F.size(edges)
-    return F.exists(numbered, lambda p: F.exists(numbered, lambda q: (q["i"] > p["i"] + 1) & ~((p["i"] == 0) & (q["i"] == n - 1)) & crosses(p["e"]["x1"], p["e"]["y1"], p["e"]["x2"], p["e"]["y2"], q["e"]["x1"], q["e"]["y1"], q["e"]["x2"], q["e"]["y2"])))
+    numbered = F.transform(_edges(ring), lambda e, i: F.struct(e.alias("e"), i.alias("i")))
+    n = F.size(ring) - 1
+    return once(numbered, lambda all_: F.exists(all_, lambda p: F.exists(all_, lambda q: (q["i"] > p["i"] + 1) & ~((p["i"] == 0) & (q["i"] == n - 1)) & crosses(p["e"]["x1"], p["e"]["y1"], p["e"]["x2"], p["e"]["y2"], q["e"]["x1"], q["e"]["y1"], q["e"]["x2"], q["e"]["y2"]))))
+
+
+def once(c: Column, then: Callable[[Column], Column]) -> Column:
+    """then(c), with c worked out once a row however often `then` names it."""
+    return F.element_at(F.transform(F.array(c), then), 1)
 
 
 def invalid_reason(ring: Column) -> Column:
     """Why a ring is no valid polygon, null if it is one."""
+    return once(ring, _reason)
+
+
+def _reason(ring: Column) -> Column:
     first, last = F.element_at(ring, 1), F.element_at(ring, -1)
     return (
         F.when(F.size(ring) < 4, "too_few_points")
@@ -95,8 +105,12 @@ def invalid_reason(ring: Column) -> Column:
 
 def polygon_area(ring: Column, crs: Column) -> Column:
     """Square metres as exact decimal text with two places, half up; invalid rings give 0.00."""
-    area = F.when(crs == "EPSG:4326", ring_area(to_metres(ring))).otherwise(ring_area(ring))
-    return F.when(invalid_reason(ring).isNotNull(), F.lit("0.00")).otherwise(area.cast("decimal(38,2)").cast("string"))
+
+    def text(r: Column) -> Column:
+        area = F.when(crs == "EPSG:4326", ring_area(to_metres(r))).otherwise(ring_area(r))
+        return F.when(_reason(r).isNotNull(), F.lit("0.00")).otherwise(area.cast("decimal(38,2)").cast("string"))
+
+    return once(ring, text)
 
 
 def clean_vertices(ring: Column, least: float = 1e-6) -> Column:
