@@ -202,6 +202,6 @@ def cold_start_states(evidence: DataFrame, least: int = 3) -> DataFrame:
 
 
 def next_band(parcels: DataFrame) -> DataFrame:
-    """y centre (0 without a box) and the next parcel's, infinity for the last."""
+    """y centre (0 without a box) and the next parcel's, infinity for the last; of equal centres a missing id is last."""
     d = parcels.withColumn("center", F.coalesce(F.col("y") + F.col("h") / 2, F.lit(0.0)))
-    return d.withColumn("next_center", F.lead("center", 1, float("inf")).over(W.partitionBy("page_id").orderBy("center", "id")))
+    return d.withColumn("next_center", F.lead("center", 1, float("inf")).over(W.partitionBy("page_id").orderBy("center", F.asc_nulls_last("id"))))
