@@ -27,3 +27,17 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a checkpoint, which survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows of a table that one task holds at a time.
+DEALT = 500_000
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by their keys, a task for each DEALT rows at least, so that a task's memory doesn't grow with the table.
+
+    Aggregations and joins by these keys, and aggregations by these and more, need no
+    further shuffle.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(tasks, -(-df.count() // DEALT)), *keys)

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEVELS = 20
+#: Boxes of a group (a page) that each of its points is held against; where there are more, they meet by cells.
+FEW = 32
 
 
 def side(level: Column, base: float) -> Column:
@@ -50,10 +52,22 @@ def boxed(df: DataFrame, x0: Column, x1: Column, y0: Column, y1: Column, base: f
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, by: list[str], x: str, y: str, base: float) -> DataFrame:
-    """Points (by, x, y, ...) with the boxes (by, ..., of `boxed`) that hold them, borders included."""
+    """Points (by, x, y, ...) with the boxes (by, ..., of `boxed`) that hold them, borders included.
+
+    Groups of at most FEW boxes meet their points by the group alone, without cells.
+    """
+    inside = (F.col(x) >= F.col("_x0")) & (F.col(x) <= F.col("_x1")) & (F.col(y) >= F.col("_y0")) & (F.col(y) <= F.col("_y1"))
+    marks = ["_x0", "_x1", "_y0", "_y1"]
+    if by:
+        plain = lambda p, b: p.join(b.drop("_level"), by).filter(inside).drop(*marks)
+        crowded = boxes.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > FEW).select(*by)
+        if crowded.isEmpty():
+            return plain(points, boxes)
+        few = plain(points.join(crowded, by, "left_anti"), boxes.join(crowded, by, "left_anti"))
+        points, boxes = points.join(crowded, by, "left_semi"), boxes.join(crowded, by, "left_semi")
     asked = on_levels(points, F.lit(0), boxes).withColumn("_cx", cell(F.col(x), F.col("_level"), base)).withColumn("_cy", cell(F.col(y), F.col("_level"), base))
-    met = asked.join(spread(boxes, base), [*by, "_level", "_cx", "_cy"])
-    return met.filter((F.col(x) >= F.col("_x0")) & (F.col(x) <= F.col("_x1")) & (F.col(y) >= F.col("_y0")) & (F.col(y) <= F.col("_y1"))).drop("_level", "_cx", "_cy", "_x0", "_x1", "_y0", "_y1")
+    met = asked.join(spread(boxes, base), [*by, "_level", "_cx", "_cy"]).filter(inside).drop("_level", "_cx", "_cy", *marks)
+    return few.unionByName(met) if by else met
 
 
 def boxes_meeting(left: DataFrame, right: DataFrame, by: list[str], base: float) -> DataFrame:
