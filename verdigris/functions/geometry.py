@@ -46,10 +46,11 @@ def crosses(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
     return (_side(ax, ay, bx, by, cx, cy) * _side(ax, ay, bx, by, dx, dy) < 0) & (_side(cx, cy, dx, dy, ax, ay) * _side(cx, cy, dx, dy, bx, by) < 0)
 
 
-def segment_hits_box(grow: float) -> Column:
-    """Segment (x1, y1)-(x2, y2) meets the box (x, y, w, h) grown by `grow`: an end inside or a side crossed."""
-    c = F.col
-    left, top, right, bottom = c("x") - grow, c("y") - grow, c("x") + c("w") + grow, c("y") + c("h") + grow
+def segment_hits_box(grow: float, segment: Column | None = None) -> Column:
+    """Segment (x1, y1)-(x2, y2), columns or a struct's fields, meets the box (x, y, w, h) grown by `grow`: an end inside or a side crossed."""
+    box = F.col
+    c = F.col if segment is None else segment.getField
+    left, top, right, bottom = box("x") - grow, box("y") - grow, box("x") + box("w") + grow, box("y") + box("h") + grow
     within = lambda px, py: (px >= left) & (px <= right) & (py >= top) & (py <= bottom)
     corners = [(left, top), (right, top), (right, bottom), (left, bottom)]
     hit = within(c("x1"), c("y1")) | within(c("x2"), c("y2"))
