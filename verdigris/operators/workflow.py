@@ -141,15 +141,14 @@ def text_lane(tokens: DataFrame, strokes: DataFrame) -> DataFrame:
     A status is never live; a struck field is unknown here. A parcel's row names the
     owners and the share that its band binds to it.
     """
-    from verdigris.operators.joins import bind_rows_by_band, strikethrough
+    from verdigris.operators.joins import bind_rows_by_band, struck
     from verdigris.operators.scoring import extract_fields
 
     fields = extract_fields(tokens)
     of = lambda name: fields.filter(F.col("field_name") == name).select("page_id", "id", "y", "confidence")
     bound = bind_rows_by_band(of("survey_number"), of("owner_name"), of("share_fraction")).select("page_id", F.col("parcel_id").alias("id"), "owner_ids", "share_id", "ambiguous")
-    struck = strikethrough(fields.withColumn("status", F.lit("unknown")), strokes).select("page_id", "id", (F.col("strokes") != "").alias("struck"))
-    slim = fields.select("page_id", "id", "field_name", "raw_value", "canonical_value", "entry_status", "y")
-    return slim.join(struck, ["page_id", "id"]).join(bound, ["page_id", "id"], "left")
+    slim = struck(fields, strokes).select("page_id", "id", "field_name", "raw_value", "canonical_value", "entry_status", "y", (F.col("strokes") != "").alias("struck"))
+    return slim.join(bound, ["page_id", "id"], "left")
 
 
 def text_lane_records(fields: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from verdigris.operators import aggs as A
 from verdigris.operators import reprocess as R
 from verdigris.operators import workflow as O
+from verdigris.operators.shared import dealt
 from verdigris.plans.joins import BANDS, STRIKES, TOK, polygons, strokes
 from verdigris.plans.registry import query
 from verdigris.plans.views import table, view
@@ -190,7 +191,7 @@ WORDS = "case min(field_name) when 'survey_number' then 'Khasra No. ' when 'owne
 
 def lane_tokens(spark, sf):
     """The boxes of JOI15 with a text of their field's kind."""
-    t = view(spark, sf, "v_token").groupBy("page_id", "token_id", "y").agg(F.min("x").alias("x"), F.min("w").alias("w"), F.min("h").alias("h"), F.min("confidence").alias("confidence"), F.expr(WORDS).alias("word"))
+    t = dealt(view(spark, sf, "v_token"), "page_id").groupBy("page_id", "token_id", "y").agg(F.min("x").alias("x"), F.min("w").alias("w"), F.min("h").alias("h"), F.min("confidence").alias("confidence"), F.expr(WORDS).alias("word"))
     return t.select("page_id", F.concat_ws("-", "token_id", "y").alias("id"), "x", "y", "w", "h", "confidence", F.concat("word", (F.col("token_id") + 1).cast("string")).alias("text"), F.lit("ror").alias("doc_type"))
 
 
