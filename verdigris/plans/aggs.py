@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from verdigris.operators import aggs as A
 from verdigris.operators import joins as J
 from verdigris.operators.projections import route_regions
+from verdigris.operators.shared import dealt
 from verdigris.plans.joins import PASSES, WORDS, cells, passes, people, polygons, words
 from verdigris.plans.registry import query
 from verdigris.plans.sources import REGIONS, regions
@@ -194,7 +195,7 @@ g as (select page_id, r, c, arg_max(text, (row, col)) as text from y group by 1,
 select page_id, string_agg('[R' || r || 'C' || c || '] ' || text, ' ' order by r, c) as text from g group by 1""")
 def agg23(spark, sf):
     m = table(spark, sf, "lineitem").selectExpr("l_orderkey as page_id", "cast(l_partkey % 6 as int) as row", "cast(l_suppkey % 4 as int) as col", "cast(1 + l_suppkey % 3 as int) as row_span", "cast(l_partkey % 3 as int) as col_span", "concat('c', l_partkey) as text")
-    m = m.groupBy("page_id", "row", "col").agg(F.max("row_span").alias("row_span"), F.max("col_span").alias("col_span"), F.max("text").alias("text"))
+    m = dealt(m, "page_id").groupBy("page_id", "row", "col").agg(F.max("row_span").alias("row_span"), F.max("col_span").alias("col_span"), F.max("text").alias("text"))
     return A.cells_to_tokens(A.expand_cells(m, 5, 4))
 
 
