@@ -26,7 +26,7 @@ def accept_batches(df: DataFrame) -> DataFrame:
 
 
 def put_files(files: DataFrame, path: str) -> None:
-    """Write rows (name, content) as files of a drop folder, from the tasks; a repeated task writes the same files again."""
+    """Write rows (name, content) as files of a drop folder, dealt by name over the tasks; a repeated task writes the same files again."""
 
     def put(rows: Iterator[Row]) -> None:
         store, root = pafs.FileSystem.from_uri(path) if ":" in path else (pafs.LocalFileSystem(), path)
@@ -35,7 +35,8 @@ def put_files(files: DataFrame, path: str) -> None:
             with store.open_output_stream(f"{root}/{r['name']}") as f:
                 f.write(r["content"].encode())
 
-    files.select("name", "content").foreachPartition(put)
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files.select("name", "content").repartition(tasks, "name").foreachPartition(put)
 
 
 def scan_batch_files(spark: SparkSession, path: str) -> DataFrame:
