@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 EARTH_M = 6371008.8
 
 
-def _edges(ring: Column) -> Column:
+def edges(ring: Column) -> Column:
+    """A ring's edges, struct<x1, y1, x2, y2>."""
     return F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring)), lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
 
 
@@ -23,12 +24,20 @@ def _edge_distance(e: Column, x: Column, y: Column) -> Column:
 
 def to_ring_distance(ring: Column, x: Column, y: Column) -> Column:
     """Least distance of a point to a ring's edges."""
-    return F.array_min(F.transform(_edges(ring), lambda e: _edge_distance(e, x, y)))
+    return to_edges_distance(edges(ring), x, y)
+
+
+def to_edges_distance(sides: Column, x: Column, y: Column) -> Column:
+    return F.array_min(F.transform(sides, lambda e: _edge_distance(e, x, y)))
 
 
 def inside(ring: Column, x: Column, y: Column) -> Column:
     """Even-odd rule; what the border is, is left open."""
-    crossing = F.filter(_edges(ring), lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]))
+    return inside_edges(edges(ring), x, y)
+
+
+def inside_edges(sides: Column, x: Column, y: Column) -> Column:
+    crossing = F.filter(sides, lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]))
     return F.size(crossing) % 2 == 1
 
 
@@ -65,7 +74,7 @@ def ring_area(ring: Column) -> Column:
     def area(r: Column) -> Column:
         o = F.element_at(r, 1)
         turn = lambda e: (e["x1"] - o["x"]) * (e["y2"] - o["y"]) - (e["x2"] - o["x"]) * (e["y1"] - o["y"])
-        return F.abs(F.aggregate(_edges(r), F.lit(0.0), lambda s, e: s + turn(e))) / 2
+        return F.abs(F.aggregate(edges(r), F.lit(0.0), lambda s, e: s + turn(e))) / 2
 
     return once(ring, area)
 
@@ -78,7 +87,7 @@ def to_metres(ring: Column) -> Column:
 
 def self_crossing(ring: Column) -> Column:
     """Any two edges that are no neighbours cross."""
-    numbered = F.transform(_edges(ring), lambda e, i: F.struct(e.alias("e"), i.alias("i")))
+    numbered = F.transform(edges(ring), lambda e, i: F.struct(e.alias("e"), i.alias("i")))
     n = F.size(ring) - 1
     return once(numbered, lambda all_: F.exists(all_, lambda p: F.exists(all_, lambda q: (q["i"] > p["i"] + 1) & ~((p["i"] == 0) & (q["i"] == n - 1)) & crosses(p["e"]["x1"], p["e"]["y1"], p["e"]["x2"], p["e"]["y2"], q["e"]["x1"], q["e"]["y1"], q["e"]["x2"], q["e"]["y2"]))))
 
