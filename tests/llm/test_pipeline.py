@@ -7,7 +7,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline as C
-from verdigris.llm import bpe, quality, simhash
+from verdigris.llm import bpe, common, quality, simhash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -133,3 +133,23 @@ def test_near_dedup_of_large_groups_in_small_buckets(spark):
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
     for bucket in (16, simhash.BUCKET):
         assert {r["doc_id"]: r["component_id"] for r in simhash.similar(df, bucket=bucket).collect()} == dict(enumerate(find))
+
+
+def test_near_dedup_searches_fingerprints(spark, monkeypatch):
+    """Where no min-hashes meet, near copies are found by their fingerprints, and what these find is still compared."""
+    words = [[f"g{g}w{i}" for i in range(400)] for g in range(6)]
+    rows = [" ".join(w) for w in words] + [" ".join([*w, "more"]) for w in words] + ["alone", "apart", "", None]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    real = simhash.shared
+    monkeypatch.setattr(simhash, "shared", lambda nodes: real(nodes).filter("false"))
+    monkeypatch.setattr(simhash, "fingerprint", lambda t, shingle, seed=42, f=simhash.fingerprint: 0 if t in ("alone", "apart") else f(t, shingle, seed))
+    fps = [simhash.fingerprint(t, 5) for t in rows]
+    near = {g + 6: g for g in range(6) if (fps[g] ^ fps[g + 6]).bit_count() <= 4}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(df).collect()}
+    assert len(near) >= 5 and got == {d: near.get(d, d) for d in range(15)} | {15: 14}
+
+
+def test_narrow_checkpoints_are_few_files(spark):
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.range(1000).repartition(200)
+    assert common.cut(df, narrow=True).rdd.getNumPartitions() <= 2 * cores and common.cut(df).count() == 1000

@@ -42,7 +42,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigris.llm.common import cut, written
+from verdigris.llm.common import cut, nothing_in, written
 
 BUCKET = 8192
 BITS, SIG = 64, 256
@@ -326,17 +326,17 @@ def components(edges: DataFrame) -> DataFrame:
     Large stars (larger neighbours go to the smallest one) and small stars (the
     smaller ones do) in turn until every node but the roots has one edge, to a root.
     """
-    e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), narrow=True)
     while True:
         node = e.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("b", F.lit(0), F.lit(1)))
-        if node.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up = 1 AND down = 1").isEmpty():
+        if nothing_in(node.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up = 1 AND down = 1")):
             break
         both = e.union(e.select("b", "a"))
         least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        e = cut(small.distinct())
+        e = cut(small.distinct(), narrow=True)
     return e.select(F.col("a").alias("node"), F.col("b").alias("label")).union(e.select("b", "b").distinct())
 
 
@@ -546,13 +546,28 @@ def compared(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return left.groupBy("a", "part").cogroup(right.groupBy("a", "part")).applyInArrow(meet, "a long, b long, ok boolean")
 
 
-def classes_of(docs: DataFrame, shingle: int, similarity: float, bucket: int) -> tuple[DataFrame, DataFrame]:
+def fingerprint_pairs(nodes: DataFrame, distance: int, bucket: int) -> DataFrame:
+    """a, b (a < b): ids of `nodes` (id, fp) by the pigeonhole search (`links`) over their fingerprints.
+
+    Nodes of a fingerprint meet its smallest id, and the smallest ids of linked fingerprints each other.
+    """
+    hubs = cut(nodes.groupBy("fp").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")))
+    same = nodes.join(hubs.filter("n > 1").select("fp", "hub"), "fp").filter("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    end = lambda c: hubs.select(F.col("fp").alias(c), F.col("hub").alias(f"hub_{c}"))
+    found = cut(links(hubs.select("fp"), distance, bucket), narrow=True)
+    across = found.join(end("a"), "a").join(end("b"), "b").select(F.least("hub_a", "hub_b").alias("a"), F.greatest("hub_a", "hub_b").alias("b"))
+    return same.union(across)
+
+
+def classes_of(docs: DataFrame, shingle: int, similarity: float, bucket: int, distance: int = 4) -> tuple[DataFrame, DataFrame]:
     """(doc_id, hash of the text, id of its shingle set) and (node, label) of the sets that have partners.
 
-    Texts meet where all min-hashes of a band agree; the bands follow from the
+    Texts meet by their fingerprints, at most `distance` bits apart (`fingerprint_pairs`),
+    and, since fingerprints of similar sets may be further apart than any search
+    reaches, where all min-hashes of a band agree; the bands follow from the
     similarity alone, so the vocabulary does not matter. First each node is held
-    against the smallest one that it meets in each band; buckets whose nodes are of
-    one class by then have nothing more to tell. In each of the others the likely
+    against those that its fingerprint finds and the smallest one that it meets in
+    each band; buckets whose nodes are of one class by then have nothing more to tell. In each of the others the likely
     pairs are thinned to a spanning forest. Of the pairs each node takes its FIRST
     smallest partners first; of the others those within a class that stands by then
     are left out; what is taken is compared exactly. Buckets that lost an edge are
@@ -561,28 +576,31 @@ def classes_of(docs: DataFrame, shingle: int, similarity: float, bucket: int) ->
     buckets of several classes, and are not stored again.
     """
     bands, width, fewest = layout(similarity)
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("hash", T.LongType()), T.StructField("id", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("band", T.ArrayType(T.LongType()))])
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("hash", T.LongType()), T.StructField("id", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("band", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, sigs, values = [], [], []
+            ids, fps, sigs, values = [], [], [], []
             for t in b.column("text").to_pylist():
                 h = hashes(t, shingle)
+                fps.append(fingerprint(t, shingle))
                 least, sig = signature(h)
                 ids.append(xxhash.xxh64_intdigest(h.tobytes()))
                 sigs.append(sig)
                 values.append([xxhash.xxh64_intdigest(least[k * width : (k + 1) * width].tobytes(), k) for k in range(bands)])
             flat = pa.array(np.array(values, np.uint64).view(np.int64).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * bands), flat)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("hash"), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sigs, pa.binary()), lists], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("hash"), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sigs, pa.binary()), lists], names=schema.names)
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
     rows = cut(texts.mapInArrow(run, schema))
-    nodes = rows.groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("held"), F.min_by("sig", "hash").alias("sig"), F.min_by("band", "hash").alias("band"))
-    nodes = cut(nodes.select("id", F.col("held.doc_id").alias("held"), "held.hash", "sig", "band"))
+    nodes = rows.groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("held"), F.min_by("fp", "hash").alias("fp"), F.min_by("sig", "hash").alias("sig"), F.min_by("band", "hash").alias("band"))
+    nodes = cut(nodes.select("id", F.col("held.doc_id").alias("held"), "held.hash", "fp", "sig", "band"))
     groups = cut(shared(nodes))
+    close = cut(fingerprint_pairs(nodes.select("id", "fp"), distance, bucket))
     # Of the nodes only those that meet any other are read again.
-    meeting = cut(groups.select("id").distinct().join(nodes.select("id", "held", "hash", "sig"), "id"))
+    found = groups.select("id").union(close.select(F.explode(F.array("a", "b")).alias("id")))
+    meeting = cut(found.distinct().join(nodes.select("id", "held", "hash", "sig"), "id"))
     sigs = meeting.select("id", "sig")
     # Their texts are moved once, by one of their rows; a
     # shuffled join at every size, since what meets grows with the documents.
@@ -592,19 +610,19 @@ def classes_of(docs: DataFrame, shingle: int, similarity: float, bucket: int) ->
     bad, label = docs.sparkSession.createDataFrame([], "a long, b long"), docs.sparkSession.createDataFrame([], "node long, label long")
     of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"))
     named = lambda p: p.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("l_a", "a").alias("label_a"), F.coalesce("l_b", "b").alias("label_b"))
-    todo, thin, more, whole, buckets = cut(hub_pairs(groups, sigs, fewest)), True, 64, False, None
+    todo, thin, more, whole, buckets = cut(hub_pairs(groups, sigs, fewest).union(close).distinct(), narrow=True), True, 64, False, None
     while True:
         first = F.row_number().over(W.partitionBy("b").orderBy("a"))
         taken = todo.withColumn("r", first).filter(F.col("r") <= FIRST).select("a", "b") if thin else todo
         tried = cut(compared(taken, pool, shingle, similarity))
-        bad = cut(bad.union(tried.filter("NOT ok").select("a", "b")))
+        bad = cut(bad.union(tried.filter("NOT ok").select("a", "b")), narrow=True)
         ok = tried.filter("ok").select("a", "b").union(label.select(F.col("label").alias("a"), F.col("node").alias("b")))
         label = components(ok)
         untried = lambda p: named(p).filter("label_a <> label_b").select("a", "b").join(bad, ["a", "b"], "left_anti")  # noqa: B023, E731
-        todo, thin = cut(untried(todo)), False
+        todo, thin = cut(untried(todo), narrow=True), False
         if todo.isEmpty() and buckets is None:
             buckets = cut(met(groups, label, bucket))
-            todo, thin = cut(untried(likely(signed(buckets, sigs), fewest))), True
+            todo, thin = cut(untried(likely(signed(buckets, sigs), fewest)), narrow=True), True
         if todo.isEmpty():
             if whole:
                 break
@@ -612,7 +630,7 @@ def classes_of(docs: DataFrame, shingle: int, similarity: float, bucket: int) ->
             if todo.isEmpty():
                 break
             # Where no two classes have as many pairs as were asked for, these are all.
-            whole = named(todo).groupBy(F.least("label_a", "label_b"), F.greatest("label_a", "label_b")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= more).isEmpty()
+            whole = nothing_in(named(todo).groupBy(F.least("label_a", "label_b"), F.greatest("label_a", "label_b")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= more))
             more *= 16
     return rows.select("doc_id", "hash", "id"), label
 
