@@ -196,6 +196,18 @@ def test_persons_of_a_hot_block(spark):
     assert {r["representative"] for r in got.values()} == {0} and {r["proposed"] for r in got.values()} == {6666} and {r["held"] for r in got.values()} == {19_999 - 6666}
 
 
+def test_persons_within_one_edit_meet_few_others(spark, monkeypatch):
+    """5,000 names of one block that differ in digits alone: what meets is about what is proposed, not a share of all pairs."""
+    names = [f"Customer#{n:09d}" for n in random.Random(4).sample(range(20_000), 5000)]
+    df = spark.createDataFrame([(i, "v", n) for i, n in enumerate(names)], "id long, village string, name string")
+    made, real = [], joins.block_pairs
+    monkeypatch.setattr(joins, "block_pairs", lambda *a: made.append(real(*a)) or made[-1])
+    got = joins.match_persons(df, ["village"], "name", 0.9).count()
+    place = set(names)
+    assert got == sum(n[:k] + d + n[k + 1 :] in place for n in names for k in range(9, 18) for d in "0123456789" if d > n[k])
+    assert sum(d.count() for d in made) < 4 * got
+
+
 def test_candidates_of_random_records(spark):
     rng = random.Random(6)
     rows = [(i, *(rng.choice([None, "a", "b", "c"]) for _ in range(3)), rng.randrange(4)) for i in range(150)]
