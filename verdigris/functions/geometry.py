@@ -15,29 +15,32 @@ def edges(ring: Column) -> Column:
     return F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring)), lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
 
 
-def _edge_distance(e: Column, x: Column, y: Column) -> Column:
-    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-    sq = dx * dx + dy * dy
-    t = F.when(sq > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - e["x1"]) * dx + (y - e["y1"]) * dy) / sq))).otherwise(0.0)
-    return F.sqrt(F.pow(x - (e["x1"] + t * dx), F.lit(2.0)) + F.pow(y - (e["y1"] + t * dy), F.lit(2.0)))
+def sides(ring: Column) -> Column:
+    """A ring's edges with what each point that is held against them would work out again: struct<x1, y1, y2, dx, dy, sq>."""
+    run = F.transform(edges(ring), lambda e: F.struct(e["x1"].alias("x1"), e["y1"].alias("y1"), e["y2"].alias("y2"), (e["x2"] - e["x1"]).alias("dx"), (e["y2"] - e["y1"]).alias("dy")))
+    return F.transform(run, lambda e: F.struct(e["x1"].alias("x1"), e["y1"].alias("y1"), e["y2"].alias("y2"), e["dx"].alias("dx"), e["dy"].alias("dy"), (e["dx"] * e["dx"] + e["dy"] * e["dy"]).alias("sq")))
 
 
 def to_ring_distance(ring: Column, x: Column, y: Column) -> Column:
     """Least distance of a point to a ring's edges."""
-    return to_edges_distance(edges(ring), x, y)
+    return to_sides_distance(sides(ring), x, y)
 
 
-def to_edges_distance(sides: Column, x: Column, y: Column) -> Column:
-    return F.array_min(F.transform(sides, lambda e: _edge_distance(e, x, y)))
+def to_sides_distance(ring_sides: Column, x: Column, y: Column) -> Column:
+    """The same from `sides`; in steps, so that nothing is worked out twice, and with one root, of the least square."""
+    along = lambda e: F.when(e["sq"] > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - e["x1"]) * e["dx"] + (y - e["y1"]) * e["dy"]) / e["sq"]))).otherwise(0.0)
+    at = F.transform(ring_sides, lambda e: F.struct(e.alias("e"), along(e).alias("t")))
+    off = F.transform(at, lambda a: F.struct((x - (a["e"]["x1"] + a["t"] * a["e"]["dx"])).alias("x"), (y - (a["e"]["y1"] + a["t"] * a["e"]["dy"])).alias("y")))
+    return F.sqrt(F.array_min(F.transform(off, lambda d: d["x"] * d["x"] + d["y"] * d["y"])))
 
 
 def inside(ring: Column, x: Column, y: Column) -> Column:
     """Even-odd rule; what the border is, is left open."""
-    return inside_edges(edges(ring), x, y)
+    return inside_sides(sides(ring), x, y)
 
 
-def inside_edges(sides: Column, x: Column, y: Column) -> Column:
-    crossing = F.filter(sides, lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]))
+def inside_sides(ring_sides: Column, x: Column, y: Column) -> Column:
+    crossing = F.filter(ring_sides, lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < e["dx"] * (y - e["y1"]) / F.nullif(e["dy"], F.lit(0.0)) + e["x1"]))
     return F.size(crossing) % 2 == 1
 
 

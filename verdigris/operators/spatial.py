@@ -55,6 +55,8 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, by: list[str], x: str,
     """Points (by, x, y, ...) with the boxes (by, ..., of `boxed`) that hold them, borders included.
 
     Groups of at most FEW boxes meet their points by the group alone, without cells.
+    By cells both sides are shuffled: what boxes carry, once a cell, is far more than Spark
+    takes it for, so that it would gather a large table in the driver to broadcast it.
     """
     inside = (F.col(x) >= F.col("_x0")) & (F.col(x) <= F.col("_x1")) & (F.col(y) >= F.col("_y0")) & (F.col(y) <= F.col("_y1"))
     marks = ["_x0", "_x1", "_y0", "_y1"]
@@ -66,7 +68,7 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, by: list[str], x: str,
         few = plain(points.join(crowded, by, "left_anti"), boxes.join(crowded, by, "left_anti"))
         points, boxes = points.join(crowded, by, "left_semi"), boxes.join(crowded, by, "left_semi")
     asked = on_levels(points, F.lit(0), boxes).withColumn("_cx", cell(F.col(x), F.col("_level"), base)).withColumn("_cy", cell(F.col(y), F.col("_level"), base))
-    met = asked.join(spread(boxes, base), [*by, "_level", "_cx", "_cy"]).filter(inside).drop("_level", "_cx", "_cy", *marks)
+    met = asked.join(spread(boxes, base).hint("merge"), [*by, "_level", "_cx", "_cy"]).filter(inside).drop("_level", "_cx", "_cy", *marks)
     return few.unionByName(met) if by else met
 
 
