@@ -68,6 +68,10 @@ BARE_NUMBER = {"jamabandi": "khata_number"}
 def classify_field(c: Column, doc_type: Column) -> Column:
     """The field's class by ordered keywords, then by the document's type for bare numbers."""
     t = F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), TRIM, ""))
+    return F.element_at(F.transform(F.array(t), lambda t: _class_of(t, doc_type)), 1)  # trimmed once, not for each rule
+
+
+def _class_of(t: Column, doc_type: Column) -> Column:
     out = None
     for name, words in KEYWORDS.items():
         pattern = rf"(?U)\b(?:{'|'.join(words)})\b" + (f"|{DATE}" if name == "date" else "")

@@ -18,10 +18,15 @@ BAND_SCORE = {"good": 1.0, "medium": 0.5, "poor": 0.0}
 
 
 def extract_fields(tokens: DataFrame) -> DataFrame:
-    """Token rows (page_id, text, doc_type, ...) to field rows; blank tokens are dropped."""
+    """Token rows (page_id, text, doc_type, ...) to field rows; blank tokens are dropped.
+
+    The reading and its class are generated, so that neither is searched for again by what names them.
+    """
     text = F.col("text")
-    d = tokens.filter(F.coalesce(unconstrained_value(text), F.lit("")) != "").withColumn("field_name", classify_field(text, F.col("doc_type")))
-    return d.withColumn("raw_value", text).withColumn("unconstrained_value", unconstrained_value(text)).withColumn("canonical_value", canonical_value(F.col("field_name"), F.col("text"))).withColumn("entry_status", F.lit("unknown")).withColumn("calibrated_confidence", F.lit(None).cast("double")).withColumn("novelty_score", F.lit(None).cast("double"))
+    read = F.struct(unconstrained_value(text).alias("value"), classify_field(text, F.col("doc_type")).alias("kind"))
+    d = tokens.withColumn("_read", F.explode(F.array(read))).filter(F.coalesce("_read.value", F.lit("")) != "").withColumn("field_name", F.col("_read.kind"))
+    d = d.withColumn("raw_value", text).withColumn("unconstrained_value", F.col("_read.value")).withColumn("canonical_value", canonical_value(F.col("_read.kind"), text))
+    return d.withColumn("entry_status", F.lit("unknown")).withColumn("calibrated_confidence", F.lit(None).cast("double")).withColumn("novelty_score", F.lit(None).cast("double")).drop("_read")
 
 
 def numeric_features(df: DataFrame) -> DataFrame:

@@ -139,16 +139,18 @@ def text_lane(tokens: DataFrame, strokes: DataFrame) -> DataFrame:
     """tokens (page_id, id, text, doc_type, x, y, w, h, confidence) to fields with their strike status and bindings.
 
     A status is never live; a struck field is unknown here. A parcel's row names the
-    owners and the share that its band binds to it.
+    owners and the share that its band binds to it. The fields are stored once, since
+    the bands read them many times over.
     """
     from verdigris.operators.joins import bind_rows_by_band, struck
     from verdigris.operators.scoring import extract_fields
+    from verdigris.operators.shared import stored
 
-    fields = extract_fields(tokens)
+    marked = struck(extract_fields(tokens), strokes)
+    fields = stored(marked.select("page_id", "id", "field_name", "raw_value", "canonical_value", "entry_status", "y", "confidence", (F.col("strokes") != "").alias("struck")), "fields")
     of = lambda name: fields.filter(F.col("field_name") == name).select("page_id", "id", "y", "confidence")
     bound = bind_rows_by_band(of("survey_number"), of("owner_name"), of("share_fraction")).select("page_id", F.col("parcel_id").alias("id"), "owner_ids", "share_id", "ambiguous")
-    slim = struck(fields, strokes).select("page_id", "id", "field_name", "raw_value", "canonical_value", "entry_status", "y", (F.col("strokes") != "").alias("struck"))
-    return slim.join(bound, ["page_id", "id"], "left")
+    return fields.drop("confidence").join(bound, ["page_id", "id"], "left")
 
 
 def text_lane_records(fields: DataFrame) -> DataFrame:
